@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import jaccard, toxicity
 from .common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op8_toxicity": op8_toxicity}
+    return {"op5_jaccard": op5_jaccard, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
