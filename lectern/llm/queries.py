@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, toxicity
+from . import jaccard, mixing, substring, toxicity
 from .common import fold, read
 
+#: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
+MIX = {"share": 0.5, "epochs": 3, "seed": 17, "weights": {"domain": {"*": 2, "domain0": 3}, "language": {"*": 1, "en": 3, "de": 2}}}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,13 +23,31 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(read(spark, sf_dir, "documents"), **MIX)
+    return chosen.select("doc_id", "domain", "language", "source_name", F.col("_epoch").alias("epoch"), F.col("_n_tokens").alias("n_tokens"), F.col("_leaf_budget").alias("leaf_budget"))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text, as a digest."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    left = substring.deduplicate(docs)
+    n_left = F.coalesce(F.length("text"), F.lit(0))
+    return left.select("doc_id", "n_chars", (F.col("n_chars") - n_left).alias("removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
+
+
+OP3_SQL = f"""WITH {substring.sql("documents")}
+SELECT d.doc_id, CAST(coalesce(len(d.text), 0) AS BIGINT) AS n_chars, CAST(x.removed_chars AS BIGINT) AS removed_chars, sha256(coalesce(x.text, '')) AS left_sha256
+FROM documents d JOIN deduped x ON d.doc_id = x.doc_id"""
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_jaccard": op5_jaccard, "op8_toxicity": op8_toxicity}
+    return {"op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring": OP3_SQL}
