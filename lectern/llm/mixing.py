@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, materialise
 
 #: Hexadecimal digits of the order's key that name a bucket.
 BUCKET_DIGITS = 3
@@ -100,7 +100,8 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 3, seed: int = 17, we
     goal = F.lit(int(total)) if total is not None else F.col("available") * F.lit(int(round(share * 1000))) / 1000
     narrow = named.select("doc_id", *LEVELS, F.col("_n_tokens").alias("n_tokens"))
     budgets = leaf_budgets(narrow, goal, epochs, weights).withColumn("full", F.when(F.col("available") > 0, F.expr("CAST(budget DIV available AS INT)")).otherwise(0))
-    budgets = budgets.withColumn("rest", F.col("budget") - F.col("full") * F.col("available"))
+    # One row for each leaf: written first, so that its size is known where Spark chooses the joins.
+    budgets = materialise(budgets.withColumn("rest", F.col("budget") - F.col("full") * F.col("available")), "budgets")
 
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     placed = narrow.join(budgets, list(LEVELS)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
@@ -112,10 +113,65 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 3, seed: int = 17, we
     inside = placed.join(cut_bucket, list(LEVELS)).filter(F.col("bucket") == F.col("cut_bucket"))
     upto = F.sum("n_tokens").over(W.partitionBy(*LEVELS).orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow))
     first_out = inside.withColumn("upto", F.col("before") + upto).filter(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min("key").alias("_end"))
-    plan = budgets.join(first_out, list(LEVELS), "left")
+    plan = materialise(budgets.join(first_out, list(LEVELS), "left"), "plan")
 
     chosen = named.join(plan, list(LEVELS)).withColumn("_key", key)
     partial = (F.col("rest") > 0) & (F.col("_end").isNull() | (F.col("_key") < F.col("_end")))
     times = F.col("full") + partial.cast("int")
     out = chosen.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
     return out.withColumn("_leaf_budget", F.col("budget").cast("long")).drop("available", "budget", "full", "rest", "_end", "_key")
+
+
+def _sql_weight(name: str, weights: Weights) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {int(v)}" for k, v in weights.items() if k != "*")
+    other = int(weights.get("*", 1))
+    return f"CASE {name} {cases} ELSE {other} END" if cases else str(other)
+
+
+def _sql_shared(name: str, source: str, parent: str, child: str, keep: str) -> str:
+    """Common table expressions that end in ``name``: ``keep`` and the shared budget of the rows of ``source``."""
+    return f"""
+{name}_a AS (
+  SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, row_number() OVER w AS place
+  FROM {source} WINDOW w AS (PARTITION BY {parent} ORDER BY CAST(capacity AS DOUBLE) / CAST(weight AS DOUBLE), {child})
+),
+{name}_b AS (SELECT *, min(CASE WHEN capacity * open > (budget - used) * weight THEN place END) OVER (PARTITION BY {parent}) AS level_at FROM {name}_a),
+{name}_c AS (
+  SELECT *, max(CASE WHEN place = level_at THEN budget - used END) OVER (PARTITION BY {parent}) AS left_over,
+         max(CASE WHEN place = level_at THEN open END) OVER (PARTITION BY {parent}) AS among
+  FROM {name}_b
+),
+{name} AS (
+  SELECT {keep}, CASE WHEN level_at IS NULL OR place < level_at THEN capacity ELSE least(left_over * weight // among, capacity) END AS budget FROM {name}_c
+)"""
+
+
+def sql(docs: str, name: str = "mixed", share: float = 0.5, epochs: int = 3, seed: int = 17, weights: Mapping[str, Weights] | None = None) -> str:
+    """Common table expressions, the last of them ``name``: each chosen copy of the relation ``docs``."""
+    weights = weights or {}
+    w = {k: _sql_weight(c, weights.get(k, {})) for k, c in (("domain", "domain"), ("language", "language"), ("source", "source_name"))}
+    first = _sql_shared("level1", "top", "root", "domain", "domain")
+    second = _sql_shared("level2", "middle", "domain", "language", "domain, language")
+    third = _sql_shared("level3", "bottom", "domain, language", "source_name", "domain, language, source_name, available")
+    return f"""
+named AS (
+  SELECT *, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' THEN 'other' ELSE 'domain' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4) END AS domain,
+         coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS source_name,
+         CAST(coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0) AS BIGINT) AS n_tokens
+  FROM {docs}
+),
+leaf AS (SELECT domain, language, source_name, CAST(sum(n_tokens) AS HUGEINT) AS available, CAST(sum(n_tokens) AS HUGEINT) * {epochs} AS capacity FROM named GROUP BY ALL),
+goal AS (SELECT least(sum(available) * {int(round(share * 1000))} // 1000, sum(capacity)) AS budget FROM leaf),
+top AS (SELECT 0 AS root, domain, sum(capacity) AS capacity, {w["domain"]} AS weight, (SELECT budget FROM goal) AS budget FROM leaf GROUP BY domain),{first},
+middle AS (SELECT domain, language, c.capacity, {w["language"]} AS weight, budget FROM (SELECT domain, language, sum(capacity) AS capacity FROM leaf GROUP BY ALL) c JOIN level1 USING (domain)),{second},
+bottom AS (SELECT domain, language, source_name, available, capacity, {w["source"]} AS weight, budget FROM leaf JOIN level2 USING (domain, language)),{third},
+plan AS (SELECT *, CASE WHEN available > 0 THEN budget // available ELSE 0 END AS full_epochs, CASE WHEN available > 0 THEN budget % available ELSE budget END AS rest FROM level3),
+placed AS (
+  SELECT n.*, p.budget, p.full_epochs, p.rest, md5('{seed}|' || p.full_epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key
+  FROM named n JOIN plan p USING (domain, language, source_name)
+),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source_name ORDER BY order_key) AS upto FROM placed),
+ended AS (SELECT *, min(CASE WHEN upto > rest THEN order_key END) OVER (PARTITION BY domain, language, source_name) AS end_key FROM summed),
+timed AS (SELECT *, full_epochs + CASE WHEN rest > 0 AND (end_key IS NULL OR order_key < end_key) THEN 1 ELSE 0 END AS times FROM ended),
+{name} AS (SELECT *, CAST(unnest(generate_series(0, CAST(times AS BIGINT) - 1)) AS INTEGER) AS epoch FROM timed WHERE times > 0)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, substring, toxicity
+from . import bpe, jaccard, mixing, substring, toxicity
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -16,6 +16,10 @@ MIX = {"share": 0.5, "epochs": 3, "seed": 17, "weights": {"domain": {"*": 2, "do
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scorer = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -36,6 +40,8 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_chars", (F.col("n_chars") - n_left).alias("removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
 
 
+OP2_SQL = f"""WITH {mixing.sql("documents", **MIX)}
+SELECT doc_id, domain, language, source_name, epoch, n_tokens, CAST(budget AS BIGINT) AS leaf_budget FROM mixed"""
 OP3_SQL = f"""WITH {substring.sql("documents")}
 SELECT d.doc_id, CAST(coalesce(len(d.text), 0) AS BIGINT) AS n_chars, CAST(x.removed_chars AS BIGINT) AS removed_chars, sha256(coalesce(x.text, '')) AS left_sha256
 FROM documents d JOIN deduped x ON d.doc_id = x.doc_id"""
@@ -46,8 +52,8 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op8_toxicity": op8_toxicity}
+    return {"op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_substring": OP3_SQL}
