@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import materialise
 
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     packed_schema = docs.select(*others).schema.add("_packed", "binary").add("_k1", "long").add("_k2", "long")
     packed = keyed.mapInArrow(known_ids, packed_schema)
     joined = packed.join(met, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*others, "_packed", "_rare")
-    return joined.mapInArrow(whole_ids, kept.add("ids", "array<int>"))
+    return joined.mapInArrow(whole_ids, kept.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -242,13 +243,14 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
     Null ids give null, no ids give no bytes; an id that the table doesn't have is an error.
     """
     path = path or default_rank_file()
-    at = encoded.columns.index(ids)
+    names = [*encoded.columns, "decoded"]
+    at = names.index(ids)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(path)
         for batch in batches:
             out = [None if x is None else b"".join(map(table.__getitem__, x)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*encoded.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names)
 
     return encoded.mapInArrow(rows, encoded.select("*").schema.add("decoded", "binary"))
 
