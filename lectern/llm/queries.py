@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, substring, toxicity
+from . import bpe, jaccard, mixing, simhash, substring, toxicity
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -27,6 +27,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.mix(read(spark, sf_dir, "documents"), **MIX)
     return chosen.select("doc_id", "domain", "language", "source_name", F.col("_epoch").alias("epoch"), F.col("_n_tokens").alias("n_tokens"), F.col("_leaf_budget").alias("leaf_budget"))
@@ -52,8 +56,8 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_substring": OP3_SQL}
+    return {"op1_simhash": op1_simhash, "op2_mixing": OP2_SQL, "op3_substring": OP3_SQL}
