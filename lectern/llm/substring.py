@@ -14,25 +14,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Units of fewer words are never removed: short ones repeat by chance and carry no passage.
 LEAST_LINE, LEAST_SENTENCE = 4, 6
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile("[^\x20\x09-\x0d]+")
+#: White space that str.split knows and words may contain.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SENTENCE = re.compile("[^.!?]+[.!?]*|[.!?]+")
 
 
 def spans(text: str | None, least_line: int = LEAST_LINE, least_sentence: int = LEAST_SENTENCE) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of each unit. A line's span has its line break; the normalised text has lower-case
     A-Z and one space between words."""
+    text = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+    words_of = _WORD.findall if _OTHER_SPACE.search(text) else str.split
     start = 0
-    for line in (text or "").split("\n"):
-        words = _WORD.findall(line.translate(_LOWER))
+    for line in text.split("\n"):
+        words = words_of(line)
         if len(words) >= least_line:
             yield start, min(start + len(line) + 1, len(text)), " ".join(words)
         if len(words) >= least_sentence:
             for m in _SENTENCE.finditer(line):
-                own = _WORD.findall(m[0].translate(_LOWER))
+                own = words_of(m[0])
                 if len(own) >= least_sentence:
                     yield start + m.start(), start + m.end(), " ".join(own)
         start += len(line) + 1
@@ -62,7 +68,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least_line:
     third of all documents hold meets no single task.
     """
     texts = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    units = texts.mapInArrow(_units(least_line, least_sentence), "id long, start int, end int, d1 long, d2 long")
+    units = materialise(texts.mapInArrow(_units(least_line, least_sentence), "id long, start int, end int, d1 long, d2 long"), "units")
     first = units.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).filter("first <> last")
     later = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
     return later.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
