@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, simhash, substring, toxicity
+from . import bpe, jaccard, mixing, neighbours, simhash, substring, toxicity
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -55,9 +55,25 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+OP9_SQL = """WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored) WHERE rank <= 10"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": OP2_SQL, "op3_substring": OP3_SQL}
+    return {"op1_simhash": op1_simhash, "op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op9_neighbours": OP9_SQL}
