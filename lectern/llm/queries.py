@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, neighbours, simhash, substring, toxicity
+from . import bpe, jaccard, language, mixing, neighbours, simhash, substring, toxicity
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -51,6 +51,12 @@ SELECT d.doc_id, CAST(coalesce(len(d.text), 0) AS BIGINT) AS n_chars, CAST(x.rem
 FROM documents d JOIN deduped x ON d.doc_id = x.doc_id"""
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(4) == 2
+    return language.identify(docs.withColumn("held_out", held_out), language.learn(docs, ~held_out), ["doc_id", "held_out"])
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
 
@@ -72,7 +78,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
