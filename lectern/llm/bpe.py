@@ -1,8 +1,10 @@
 """Byte-level BPE by public rank files, with every distinct pre-token encoded once.
 
-Pre-tokens are counted over the whole corpus and each distinct one is encoded once. Their ids are joined back to the
-occurrences: the most frequent pre-tokens, a bounded number of bounded length, by a broadcast table; the occurrences of
-all others with their positions by a shuffled join. Documents are then put together by position.
+Pre-tokens are counted over the whole corpus. Each one that occurs twice or more is encoded once, and its ids are joined
+back: the most frequent ones, up to a bound, by a broadcast table of hashes and ids; the occurrences of any others, with
+their positions, by a shuffled join, after which documents are put together by position. A pre-token that occurs once
+has no ids to join: it is encoded where it stands. A bit table of bounded size tells the two kinds apart; where it errs,
+the occurrence takes the shuffled join and is encoded there.
 """
 
 from __future__ import annotations
@@ -15,17 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import materialise
+from .common import materialise, slices
 
-#: Pre-tokens in the broadcast table, and their longest length in characters.
-FREQUENT, FREQUENT_LENGTH = 400_000, 32
-#: Chunks whose pre-tokens a worker remembers.
-REMEMBERED = 400_000
+#: Pre-tokens in the broadcast table (hash, offset and ids: some 20 bytes each), and their longest length in characters.
+FREQUENT, FREQUENT_LENGTH = 2_500_000, 64
+#: Bits of the table of other pre-tokens that occur twice or more.
+TABLE_BITS = 1 << 26
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 200_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -93,63 +99,91 @@ def _encode_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def chunks(text: str) -> list[str]:
-    """Parts of a text whose pre-tokens don't depend on one another; each but the first begins with its space.
+    """Parts of a text whose pre-tokens don't depend on one another, without the space that each but the first begins with.
 
-    If no two white spaces meet, a space always begins a pre-token, so that the text may be cut there.
+    If no two white spaces meet, a space always begins a pre-token, so that the text may be cut there. A part without a
+    space before it, and a whole text that can't be cut, is marked by a leading NUL.
     """
     if not text:
         return []
     if _TWO_SPACES.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [*([first] if first else []), *[" " + c for c in rest]]
+        return ["\0" + text]
+    parts = text.split(" ")
+    if parts[0]:
+        parts[0] = "\0" + parts[0]
+        return parts
+    return parts[1:]
 
 
-class Memory(dict):
-    """A bounded memory of a function's values."""
+def pre_tokens(chunk: str) -> list[str]:
+    """The pre-tokens of a part; letters, maybe before one mark, need no pattern."""
+    if chunk[:1] == "\0":
+        return _pattern().findall(chunk[1:])
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in {".", ",", "!", "?", ";", ":"} and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return _pattern().findall(" " + chunk)
 
-    def __init__(self, function, most: int = REMEMBERED):
-        super().__init__()
-        self.function, self.most = function, most
 
-    def __missing__(self, key):
-        value = self.function(key)
-        if len(key) <= 4 * FREQUENT_LENGTH:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
+def word_hash(word: str) -> int:
+    return np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)).view(np.int64).item()
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (word, n): the distinct pre-tokens of each batch."""
-    split = _pattern().findall
     for batch in batches:
         parts: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
             parts.update(chunks(text or ""))
-        words: Counter[str] = Counter()
+        words: dict[str, int] = {}
+        get = words.get
         for chunk, n in parts.items():
-            for word in split(chunk):
-                words[word] += n
+            for word in pre_tokens(chunk):
+                words[word] = get(word, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
 
-def distinct_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct pre-token, its count and its packed ids."""
+def repeated_words(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n, hash, ids): every pre-token that occurs twice or more, its count and its packed ids."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(path)
         for batch in batches:
-            ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
-
-    counted = docs.select("_text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialise(counted.mapInArrow(rows, "word string, n long, ids binary"), "words")
-
-
-def _frequent(words: DataFrame) -> dict[str, bytes]:
-    """The most frequent short pre-tokens: all of a count above the one at which there would be too many."""
-    short = words.filter((F.col("n") > 1) & (F.length("word") <= FREQUENT_LENGTH))
+            words = batch.column(0).to_pylist()
+            ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_hash(w) for w in words], pa.int64()), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
+
+    counted = docs.select("_text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    return materialise(counted.mapInArrow(rows, "word string, n long, hash long, ids binary"), "words")
+
+
+class Table:
+    """Ids by hash: sorted hashes, offsets and packed ids."""
+
+    def __init__(self, hashes: np.ndarray, ids: pa.Array):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        taken = ids.take(pa.array(order))
+        lengths = pc.binary_length(taken).to_numpy().astype(np.int64) // 4
+        self.ends = np.cumsum(lengths).astype(np.uint32)
+        flat = np.frombuffer(b"".join(taken.to_pylist()), np.int32)
+        self.flat = flat.astype(np.uint16) if not len(flat) or flat.max() < 65536 else flat
+
+    def find(self, hashes: list[int]) -> list[bytes | None]:
+        if not len(self.hashes) or not hashes:
+            return [None] * len(hashes)
+        asked = np.array(hashes, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        out: list[bytes | None] = []
+        for k, same in zip(at.tolist(), (self.hashes[at] == asked).tolist()):
+            out.append(self.flat[self.ends[k - 1] if k else 0 : self.ends[k]].astype(np.int32).tobytes() if same else None)
+        return out
+
+
+def frequent_table(words: DataFrame) -> tuple[Table, int]:
+    """The table of the most frequent short pre-tokens, all of a count above the one at which there would be too many;
+    and the least count that it holds."""
+    short = words.filter(F.length("word") <= FREQUENT_LENGTH)
     steps = short.groupBy(F.least(F.col("n"), F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()
     total, least = 0, 4097
     for r in steps:
@@ -157,8 +191,50 @@ def _frequent(words: DataFrame) -> dict[str, bytes]:
         if total > FREQUENT:
             break
         least = r.n
-    got = short.filter(F.col("n") >= least).select("word", "ids").toArrow()
-    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+    got = short.filter(F.col("n") >= least).select("hash", "ids").toArrow().combine_chunks()
+    column = lambda i, t: got.column(i).chunk(0) if got.column(i).num_chunks else pa.array([], t)
+    return Table(column(0, pa.int64()).to_numpy(zero_copy_only=False), column(1, pa.binary())), least
+
+
+def bit_table(others: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``others``: at most ``TABLE_BITS``, in words of 64, whatever the number of rows."""
+    at = F.col("hash").bitwiseAND(F.lit(TABLE_BITS - 1))
+    marks = others.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((hash & {TABLE_BITS - 1}) % 64 AS INT))").alias("bit"))
+    got = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(TABLE_BITS >> 6, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+class Resolver:
+    """Ids of chunks: bytes, or a list of bytes and of words that must be looked up elsewhere."""
+
+    def __init__(self, table: Table, bits: np.ndarray | None, path: str):
+        self.table, self.bits, self.ranks = table, bits, _ranks(path)
+        self.memory: dict[str, bytes | list] = {}
+
+    def _unlisted(self, word: str, code: int) -> bytes | str:
+        if self.bits is not None:
+            at = code & (64 * len(self.bits) - 1)
+            if int(self.bits[at >> 6]) >> (at & 63) & 1:
+                return word
+        return np.array(encode_piece(word.encode("utf-8"), self.ranks), np.int32).tobytes()
+
+    def __call__(self, texts: list[list[str]]) -> dict[str, bytes | list]:
+        """What each chunk of the texts resolves to."""
+        asked = set().union(*texts) if texts else set()
+        missing = [c for c in asked if c not in self.memory]
+        if len(self.memory) + len(missing) > REMEMBERED:
+            self.memory = {}
+            missing = list(asked)
+        parts = [pre_tokens(c) for c in missing]
+        words = list(dict.fromkeys(w for p in parts for w in p))
+        hashes = [word_hash(w) for w in words]
+        ids = {w: i if i is not None else self._unlisted(w, h) for w, h, i in zip(words, hashes, self.table.find(hashes))}
+        for chunk, p in zip(missing, parts):
+            got = [ids[w] for w in p]
+            self.memory[chunk] = b"".join(got) if all(type(g) is bytes for g in got) else got
+        return self.memory
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -173,31 +249,23 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     value = F.coalesce(F.col(text), F.lit(""))
     keys = [F.xxhash64(F.to_json(F.struct(*others)) if others else F.lit(0), value).alias("_k1"), F.xxhash64(value, F.lit(1)).alias("_k2")]
     keyed = docs.select(*others, value.alias("_text"), *keys)
-    words = distinct_words(keyed, path)
-    known = docs.sparkSession.sparkContext.broadcast(_frequent(words))
-
-    def divided() -> tuple:
-        """A chunk's ids, or its parts: packed ids of known pre-tokens, and strings of others."""
-        split, table = _pattern().findall, known.value
-
-        def of(chunk: str):
-            parts = [table.get(w, w) for w in split(chunk)]
-            return b"".join(parts) if all(type(p) is bytes for p in parts) else parts
-
-        return Memory(of)
+    words = repeated_words(keyed, path)
+    table, least = frequent_table(words)
+    others_ = words.filter((F.col("n") < least) | (F.length("word") > FREQUENT_LENGTH))
+    any_other = not others_.isEmpty()
+    known = docs.sparkSession.sparkContext.broadcast((table, bit_table(others_) if any_other else None))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = divided()
-        for batch in batches:
+        """Positions of the words that the tables leave to the shuffled join."""
+        resolve = Resolver(*known.value, path)
+        for batch in slices(batches):
+            texts = [chunks(t) for t in batch.column(2).to_pylist()]
+            memory = resolve(texts)
             out: tuple[list, ...] = ([], [], [], [], [])
-            for k1, k2, value in zip(*(c.to_pylist() for c in batch.columns)):
+            for k1, k2, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
                 at = place = 0
-                for chunk in chunks(value):
-                    got = memory[chunk]
-                    if type(got) is bytes:
-                        at += len(got)
-                        continue
-                    for part in got:
+                for got in map(memory.__getitem__, parts):
+                    for part in (got,) if type(got) is bytes else got:
                         if type(part) is bytes:
                             at += len(part)
                         else:
@@ -206,35 +274,50 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
                             place += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["word", "k1", "k2", "place", "at"])
 
-    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = divided()
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids for the words of which there is one after all."""
+        ranks = _ranks(path)
         for batch in batches:
-            packed = []
-            for value in batch.column(len(others)).to_pylist():
-                got = [memory[c] for c in chunks(value)]
-                whole = b"".join([g if type(g) is bytes else b"".join(p for p in g if type(p) is bytes) for g in got])
-                ids = np.frombuffer(whole, np.int32)
-                packed.append(ids.astype(np.uint16).tobytes() if not len(ids) or ids.max() < 65536 else b"\x01" + whole)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(packed, pa.binary()), *batch.columns[len(others) + 1 :]], [*others, "_packed", "_k1", "_k2"])
-
-    def whole_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() if i is None else i for w, i in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(ids, pa.binary())], ["k1", "k2", "place", "at", "ids"])
+
+    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of all words but those left to the join, as whole numbers of four bytes."""
+        resolve = Resolver(*known.value, path)
+        for batch in slices(batches):
+            texts = [chunks(t) for t in batch.column(len(others)).to_pylist()]
+            memory = resolve(texts)
+            out = []
+            for parts in texts:
+                got = list(map(memory.__getitem__, parts))
+                try:
+                    out.append(np.frombuffer(b"".join(got), np.int32))
+                except TypeError:
+                    out.append(np.frombuffer(b"".join(p for g in got for p in ((g,) if type(g) is bytes else g) if type(p) is bytes), np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.list_(pa.int32())), *batch.columns[len(others) + 1 :]], [*others, "ids", "_k1", "_k2"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(others)
         for batch in batches:
             out = []
-            for packed, rare in zip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist()):
-                ids = np.frombuffer(packed[1:], np.int32) if len(packed) % 2 else np.frombuffer(packed, np.uint16).astype(np.int32)
+            for ids, rare in zip(batch.column(n), batch.column(n + 1).to_pylist()):
+                ids = ids.values.to_numpy()
                 if rare:
                     cut = np.split(ids, [r["at"] for r in rare])
                     ids = np.concatenate([x for a, r in zip(cut, rare) for x in (a, np.frombuffer(r["ids"], np.int32))] + [cut[-1]])
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.list_(pa.int32()))], [*others, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.list_(pa.int32()))], [*others, "ids"])
 
+    kept = docs.select(*others).schema.add("ids", ArrayType(IntegerType()))
+    keyed_schema = docs.select(*others).schema.add("ids", ArrayType(IntegerType())).add("_k1", "long").add("_k2", "long")
+    partly = keyed.mapInArrow(known_ids, keyed_schema)
+    if not any_other:
+        return partly.select(*others, "ids")
     rare = keyed.select("_k1", "_k2", "_text").mapInArrow(occurrences, "word string, k1 long, k2 long, place int, at int")
-    met = rare.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "at", "ids"))).alias("_rare"))
-    kept = docs.select(*others).schema
-    packed_schema = docs.select(*others).schema.add("_packed", "binary").add("_k1", "long").add("_k2", "long")
-    packed = keyed.mapInArrow(known_ids, packed_schema)
-    joined = packed.join(met, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*others, "_packed", "_rare")
-    return joined.mapInArrow(whole_ids, kept.add("ids", ArrayType(IntegerType())))
+    found = rare.join(words.select("word", "ids"), "word", "left").mapInArrow(filled, "k1 long, k2 long, place int, at int, ids binary")
+    met = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "at", "ids"))).alias("_rare"))
+    joined = partly.join(met, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*others, "ids", "_rare")
+    return joined.mapInArrow(put_together, kept)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
