@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, mixing, neighbours, simhash, substring, toxicity
+from . import bpe, jaccard, language, mixing, neighbours, scoring, simhash, substring, toxicity
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -66,6 +66,10 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(read(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 OP9_SQL = """WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
@@ -78,7 +82,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours, "op10_scoring": op10_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
