@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, mixing, neighbours, scoring, simhash, substring, toxicity
+from . import bpe, html_text, jaccard, language, mixing, neighbours, scoring, simhash, substring, toxicity
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -16,6 +16,11 @@ MIX = {"share": 0.5, "epochs": 3, "seed": 17, "weights": {"domain": {"*": 2, "do
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours, "op10_scoring": op10_scoring}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours, "op10_scoring": op10_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
