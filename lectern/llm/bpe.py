@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import materialise, slices
+from .common import materialise, slices, tidied
 
 #: Pre-tokens in the broadcast table (hash, offset and ids: some 20 bytes each), and their longest length in characters.
 FREQUENT, FREQUENT_LENGTH = 2_500_000, 64
@@ -132,7 +132,7 @@ def word_hash(word: str) -> int:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (word, n): the distinct pre-tokens of each batch."""
-    for batch in batches:
+    for batch in slices(batches, 4096):
         parts: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
             parts.update(chunks(text or ""))
@@ -153,8 +153,8 @@ def repeated_words(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() for w in words]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_hash(w) for w in words], pa.int64()), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
 
-    counted = docs.select("_text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return materialise(counted.mapInArrow(rows, "word string, n long, hash long, ids binary"), "words")
+    counted = docs.select("_text").mapInArrow(tidied(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    return materialise(counted.mapInArrow(tidied(rows), "word string, n long, hash long, ids binary"), "words")
 
 
 class Table:
@@ -310,14 +310,14 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
     kept = docs.select(*others).schema.add("ids", ArrayType(IntegerType()))
     keyed_schema = docs.select(*others).schema.add("ids", ArrayType(IntegerType())).add("_k1", "long").add("_k2", "long")
-    partly = keyed.mapInArrow(known_ids, keyed_schema)
+    partly = keyed.mapInArrow(tidied(known_ids), keyed_schema)
     if not any_other:
         return partly.select(*others, "ids")
-    rare = keyed.select("_k1", "_k2", "_text").mapInArrow(occurrences, "word string, k1 long, k2 long, place int, at int")
-    found = rare.join(words.select("word", "ids"), "word", "left").mapInArrow(filled, "k1 long, k2 long, place int, at int, ids binary")
+    rare = keyed.select("_k1", "_k2", "_text").mapInArrow(tidied(occurrences), "word string, k1 long, k2 long, place int, at int")
+    found = rare.join(words.select("word", "ids"), "word", "left").mapInArrow(tidied(filled), "k1 long, k2 long, place int, at int, ids binary")
     met = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "at", "ids"))).alias("_rare"))
     joined = partly.join(met, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*others, "ids", "_rare")
-    return joined.mapInArrow(put_together, kept)
+    return joined.mapInArrow(tidied(put_together), kept)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -335,7 +335,7 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
             out = [None if x is None else b"".join(map(table.__getitem__, x)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names)
 
-    return encoded.mapInArrow(rows, encoded.select("*").schema.add("decoded", "binary"))
+    return encoded.mapInArrow(tidied(rows), encoded.select("*").schema.add("decoded", "binary"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidied
 
 #: Pages of the sample, and pages that the generator writes.
 SAMPLE, WRITTEN = 150, 600
@@ -360,4 +360,4 @@ def extract(pages: DataFrame, model: Labeller, keep: list[str], column: str = "h
             text = [" ".join(b.text for b, q in zip(page, own) if q >= 0.5) for page, own in zip(found, p)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(text, pa.string())], [*keep, "text"])
 
-    return pages.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(column).alias("_html")).mapInArrow(rows, schema)
+    return pages.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(column).alias("_html")).mapInArrow(tidied(rows), schema)

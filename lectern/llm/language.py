@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: N-grams of a profile, and documents of each language that a profile is learned from at most.
 PROFILE, DOCUMENTS = 400, 2000
 UNKNOWN = "und"
@@ -66,7 +68,7 @@ def learn(docs: DataFrame, known: Column, documents: int = DOCUMENTS, size: int
     ids = docs.filter(known & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= documents).select("doc_id", "lang")
     # At most ``documents`` ids of each language: the size is proven.
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text")
-    counted = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidied(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size)
     out: dict[str, list] = {}
     for r in top.orderBy("lang", "place").collect():
@@ -114,4 +116,4 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str])
             got = [guess(t) for t in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text")).mapInArrow(rows, schema)
+    return docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text")).mapInArrow(tidied(rows), schema)

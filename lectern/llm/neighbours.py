@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Rows of a block, on average.
 QUERY_ROWS, CANDIDATE_ROWS = 512, 2048
 
@@ -126,5 +128,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_
     candidates = all_.select(F.lit(False).alias("query"), "vec_id", "v", block(columns).alias("column"), each(lines).alias("line"))
     asking = asked.select(F.lit(True).alias("query"), "vec_id", "v", each(columns).alias("column"), block(lines).alias("line"))
     dealt = candidates.unionByName(asking).select(F.concat_ws("/", F.size("v"), "line", "column").alias("tile"), "query", "vec_id", "v")
-    found = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
-    return found.repartition("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
+    found = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidied(_tiles(k)), "query_id long, vec_id long, score double")
+    return found.repartition("query_id").mapInArrow(tidied(_merged(k)), "query_id long, rank int, vec_id long, score double")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices, tidied
 
 #: Units of fewer words are never removed: short ones repeat by chance and carry no passage.
 LEAST_LINE, LEAST_SENTENCE = 4, 6
@@ -46,7 +46,7 @@ def spans(text: str | None, least_line: int = LEAST_LINE, least_sentence: int =
 
 def _units(least_line: int, least_sentence: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, starts, ends, a, b = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for start, end, unit in spans(text, least_line, least_sentence):
@@ -68,7 +68,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least_line:
     third of all documents hold meets no single task.
     """
     texts = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    units = materialise(texts.mapInArrow(_units(least_line, least_sentence), "id long, start int, end int, d1 long, d2 long"), "units")
+    units = materialise(texts.mapInArrow(tidied(_units(least_line, least_sentence)), "id long, start int, end int, d1 long, d2 long"), "units")
     first = units.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).filter("first <> last")
     later = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
     return later.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
@@ -99,14 +99,14 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", least_l
     at, spans_at = joined.columns.index(text), len(joined.columns) - 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left = batch.column(at).to_pylist()
             for k, removed in enumerate(batch.column(spans_at).to_pylist()):
                 if removed is not None and left[k] is not None:
                     left[k] = cut(left[k], [(r["start"], r["end"]) for r in removed])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return joined.mapInArrow(rows, schema)
+    return joined.mapInArrow(tidied(rows), schema)
 
 
 _CLEAN = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .boosting import calibrated, fit_forest, fit_isotonic
-from .common import fold
+from .common import fold, tidied
 
 #: Second persons of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tuyo vosotros usted".split())
@@ -108,7 +108,7 @@ def learn_lexicon(sample: DataFrame, size: int = 512, least_g: float = 25.0) ->
     n0, n1 = (sample.agg(F.sum(1 - F.col("y")), F.sum("y")).first()) or (0, 0)
     if not n0 or not n1:
         return frozenset()
-    counted = sample.select("text", "y").mapInArrow(_stem_counts, "stem string, y int, n long")
+    counted = sample.select("text", "y").mapInArrow(tidied(_stem_counts), "stem string, y int, n long")
     a, b = F.col("a"), F.col("b")
     rate = (a + b) / F.lit(float(n0 + n1))
     part = lambda k, n: F.when(k > 0, k * F.log(k / (rate * n))).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / ((1 - rate) * n))).otherwise(0.0)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 6
             x = [features(t, lexicon, heads) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = sample.mapInArrow(rows, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(tidied(rows), "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -182,4 +182,4 @@ def score_texts(docs: DataFrame, scorer: Callable[[list[str | None]], np.ndarray
             score = pa.array(scorer(batch.column(len(keep)).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], [*keep, "score"])
 
-    return inner.mapInArrow(rows, schema)
+    return inner.mapInArrow(tidied(rows), schema)
