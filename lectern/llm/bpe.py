@@ -67,12 +67,18 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     if len(piece) > 200:
         return _encode_long(piece, ranks)
+    none = 1 << 60
+    rank = ranks.get
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) < none:
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
@@ -126,8 +132,8 @@ def pre_tokens(chunk: str) -> list[str]:
     return _pattern().findall(" " + chunk)
 
 
-def word_hash(word: str) -> int:
-    return np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)).view(np.int64).item()
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], np.uint64).view(np.int64)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +157,7 @@ def repeated_words(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_hash(w) for w in words], pa.int64()), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word_hashes(words)), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
 
     counted = docs.select("_text").mapInArrow(tidied(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     return materialise(counted.mapInArrow(tidied(rows), "word string, n long, hash long, ids binary"), "words")
@@ -164,20 +170,17 @@ class Table:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         taken = ids.take(pa.array(order))
-        lengths = pc.binary_length(taken).to_numpy().astype(np.int64) // 4
-        self.ends = np.cumsum(lengths).astype(np.uint32)
-        flat = np.frombuffer(b"".join(taken.to_pylist()), np.int32)
-        self.flat = flat.astype(np.uint16) if not len(flat) or flat.max() < 65536 else flat
+        self.ends = np.cumsum(pc.binary_length(taken).to_numpy().astype(np.int64)).astype(np.uint32)
+        self.flat = b"".join(taken.to_pylist())
 
-    def find(self, hashes: list[int]) -> list[bytes | None]:
-        if not len(self.hashes) or not hashes:
+    def find(self, hashes: np.ndarray) -> list[bytes | None]:
+        if not len(self.hashes) or not len(hashes):
             return [None] * len(hashes)
-        asked = np.array(hashes, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
-        out: list[bytes | None] = []
-        for k, same in zip(at.tolist(), (self.hashes[at] == asked).tolist()):
-            out.append(self.flat[self.ends[k - 1] if k else 0 : self.ends[k]].astype(np.int32).tobytes() if same else None)
-        return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        last = self.ends[at].tolist()
+        first = np.where(at > 0, self.ends[at - 1], 0).tolist()
+        flat = self.flat
+        return [flat[i:j] if same else None for i, j, same in zip(first, last, (self.hashes[at] == hashes).tolist())]
 
 
 def frequent_table(words: DataFrame) -> tuple[Table, int]:
@@ -225,15 +228,19 @@ class Resolver:
         asked = set().union(*texts) if texts else set()
         missing = [c for c in asked if c not in self.memory]
         if len(self.memory) + len(missing) > REMEMBERED:
-            self.memory = {}
-            missing = list(asked)
+            # What is asked for again and again stays.
+            self.memory = {c: self.memory[c] for c in asked.difference(missing)}
         parts = [pre_tokens(c) for c in missing]
         words = list(dict.fromkeys(w for p in parts for w in p))
-        hashes = [word_hash(w) for w in words]
-        ids = {w: i if i is not None else self._unlisted(w, h) for w, h, i in zip(words, hashes, self.table.find(hashes))}
+        hashes = word_hashes(words)
+        found = self.table.find(hashes)
+        ids = {w: i if i is not None else self._unlisted(w, h) for w, h, i in zip(words, hashes.tolist(), found)}
         for chunk, p in zip(missing, parts):
             got = [ids[w] for w in p]
-            self.memory[chunk] = b"".join(got) if all(type(g) is bytes for g in got) else got
+            try:
+                self.memory[chunk] = b"".join(got)
+            except TypeError:
+                self.memory[chunk] = got
         return self.memory
 
 
@@ -331,8 +338,11 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(path)
-        for batch in batches:
-            out = [None if x is None else b"".join(map(table.__getitem__, x)) for x in batch.column(at).to_pylist()]
+        tokens = [table.get(i) for i in range(max(table) + 1)]
+        for batch in slices(batches):
+            out = []
+            for x in batch.column(at):
+                out.append(None if not x.is_valid else b"".join(map(tokens.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names)
 
     return encoded.mapInArrow(tidied(rows), encoded.select("*").schema.add("decoded", "binary"))
