@@ -143,18 +143,20 @@ def roman_value(text: Column) -> Column:
     digits = F.reverse(F.split(F.lower(text), ""))
     folded = F.aggregate(
         digits, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")),
-        lambda acc, c: F.struct((acc["sum"] + F.when(value(c) < acc["last"], -value(c)).otherwise(value(c))).alias("sum"), value(c).alias("last")),
+        lambda acc, c: F.struct((acc["sum"] + F.when(value(c) < acc["last"], -value(c)).otherwise(value(c))).alias("sum"), F.greatest(acc["last"], value(c)).alias("last")),
         lambda acc: acc["sum"],
     )
     return F.when(text.rlike("(?i)^[ivxlcdm]{1,9}$"), folded)
 
 
 def printed_number(text: Column) -> Column:
-    """(numeral, system) of a footer: the first run of Arabic-script digits, else of Western ones, else Roman ones."""
-    arabic, latin = F.regexp_extract(text, f"([{ARABIC_DIGITS}]+)", 1), F.regexp_extract(text, "([0-9]+)", 1)
-    roman = F.regexp_extract(text, "(?i)\\b([ivxlcdm]{1,9})\\b", 1)
+    """(label, numeral, system) of a footer: the first run of Arabic-script digits, else of Western ones, else of at most
+    nine Roman ones; null without any."""
+    first = lambda pattern, most: F.get(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x) <= most), 0)
+    arabic, latin, roman = first(f"[{ARABIC_DIGITS}]+", 1000), first("[0-9]+", 1000), first("[IVXLCDMivxlcdm]+", 9)
+    one = lambda label, number, system: F.struct(label.alias("label"), number.alias("numeral"), F.lit(system).alias("system"))
     return (
-        F.when(arabic != "", F.struct(F.expr("CAST(null AS INT)").alias("numeral"), F.lit("arabic").alias("system")).withField("numeral", western_digits(arabic).try_cast("int")))
-        .when(latin != "", F.struct(latin.try_cast("int").alias("numeral"), F.lit("latin").alias("system")))
-        .when(roman != "", F.struct(roman_value(roman).alias("numeral"), F.lit("roman").alias("system")))
+        F.when(arabic.isNotNull(), one(arabic, western_digits(arabic).try_cast("int"), "arabic"))
+        .when(latin.isNotNull(), one(latin, latin.try_cast("int"), "latin"))
+        .when(roman.isNotNull(), one(roman, roman_value(roman), "roman"))
     )
