@@ -322,8 +322,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
         return partly.select(*others, "ids")
     rare = keyed.select("_k1", "_k2", "_text").mapInArrow(tidied(occurrences), "word string, k1 long, k2 long, place int, at int")
     found = rare.join(words.select("word", "ids"), "word", "left").mapInArrow(tidied(filled), "k1 long, k2 long, place int, at int, ids binary")
-    met = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "at", "ids"))).alias("_rare"))
-    joined = partly.join(met, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*others, "ids", "_rare")
+    met = found.groupBy(F.col("k1").alias("_m1"), F.col("k2").alias("_m2")).agg(F.array_sort(F.collect_set(F.struct("place", "at", "ids"))).alias("_rare"))
+    joined = partly.join(met, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left").select(*others, "ids", "_rare")
     return joined.mapInArrow(tidied(put_together), kept)
 
 
