@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, tidied
 
 #: Pages of the sample, and pages that the generator writes.
-SAMPLE, WRITTEN = 150, 600
+SAMPLE, WRITTEN = 150, 900
 PATHS, WORDS, HIDDEN, PATH_SIZE, WORD_SIZE = 1024, 128, 16, 20, 6
 
 # Names of HTML elements by how they are treated.
@@ -94,7 +94,7 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         if m[2]:
             close(tag)
-        elif tag not in VOID and not m[4].endswith("/"):
+        elif tag not in VOID:
             if tag in CLOSES_ITSELF:
                 near = [t for t, _ in stack]
                 if tag in near and not {"ul", "ol", "table", "div", "section", "article", "blockquote"} & set(near[len(near) - near[::-1].index(tag) :]):
@@ -266,7 +266,7 @@ def written(words: list[str], seed: int) -> tuple[str, None]:
         names = OTHER[kind]
         attributes = named(names) if plain else f' {r.choice(["class", "class", "id"])}="{r.choice(names.split())}{r.choice(["", "-1", " box", "-wrap"])}"'
         if kind in {"menu", "share"} or (kind in {"foot", "head", "side"} and r.random() < 0.4):
-            items = "".join(f'<li><a href="/x">nono {some(1, 3)}</a></li>' for _ in range(r.randint(2, 9)))
+            items = "".join(r.choice(['<li><a href="/x">nono {0}</a></li>'] * 3 + ["<li>nono {0}</li>"]).format(some(1, 3)) for _ in range(r.randint(1, 9)))
             inner = items if tag == "ul" else f"<ul>{items}</ul>"
         elif kind == "form":
             inner = f"<label>nono {some(1, 3)}</label><input name=q><select><option>nono {some(1, 2)}</option></select><textarea>nono {some(1, 4)}</textarea><button>nono {some(1, 2)}</button>"
@@ -274,7 +274,7 @@ def written(words: list[str], seed: int) -> tuple[str, None]:
             one = lambda: r.choice([f'<div class="comment"><b>nono {some(1, 2)}</b><p>nono {some(4, 40)}</p></div>', f"<li><p>nono {some(3, 60)}</p></li>", f"<p>nono {some(5, 50)}</p>"])
             inner = r.choice(["", f"<h2>nono {some(1, 3)}</h2>"]) + "".join(one() for _ in range(r.randint(1, 6)))
         else:
-            inner = r.choice([f"nono {some(2, 30)}", f"<p>nono {some(2, 40)}</p>", f"<h3>nono {some(1, 4)}</h3><p>nono {some(3, 25)}</p>", f"<span>nono {some(1, 9)}</span> <a href=#>{some(1, 3)}</a>", f"&copy; nono {some(2, 10)}"]) * r.randint(1, 2)
+            inner = r.choice([f"nono {some(2, 30)}", f"<p>nono {some(2, 40)}</p>", f"<h{r.randint(1, 4)}>nono {some(1, 6)}</h4>", f"<h{r.randint(1, 4)}>nono {some(1, 4)}</h3><p>nono {some(3, 25)}</p>", f"<div>nono {some(1, 12)}</div>", f"<span>nono {some(1, 9)}</span> <a href=#>{some(1, 3)}</a>", f"&copy; nono {some(2, 10)}"]) * r.randint(1, 2)
         return f"<{tag}{attributes}>{inner}</{tag}>"
 
     def piece() -> str:
