@@ -31,7 +31,7 @@ FREQUENT, FREQUENT_LENGTH = 2_500_000, 64
 #: Bits of the table of other pre-tokens that occur twice or more.
 TABLE_BITS = 1 << 26
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 60_000
+REMEMBERED = 120_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Positions of the words that the tables leave to the shuffled join."""
         resolve = Resolver(*known.value, path)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             texts = [chunks(t) for t in batch.column(2).to_pylist()]
             memory = resolve(texts)
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of all words but those left to the join, as whole numbers of four bytes."""
         resolve = Resolver(*known.value, path)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             texts = [chunks(t) for t in batch.column(len(others)).to_pylist()]
             memory = resolve(texts)
             out = []
