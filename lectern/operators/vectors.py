@@ -92,10 +92,13 @@ def jaccard(a: Column, b: Column) -> Column:
 def rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, id: str) -> DataFrame:
     """Hits (q_id, id, dense_score, rank) with ``rerank_score``: the best of the token overlaps with the query and its
     folded copy, and the dense score. Only the hits meet their texts."""
-    joined = hits.join(queries.select("q_id", F.col("text").alias("q_text")), "q_id").join(texts.select(id, "text"), id)
-    overlap = lambda q: jaccard(tokens(q), tokens(F.col("text")))
-    score = F.greatest(overlap(F.col("q_text")), overlap(normalise_arabic(F.col("q_text"))), F.coalesce("dense_score", F.lit(0.0)))
-    return joined.withColumn("rerank_score", F.round(score, 9))
+    asked = queries.select("q_id", F.array_distinct(tokens(F.col("text"))).alias("_q"), F.array_distinct(tokens(normalise_arabic(F.col("text")))).alias("_c"))
+    # The sets are named by a function of one element: as columns they would be made anew at each use, once a filter on
+    # the score is pushed below them.
+    sets = F.struct(F.col("_q").alias("q"), F.col("_c").alias("c"), F.array_distinct(tokens(F.col("text"))).alias("t"))
+    overlap = F.get(F.transform(F.array(sets), lambda s: F.greatest(jaccard(s["q"], s["t"]), jaccard(s["c"], s["t"]))), 0)
+    score = F.greatest(overlap, F.coalesce("dense_score", F.lit(0.0)))
+    return hits.join(asked, "q_id").join(texts, id).withColumn("rerank_score", F.round(score, 9)).drop("_q", "_c")
 
 
 def compress(ranked: DataFrame, id: str, scope: Column, n: int = TOP, floor: float = FLOOR) -> DataFrame:
@@ -111,5 +114,5 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, id: str = "doc_id", scope
     """(q_id, place, id, rerank_score): sparse and dense search, fusion, reranking, floor and near-duplicate removal."""
     d, q = postings(docs, id, "text"), postings(queries, "q_id", "text")
     fused = fuse(dense_top(dense_postings(q, "q_id"), dense_postings(d, id), POOL, id), sparse_top(q, d, POOL, id), id, limit=POOL)
-    ranked = rerank(fused, queries, docs, id).join(docs.select(id, scope), id)
+    ranked = rerank(fused, queries, docs.select(id, "text", scope), id)
     return compress(ranked, id, F.coalesce(scope, F.lit("")), n).select("q_id", "place", id, "rerank_score")
