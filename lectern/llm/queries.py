@@ -75,6 +75,16 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read(spark, sf_dir, "documents"), fold(7) == 2)
 
 
+OP5_SQL = """WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sets a ON u = a.doc_id JOIN sets b ON v = b.doc_id WHERE 100 * k >= 80 * (len(a.s) + len(b.s) - k)),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS origin FROM sets UNION SELECT ways.v, reach.origin FROM reach JOIN ways ON reach.node = ways.u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(origin) AS component_id FROM sets JOIN reach ON node = doc_id GROUP BY doc_id, s"""
 OP9_SQL = """WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
@@ -91,4 +101,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op9_neighbours": OP9_SQL}
+    return {"op1_simhash": op1_simhash, "op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op5_jaccard": OP5_SQL, "op9_neighbours": OP9_SQL}
