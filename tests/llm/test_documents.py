@@ -180,6 +180,16 @@ def test_small_sets_and_heavy_lists(spark):
     assert got == brute_components(rows)
 
 
+def test_sets_of_four_and_five_link_under_a_high_boundary(spark):
+    """Texts of eight words and the same with a ninth, beside sets that move the boundary above four."""
+    rows = [(i, " ".join(f"a{i}_{j}" for j in range(8))) for i in range(12)]
+    rows += [(100 + i, f"{rows[i][1]} ninth") for i in range(6)]
+    rows += [(200 + i, " ".join(f"b{i}_{j}" for j in range(10 + i % 3))) for i in range(9)]
+    assert jaccard.boundary(Counter(len(shingle_set(t)) for _, t in rows)) > 4
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == i for i in range(6)) and got == brute_components(rows)
+
+
 # --- language ---------------------------------------------------------------------------------------------------------------
 
 def test_languages_are_told_apart(spark, odd, none):
