@@ -320,6 +320,19 @@ def test_model_is_a_distribution():
     assert abs(total - 1) < 1e-4 and own < 0
 
 
+def test_short_texts_are_refined_too(monkeypatch):
+    """A text of some thousand decisions, far below the longest segment, is scored by weights that move within it."""
+    from lectern.llm import mixing_model
+
+    texts = [prose(i, 80).replace("\n", " ").encode() for i in range(10)]
+    model = Model(Code(count_pairs(texts).reshape(256, 256)), [packed_logits(c) for c in Counts().parts()])
+    model.tables[0] = packed_logits(np.tile(np.array([1, 3], np.int32), 65536))
+    short = texts[0][:300]
+    moved = model.log10([short])[0]
+    monkeypatch.setattr(mixing_model, "RATE", 0.0)
+    assert moved != model.log10([short])[0]
+
+
 def test_all_queries_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) < set(queries.queries())
