@@ -320,6 +320,17 @@ def test_model_is_a_distribution():
     assert abs(total - 1) < 1e-4 and own < 0
 
 
+def test_two_bytes_tell_what_follows():
+    """After an order 4 context that wasn't seen, the last two bytes still predict; one byte says nothing here."""
+    texts = [(b"abx cby", b"cby abx")[i % 2] for i in range(40)]
+    code = Code(count_pairs(texts).reshape(256, 256))
+    counts = Counts()
+    counts.add(texts, code)
+    model = Model(code, [packed_logits(c) for c in counts.parts()])
+    likely, not_likely = model.log10([b"zzabx", b"zzaby"])
+    assert likely > not_likely + 0.2
+
+
 def test_short_texts_are_refined_too(monkeypatch):
     """A text of some thousand decisions, far below the longest segment, is scored by weights that move within it."""
     from lectern.llm import mixing_model
