@@ -331,6 +331,26 @@ def test_two_bytes_tell_what_follows():
     assert likely > not_likely + 0.2
 
 
+def test_slots_grow_with_the_distinct_contexts():
+    """Bits by parts of texts against plain counts of distinct contexts and next bytes, below and above the least bits."""
+    from lectern.llm import mixing_model
+
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 123, 8).astype(np.uint8)) for _ in range(20_000)]
+    for some in (texts[:50], texts):
+        pairs = {(t[:i], (t + b"\n")[i]) for t in some for i in range(len(t) + 1)}
+        parts = [mixing_model.Distinct() for _ in range(4)]
+        for i, d in enumerate(parts):
+            d.add(some[i::4])
+        least = np.unique(np.concatenate([d.least[2] for d in parts]))[: mixing_model.LEAST]
+        for times in (1, 1000):
+            scaled = least if times == 1 or len(least) < mixing_model.LEAST else least // times
+            want = len(pairs) * (times if len(least) == mixing_model.LEAST else 1) * mixing_model.SLOTS_EACH
+            got = mixing_model.slot_bits(2, scaled)
+            assert got >= 24 and (got == 24 or 0.45 * want * 0.9 < 2**got / 2 <= want * 1.1)
+    assert mixing_model.slot_bits(2, least // 1000) > 24 and mixing_model.slot_bits(1, least[:9]) >= 21
+
+
 def test_short_texts_are_refined_too(monkeypatch):
     """A text of some thousand decisions, far below the longest segment, is scored by weights that move within it."""
     from lectern.llm import mixing_model
