@@ -351,6 +351,23 @@ def test_slots_grow_with_the_distinct_contexts():
     assert mixing_model.slot_bits(2, least // 1000) > 24 and mixing_model.slot_bits(1, least[:9]) >= 21
 
 
+def test_slots_count_every_document_and_every_end(spark, monkeypatch):
+    """All slots of the model against counts of all texts at once, words by whether they end a text; the sample is in them."""
+    texts = [f"{prose(i, 30)} {('final', 'middle')[i % 2]} {('rare' + str(i), 'stop')[i % 3 > 0]}".replace("\n", " ") for i in range(40)] + ["middle"] * 3
+    kept = {}
+    learn = scoring.learn_model
+    monkeypatch.setattr(scoring, "learn_model", lambda *a: kept.setdefault("model", learn(*a)))
+    scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False)).count()
+    own = [words_of(t) for t in texts]
+    data = [b" ".join(w) for w in own]
+    code, counts = Code(count_pairs(data).reshape(256, 256)), Counts()
+    counts.add(data, code)
+    times, ends = Counter(w for words in own for w in words), Counter(words[-1] for words in own)
+    counts.add_words(list(times), np.array(list(times.values())), code, np.array([ends[w] for w in times]))
+    for table, count in zip(kept["model"].tables, counts.parts()):
+        assert np.array_equal(table, packed_logits(count))
+
+
 def test_short_texts_are_refined_too(monkeypatch):
     """A text of some thousand decisions, far below the longest segment, is scored by weights that move within it."""
     from lectern.llm import mixing_model
