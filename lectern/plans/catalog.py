@@ -114,6 +114,25 @@ def payload_filter_topk(spark, sf_dir):
     return V.vector_top(q, R.payload_filter(all_, label=3, source=None).select("vec_id", F.col("embedding").alias("v")))
 
 
+@query("""SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, embeddings v)) WHERE rank <= 10""")
+def dense_topk_cosine_all(spark, sf_dir):
+    """Every vector is a query."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return V.vector_top(v.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q")), v)
+
+
+@query("""SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, embeddings v WHERE v.label = 3)) WHERE rank <= 10""")
+def payload_filter_topk_all(spark, sf_dir):
+    """Every vector is a query; the filter stands below the ranking."""
+    all_ = read(spark, sf_dir, "embeddings")
+    q = all_.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    return V.vector_top(q, R.payload_filter(all_, label=3, source=None).select("vec_id", F.col("embedding").alias("v")))
+
+
 @query(f"""WITH {_POSTINGS}, hits AS (
   SELECT q_id, CAST(idx % 3 AS INTEGER) AS candidate, doc_id, CAST(sum(d.tf * q.tf) AS DOUBLE) AS score FROM d_post d JOIN q_post q USING (idx) GROUP BY ALL),
 best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY q_id, doc_id ORDER BY score DESC, candidate) = 1)
@@ -133,6 +152,17 @@ def jaccard_rerank(spark, sf_dir):
     return d.join(q, "k").select("q_id", "doc_id", F.round(V.jaccard(F.col("q"), F.col("t")), 9).alias("score"))
 
 
+@query(f"""WITH {_POSTINGS},{_SPARSE},{_DENSE},{_FUSED},
+s AS (SELECT q_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '\\S+')) AS q, list_distinct(regexp_extract_all(lower(d.text), '\\S+')) AS t FROM fused JOIN benchmark b ON q_id = item_id JOIN documents d USING (doc_id))
+SELECT q_id, doc_id, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE CAST(len(list_intersect(q, t)) AS DOUBLE) / len(list_distinct(list_concat(q, t))) END, 9) AS score FROM s""")
+def jaccard_rerank_hits(spark, sf_dir):
+    """The pairs are the fused hits of all questions."""
+    q = questions(spark, sf_dir).select("q_id", T.tokens(F.col("text")).alias("q"))
+    d = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    hits = rrf_fuse(spark, sf_dir).select("q_id", "doc_id")
+    return hits.join(q, "q_id").join(d, "doc_id").select("q_id", "doc_id", F.round(V.jaccard(F.col("q"), F.col("t")), 9).alias("score"))
+
+
 @query("""SELECT source, CAST(place AS INTEGER) AS place, doc_id, score FROM (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM (
   SELECT source, doc_id, score, row_number() OVER (PARTITION BY source, lang, substr(text, 1, 200) ORDER BY score DESC, doc_id) AS n
   FROM (SELECT *, round(n_chars / 100000, 9) AS score FROM documents) WHERE score >= 0.005) WHERE n = 1) WHERE place <= 8""")

@@ -10,7 +10,7 @@ from ..operators import answers as A
 from ..operators import chunking as C
 from ..operators import layout as Y
 from ..operators import metadata as M
-from .catalog import query, read
+from .catalog import _DENSE, _FUSED, _POSTINGS, _SPARSE, query, read, rrf_fuse
 
 _FRAME = """blocks AS (
   SELECT l_orderkey % 50 AS doc_id, l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS block_index, CAST(40 + l_partkey * 37 % 400 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_linenumber * 97) % 830 AS DOUBLE) AS y0,
@@ -144,6 +144,19 @@ def best_sentence(spark, sf_dir):
     return A.best_sentences(d.join(b, "k"))
 
 
+@query(f"""WITH {_POSTINGS},{_SPARSE},{_DENSE},{_FUSED},
+p AS (SELECT q_id, doc_id AS chunk_id, b.text AS question, d.text FROM fused JOIN benchmark b ON q_id = b.item_id JOIN documents d USING (doc_id)),
+s AS (SELECT q_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS q, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([।.?؟])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') AS parts FROM p)),
+h AS (SELECT *, len(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: list_contains(q, w))) AS hits FROM s)
+SELECT q_id, chunk_id, sentence, CAST(hits AS INTEGER) AS hits FROM h QUALIFY row_number() OVER (PARTITION BY q_id, chunk_id ORDER BY hits DESC, i) = 1""")
+def best_sentence_hits(spark, sf_dir):
+    """The pairs are the fused hits of all questions."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = rrf_fuse(spark, sf_dir).select("q_id", F.col("doc_id").alias("chunk_id"))
+    return A.best_sentences(hits.join(b, "q_id").join(d, "chunk_id"))
+
+
 @query("""WITH r AS (SELECT l_orderkey AS q_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, l_discount * 8 AS s, l_shipmode AS topic, l_linestatus = 'F' AS verified FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem)),
 a AS (SELECT q_id, round_even(max(s), 4) AS score, CASE WHEN count(DISTINCT CASE WHEN rank <= 3 THEN topic END) <= 1 THEN 'consensus' ELSE 'conflict' END AS agreement, count(*) FILTER (rank <= 3 AND verified) AS verified FROM r GROUP BY 1)
 SELECT *, CASE WHEN score >= CAST(0.6 AS DOUBLE) AND agreement = 'consensus' AND verified >= 2 THEN 'high' WHEN score >= CAST(0.35 AS DOUBLE) THEN 'medium' ELSE 'low' END AS level FROM a""")

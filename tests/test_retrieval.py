@@ -85,3 +85,19 @@ def test_latency_and_refusals(spark):
     gate = E.gate(spark.createDataFrame([("recall@10", 0.9), ("hallucination_rate", 0.2)], "metric string, actual double"))
     bad = {r.metric for r in gate.filter("violation").collect()}
     assert "hallucination_rate" in bad and "mrr" in bad and "recall@10" not in bad
+
+
+def test_whole_table_queries_against_their_sql(spark, tmp_path):
+    """All vectors ask, and all questions' fused hits are scored: rows as by SQL."""
+    import duckdb
+
+    from lectern.plans import catalog, documents  # noqa: F401
+
+    con = duckdb.connect()
+    for name, rows in (("embeddings", 40), ("documents", 60), ("benchmark", 12)):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(rows).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name, key, many in (("dense_topk_cosine_all", "q_id", 40), ("payload_filter_topk_all", "q_id", 40), ("jaccard_rerank_hits", "q_id", 12), ("best_sentence_hits", "q_id", 12)):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+        assert len({r[key] for r in got}) == many
