@@ -101,4 +101,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op5_jaccard": OP5_SQL, "op9_neighbours": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op5_jaccard": OP5_SQL, "op9_neighbours": OP9_SQL}

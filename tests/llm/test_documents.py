@@ -384,3 +384,7 @@ def test_short_texts_are_refined_too(monkeypatch):
 def test_all_queries_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) < set(queries.queries())
+
+
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
