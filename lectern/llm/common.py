@@ -74,6 +74,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidied(rows):
     """The same function of batches, which gives memory back to the system once a partition is done.
 
@@ -82,10 +90,7 @@ def tidied(rows):
     @functools.wraps(rows)
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return out
 
