@@ -1,10 +1,9 @@
-"""Byte-level BPE by public rank files, with every distinct pre-token encoded once.
+"""Byte-level BPE by public rank files, with every distinct pre-token of the corpus encoded once.
 
-Pre-tokens are counted over the whole corpus. Each one that occurs twice or more is encoded once, and its ids are joined
-back: the most frequent ones, up to a bound, by a broadcast table of hashes and ids; the occurrences of any others, with
-their positions, by a shuffled join, after which documents are put together by position. A pre-token that occurs once
-has no ids to join: it is encoded where it stands. A bit table of bounded size tells the two kinds apart; where it errs,
-the occurrence takes the shuffled join and is encoded there.
+Texts are cut into pre-tokens, run by run of texts. Each run's distinct pre-tokens, and for every position in its texts
+which of them stands there, are written once. The pre-tokens are then dealt out by hash, so that all occurrences of one
+meet: it is encoded there once and its ids are joined back to every run that has it. The ids go back to their runs, and
+the texts are put together by position.
 """
 
 from __future__ import annotations
@@ -12,26 +11,27 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import materialise, slices, tidied
 
-#: Pre-tokens in the broadcast table (hash, offset and ids: some 20 bytes each), and their longest length in characters.
-FREQUENT, FREQUENT_LENGTH = 2_500_000, 64
-#: Bits of the table of other pre-tokens that occur twice or more.
-TABLE_BITS = 1 << 26
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 120_000
+#: Characters of a run of texts. A longer text is a run by itself.
+RUN_CHARS = 16_000_000
+#: Bytes of input for each bucket of pre-tokens, and the bounds of the buckets' number as powers of two.
+BUCKET_BYTES, BUCKET_BITS = 8 << 20, (6, 14)
+#: Positions that are put together at once, and chunks whose pre-tokens a run remembers.
+TOGETHER, REMEMBERED = 1 << 20, 500_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -104,27 +104,21 @@ def _encode_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of a text whose pre-tokens don't depend on one another, without the space that each but the first begins with.
+def chunks(text: str) -> tuple[str, list[str]]:
+    """Parts of a text whose pre-tokens don't depend on one another: the first as it is, the others without the space
+    that each begins with.
 
-    If no two white spaces meet, a space always begins a pre-token, so that the text may be cut there. A part without a
-    space before it, and a whole text that can't be cut, is marked by a leading NUL.
+    If no two white spaces meet, a space always begins a pre-token, so that the text may be cut there. Another text is
+    one part.
     """
-    if not text:
-        return []
     if _TWO_SPACES.search(text):
-        return ["\0" + text]
+        return text, []
     parts = text.split(" ")
-    if parts[0]:
-        parts[0] = "\0" + parts[0]
-        return parts
-    return parts[1:]
+    return parts[0], parts[1:]
 
 
 def pre_tokens(chunk: str) -> list[str]:
-    """The pre-tokens of a part; letters, maybe before one mark, need no pattern."""
-    if chunk[:1] == "\0":
-        return _pattern().findall(chunk[1:])
+    """The pre-tokens of a part that a space begins; letters, maybe before one mark, need no pattern."""
     if chunk.isalpha():
         return [" " + chunk]
     if chunk[-1:] in {".", ",", "!", "?", ";", ":"} and chunk[:-1].isalpha():
@@ -132,199 +126,204 @@ def pre_tokens(chunk: str) -> list[str]:
     return _pattern().findall(" " + chunk)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], np.uint64).view(np.int64)
-
+class Run:
+    """The pre-tokens of a run of texts: each distinct one, and which of them stands at every position."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
+        # The words of all chunks one after another, and the first and the number of each chunk's.
+        self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.positions: list[np.ndarray] = []
+        self.lengths: list[int] = []
+        self.chars = 0
+
+    def _numbered(self, words: list[str]) -> list[int]:
+        return [self.words.setdefault(w, len(self.words)) for w in words]
+
+    def add(self, texts: list[str]) -> None:
+        cut = [chunks(t) for t in texts]
+        asked = set().union(*(parts for _, parts in cut)) if cut else set()
+        missing = asked.difference(self.chunks)
+        if len(self.chunks) + len(missing) > REMEMBERED:
+            self.chunks, missing = {}, asked
+            self.flat, self.first, self.size = self.flat[:0], self.first[:0], self.size[:0]
+        self.chunks.update(zip(missing, range(len(self.chunks), len(self.chunks) + len(missing))))
+        words = [self._numbered(pre_tokens(c)) for c in missing]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.r_[self.first, len(self.flat) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(words), np.int32, int(size.sum()))]
+        number = self.chunks.__getitem__
+        for text, (head, parts) in zip(texts, cut):
+            own = np.fromiter(map(number, parts), np.int64, len(parts))
+            begin = np.array(self._numbered(_pattern().findall(head)), np.int32)
+            self.positions.append(np.r_[begin, spread(self.flat, self.first[own], self.size[own])].astype(np.int32))
+            self.lengths.append(len(self.positions[-1]))
+            self.chars += len(text)
+
+    def packed(self, bits: int) -> tuple[list[tuple[int, bytes]], bytes, bytes, bytes]:
+        """The words of each bucket, most frequent first; then, packed, the bucket of every word, the positions as ranks
+        of words by frequency, and the texts' lengths in positions."""
+        words = list(self.words)
+        at = np.concatenate(self.positions) if self.positions else np.zeros(0, np.int32)
+        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words))
+        at = rank[at]
+        body = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+        bucket = np.array([xxhash.xxh64_intdigest(w, 42) & ((1 << bits) - 1) for w in body], np.uint16)
+        by = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket[by].astype(np.int64)) > 0, True][: len(by) + 1]) if len(by) else np.zeros(1, np.int64)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        rows = [(int(bucket[by[i]]), pack(_joined([body[k] for k in by[i:j].tolist()]))) for i, j in zip(cut[:-1], cut[1:])]
+        planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T) if len(at) else at
+        return rows, pack(bucket.tobytes()), pack(planes.tobytes()), pack(np.array(self.lengths, np.int64).tobytes())
+
+
+def spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin at ``first`` and have the given sizes, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _joined(items: list[bytes]) -> bytes:
+    return np.array([len(items), *map(len, items)], np.int32).tobytes() + b"".join(items)
+
+
+def _split(body: bytes) -> list[bytes]:
+    n = int(np.frombuffer(body, np.int32, 1)[0])
+    ends = (np.cumsum(np.frombuffer(body, np.int32, n, 4)) + 4 * (n + 1)).tolist()
+    return [body[i:j] for i, j in zip([4 * (n + 1), *ends], ends)]
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of a bucket of pre-tokens, by Spark's estimate of the input: a task holds one bucket's distinct pre-tokens."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(BUCKET_BITS[0], (size // BUCKET_BYTES).bit_length()), BUCKET_BITS[1])
+
+
+def _runs(bits: int, n: int, run_chars: int):
+    """Rows (n other columns, text) to rows of two kinds: a bucket of a run's pre-tokens (run, bucket, words), and a run
+    (run, the rows' other columns, the packed places of their pre-tokens)."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        number, run, held = 0, Run(), []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            key = part << 32 | number
+            buckets, place, positions, lengths = run.packed(bits)
+            k = len(buckets)
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array([key] * k), pa.array([b for b, _ in buckets], pa.int32()), pa.array([w for _, w in buckets], pa.binary()), pa.nulls(k, kind), *[pa.nulls(k, pa.binary())] * 3], names)
+            every = pa.chunked_array(held).combine_chunks()
+            rest = pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), rest, *(pa.array([x], pa.binary()) for x in (place, positions, lengths))], names)
+
+        names = ["run", "bucket", "words", "rows", "place", "positions", "lengths"]
+        kind = None
+        for batch in slices(batches, 512):
+            inner = pa.StructArray.from_arrays(batch.columns[:n], [f"c{i}" for i in range(n)]) if n else pa.StructArray.from_arrays([pa.nulls(batch.num_rows, pa.int32())], ["c0"])
+            kind = pa.list_(inner.type)
+            texts = batch.column(n).to_pylist()
+            at = 0
+            while at < len(texts):
+                # A run ends before it would hold too many characters.
+                to, chars = at, run.chars
+                while to < len(texts) and (chars + len(texts[to]) <= run_chars or (to == at and not run.lengths)):
+                    chars += len(texts[to])
+                    to += 1
+                if to > at:
+                    run.add(texts[at:to])
+                    held.append(inner.slice(at, to - at))
+                    at = to
+                if at < len(texts):
+                    yield from done()
+                    number, run, held = number + 1, Run(), []
+        if run.lengths:
+            yield from done()
+
+    return rows
+
+
+def _encoded(path: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(run, bucket, words), sorted by bucket, to (run, bucket, ids): each distinct word is encoded once, and its ids
+        are joined to every run that has it."""
+        ranks = _ranks(path)
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        now, known = None, {}
+        for batch in batches:
+            out = []
+            for bucket, body in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = _split(unpack(body.as_buffer()))
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encode_piece(w, ranks), np.int32).tobytes()
+                out.append(pack(_joined([known[w] for w in words])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["run", "bucket", "ids"])
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (word, n): the distinct pre-tokens of each batch."""
-    for batch in slices(batches):
-        parts: Counter[str] = Counter()
-        for text in batch.column(0).to_pylist():
-            parts.update(chunks(text or ""))
-        words: dict[str, int] = {}
-        get = words.get
-        for chunk, n in parts.items():
-            for word in pre_tokens(chunk):
-                words[word] = get(word, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+    return rows
 
 
-def repeated_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, hash, ids): every pre-token that occurs twice or more, its count and its packed ids."""
+def _put_together(names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(path)
+        """Runs with the ids of their words, (rows, place, positions, lengths, buckets), to the rows with their ids."""
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word_hashes(words)), pa.array(ids, pa.binary())], ["word", "n", "hash", "ids"])
-
-    counted = docs.select("_text").mapInArrow(tidied(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return materialise(counted.mapInArrow(tidied(rows), "word string, n long, hash long, ids binary"), "words")
-
-
-class Table:
-    """Ids by hash: sorted hashes, offsets and packed ids."""
-
-    def __init__(self, hashes: np.ndarray, ids: pa.Array):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        taken = ids.take(pa.array(order))
-        self.ends = np.cumsum(pc.binary_length(taken).to_numpy().astype(np.int64)).astype(np.uint32)
-        self.flat = b"".join(taken.to_pylist())
-
-    def find(self, hashes: np.ndarray) -> list[bytes | None]:
-        if not len(self.hashes) or not len(hashes):
-            return [None] * len(hashes)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        last = self.ends[at].tolist()
-        first = np.where(at > 0, self.ends[at - 1], 0).tolist()
-        flat = self.flat
-        return [flat[i:j] if same else None for i, j, same in zip(first, last, (self.hashes[at] == hashes).tolist())]
-
-
-def frequent_table(words: DataFrame) -> tuple[Table, int]:
-    """The table of the most frequent short pre-tokens, all of a count above the one at which there would be too many;
-    and the least count that it holds."""
-    short = words.filter(F.length("word") <= FREQUENT_LENGTH)
-    steps = short.groupBy(F.least(F.col("n"), F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()
-    total, least = 0, 4097
-    for r in steps:
-        total += r["count"]
-        if total > FREQUENT:
-            break
-        least = r.n
-    got = short.filter(F.col("n") >= least).select("hash", "ids").toArrow().combine_chunks()
-    column = lambda i, t: got.column(i).chunk(0) if got.column(i).num_chunks else pa.array([], t)
-    return Table(column(0, pa.int64()).to_numpy(zero_copy_only=False), column(1, pa.binary())), least
-
-
-def bit_table(others: DataFrame) -> np.ndarray:
-    """Bits of the hashes of ``others``: at most ``TABLE_BITS``, in words of 64, whatever the number of rows."""
-    at = F.col("hash").bitwiseAND(F.lit(TABLE_BITS - 1))
-    marks = others.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((hash & {TABLE_BITS - 1}) % 64 AS INT))").alias("bit"))
-    got = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(TABLE_BITS >> 6, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out
-
-
-class Resolver:
-    """Ids of chunks: bytes, or a list of bytes and of words that must be looked up elsewhere."""
-
-    def __init__(self, table: Table, bits: np.ndarray | None, path: str):
-        self.table, self.bits, self.ranks = table, bits, _ranks(path)
-        self.memory: dict[str, bytes | list] = {}
-
-    def _unlisted(self, word: str, code: int) -> bytes | str:
-        if self.bits is not None:
-            at = code & (64 * len(self.bits) - 1)
-            if int(self.bits[at >> 6]) >> (at & 63) & 1:
-                return word
-        return np.array(encode_piece(word.encode("utf-8"), self.ranks), np.int32).tobytes()
-
-    def __call__(self, texts: list[list[str]]) -> dict[str, bytes | list]:
-        """What each chunk of the texts resolves to."""
-        asked = set().union(*texts) if texts else set()
-        missing = [c for c in asked if c not in self.memory]
-        if len(self.memory) + len(missing) > REMEMBERED:
-            # What is asked for again and again stays.
-            self.memory = {c: self.memory[c] for c in asked.difference(missing)}
-        parts = [pre_tokens(c) for c in missing]
-        words = list(dict.fromkeys(w for p in parts for w in p))
-        hashes = word_hashes(words)
-        found = self.table.find(hashes)
-        ids = {w: i if i is not None else self._unlisted(w, h) for w, h, i in zip(words, hashes.tolist(), found)}
-        for chunk, p in zip(missing, parts):
-            got = [ids[w] for w in p]
-            try:
-                self.memory[chunk] = b"".join(got)
-            except TypeError:
-                self.memory[chunk] = got
-        return self.memory
-
-
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+            for i in range(batch.num_rows):
+                inner = batch.column(0)[i].values
+                place, planes, lengths = (np.frombuffer(unpack(batch.column(k)[i].as_buffer()), t) for k, t in ((1, np.uint16), (2, np.uint8), (3, np.int64)))
+                found = batch.column(4)[i]
+                size, body = np.zeros(len(place), np.int64), []
+                buckets = sorted(zip(found.values.field(0).to_pylist(), range(len(found.values)))) if found.is_valid else []
+                if len(buckets) != len(np.unique(place)):
+                    raise ValueError("a run's pre-tokens haven't all come back")
+                for _, k in buckets:
+                    got = unpack(found.values.field(1)[k].as_buffer())
+                    n = int(np.frombuffer(got, np.int32, 1)[0])
+                    body.append((np.frombuffer(got, np.int32, n, 4) // 4, np.frombuffer(got, np.int32, -1, 4 * (n + 1))))
+                by = np.argsort(place, kind="stable")
+                size[by] = np.concatenate([s for s, _ in body]) if body else 0
+                flat = np.concatenate([f for _, f in body]) if body else np.zeros(0, np.int32)
+                first = np.zeros(len(place), np.int64)
+                first[by] = np.cumsum(size[by]) - size[by]
+                positions = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel() if len(planes) else np.zeros(0, np.int32)
+                ends = np.r_[0, np.cumsum(lengths)]
+                at = 0
+                while at < len(lengths):
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
+                    own = positions[ends[at] : ends[to]]
+                    ids, cut = spread(flat, first[own], size[own]), np.r_[0, np.cumsum(size[own])]
+                    offsets = pa.array(cut[ends[at : to + 1] - ends[at]].astype(np.int32))
+                    columns = [inner.field(k).slice(at, to - at) for k in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*names, "ids"])
+                    at = to
+
+    return rows
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, run_chars: int = RUN_CHARS) -> DataFrame:
     """``docs`` without the text, with ``ids``: the array of token ids of each whole text.
 
     Null and empty texts have no ids. Repeated rows each come back. Special tokens are ordinary text. Any other columns
-    pass through, whatever their names, but for names that begin with an underscore, and ``ids``. An empty table gives an
-    empty one.
+    pass through, whatever their names, but for ``ids``. An empty table gives an empty one.
     """
     path = path or default_rank_file()
     others = [c for c in docs.columns if c != text]
-    value = F.coalesce(F.col(text), F.lit(""))
-    keys = [F.xxhash64(F.to_json(F.struct(*others)) if others else F.lit(0), value).alias("_k1"), F.xxhash64(value, F.lit(1)).alias("_k2")]
-    keyed = docs.select(*others, value.alias("_text"), *keys)
-    words = repeated_words(keyed, path)
-    table, least = frequent_table(words)
-    others_ = words.filter((F.col("n") < least) | (F.length("word") > FREQUENT_LENGTH))
-    any_other = not others_.isEmpty()
-    known = docs.sparkSession.sparkContext.broadcast((table, bit_table(others_) if any_other else None))
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Positions of the words that the tables leave to the shuffled join."""
-        resolve = Resolver(*known.value, path)
-        for batch in slices(batches, 1024):
-            texts = [chunks(t) for t in batch.column(2).to_pylist()]
-            memory = resolve(texts)
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for k1, k2, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                at = place = 0
-                for got in map(memory.__getitem__, parts):
-                    for part in (got,) if type(got) is bytes else got:
-                        if type(part) is bytes:
-                            at += len(part)
-                        else:
-                            for column, x in zip(out, (part, k1, k2, place, at // 4)):
-                                column.append(x)
-                            place += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["word", "k1", "k2", "place", "at"])
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids for the words of which there is one after all."""
-        ranks = _ranks(path)
-        for batch in batches:
-            ids = [np.array(encode_piece(w.encode("utf-8"), ranks), np.int32).tobytes() if i is None else i for w, i in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(ids, pa.binary())], ["k1", "k2", "place", "at", "ids"])
-
-    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids of all words but those left to the join, as whole numbers of four bytes."""
-        resolve = Resolver(*known.value, path)
-        for batch in slices(batches, 1024):
-            texts = [chunks(t) for t in batch.column(len(others)).to_pylist()]
-            memory = resolve(texts)
-            out = []
-            for parts in texts:
-                got = list(map(memory.__getitem__, parts))
-                try:
-                    out.append(np.frombuffer(b"".join(got), np.int32))
-                except TypeError:
-                    out.append(np.frombuffer(b"".join(p for g in got for p in ((g,) if type(g) is bytes else g) if type(p) is bytes), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.list_(pa.int32())), *batch.columns[len(others) + 1 :]], [*others, "ids", "_k1", "_k2"])
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(others)
-        for batch in batches:
-            out = []
-            for ids, rare in zip(batch.column(n), batch.column(n + 1).to_pylist()):
-                ids = ids.values.to_numpy()
-                if rare:
-                    cut = np.split(ids, [r["at"] for r in rare])
-                    ids = np.concatenate([x for a, r in zip(cut, rare) for x in (a, np.frombuffer(r["ids"], np.int32))] + [cut[-1]])
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.list_(pa.int32()))], [*others, "ids"])
-
-    kept = docs.select(*others).schema.add("ids", ArrayType(IntegerType()))
-    keyed_schema = docs.select(*others).schema.add("ids", ArrayType(IntegerType())).add("_k1", "long").add("_k2", "long")
-    partly = keyed.mapInArrow(tidied(known_ids), keyed_schema)
-    if not any_other:
-        return partly.select(*others, "ids")
-    rare = keyed.select("_k1", "_k2", "_text").mapInArrow(tidied(occurrences), "word string, k1 long, k2 long, place int, at int")
-    found = rare.join(words.select("word", "ids"), "word", "left").mapInArrow(tidied(filled), "k1 long, k2 long, place int, at int, ids binary")
-    met = found.groupBy(F.col("k1").alias("_m1"), F.col("k2").alias("_m2")).agg(F.array_sort(F.collect_set(F.struct("place", "at", "ids"))).alias("_rare"))
-    joined = partly.join(met, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left").select(*others, "ids", "_rare")
-    return joined.mapInArrow(tidied(put_together), kept)
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    row = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.select(*[f"`{c}`" for c in others]).schema)]) if others else StructType().add("c0", "integer")
+    shape = StructType().add("run", "long").add("bucket", "integer").add("words", "binary").add("rows", ArrayType(row)).add("place", "binary").add("positions", "binary").add("lengths", "binary")
+    # Written once, so that a run is the same run for both that read it, whatever is lost.
+    runs = materialise(keyed.mapInArrow(tidied(_runs(bucket_bits(docs), len(others), run_chars)), shape), "runs")
+    words = runs.filter("bucket is not null").select("run", "bucket", "words")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_encoded(path)), "run long, bucket int, ids binary")
+    back = ids.groupBy("run").agg(F.collect_list(F.struct("bucket", "ids")).alias("buckets"))
+    met = runs.filter("bucket is null").select("run", "rows", "place", "positions", "lengths").join(back, "run", "left")
+    kept = StructType([*docs.select(*[f"`{c}`" for c in others]).schema, StructField("ids", ArrayType(IntegerType()))])
+    return met.select("rows", "place", "positions", "lengths", "buckets").mapInArrow(tidied(_put_together(others)), kept)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

@@ -220,23 +220,41 @@ def test_profile_against_plain_counts():
 
 # --- tokens -------------------------------------------------------------------------------------------------------------------
 
-def test_bpe_against_the_library(spark, odd, none, monkeypatch):
+def test_bpe_against_the_library(spark, odd, none):
+    """With runs of any length: texts with NULs and other controls, repeated rows, and no other column at all, too."""
     import public_tokenizers
     import tiktoken
 
     path = bpe.default_rank_file()
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(path), special_tokens={})
-    for frequent in (bpe.FREQUENT, 5):
-        monkeypatch.setattr(bpe, "FREQUENT", frequent)
-        got = bpe.decode(bpe.encode(clashing(odd).drop("lang"))).collect()
-        assert len(got) == odd.count()
-        texts = defaultdict(list)
-        for i, t, *_ in odd_rows():
-            texts[i].append(encoding.encode_ordinary(t or ""))
-        for r in got:
-            assert r.ids in texts[r.doc_id]
-            assert encoding.decode_bytes(r.ids) == r.decoded
-    assert bpe.digests(none).count() == 0
+    controls = ["a \0b", "\0", "\0a \0 b\0", " \0", "a\x1cb \x85c", "\x0b \x0c", "x ", " x", "it's 12 we'll", "\u3000x \u200by", "<|endoftext|>"]
+    more = [(1000 + i, t, "en", "src0", None) for i, t in enumerate(controls)]
+    rows = [*odd_rows(), *more, more[0]]
+    docs = odd.union(spark.createDataFrame([*more, more[0]], odd.schema))
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(encoding.encode_ordinary(t or ""))
+    for chars in (bpe.RUN_CHARS, 2000, 1):
+        got = bpe.decode(bpe.encode(clashing(docs).drop("lang"), run_chars=chars)).collect()
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(x)) for i, xs in texts.items() for x in xs)
+        assert all(encoding.decode_bytes(r.ids) == r.decoded and r.score_ == 1 for r in got)
+    alone = bpe.encode(docs.select("text"))
+    assert alone.columns == ["ids"] and Counter(tuple(r.ids) for r in alone.collect()) == Counter(tuple(x) for xs in texts.values() for x in xs)
+    assert bpe.encode(none).columns == ["doc_id", "lang", "source", "n_chars", "ids"] and bpe.digests(none).count() == 0
+
+
+def test_a_bucket_encodes_each_word_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(bpe, "encode_piece", lambda w, ranks: asked.append(w) or [len(w)])
+    import pyarrow as pa
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+    lists = [(0, [b"a", b"bb"]), (0, [b"bb", b"", b"ccc"]), (1, [b"d"])]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 7]), pa.array([b for b, _ in lists], pa.int32()), pa.array([pack(bpe._joined(w)) for _, w in lists])], ["run", "bucket", "words"])
+    out = next(bpe._encoded(bpe.default_rank_file())(iter([batch])))
+    got = [[np.frombuffer(i, np.int32).tolist() for i in bpe._split(unpack(b))] for b in out.column(2).to_pylist()]
+    assert got == [[[1], [2]], [[2], [0], [3]], [[1]]] and sorted(asked) == [b"", b"a", b"bb", b"ccc", b"d"]
 
 
 # --- toxicity -------------------------------------------------------------------------------------------------------------------
