@@ -74,13 +74,17 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
 
 
 def fit_isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and their calibrated probabilities, one pseudo-row of each class at the ends."""
-    order = np.argsort(margin, kind="stable")
-    m = np.concatenate([[margin.min() - 1], margin[order], [margin.max() + 1]])
-    v = np.concatenate([[0.0], y[order], [1.0]])
+    """Pool adjacent violators: knots and their calibrated probabilities, one pseudo-row of each class at the ends.
+
+    ``margin`` has one number or more.
+    """
+    # Rows of one margin are one block from the start, so that their order doesn't matter.
+    m, at = np.unique(np.r_[margin.min() - 1, margin, margin.max() + 1], return_inverse=True)
+    count = np.bincount(at).astype(float)
+    ones = np.bincount(at, np.r_[0.0, y, 1.0])
     blocks: list[list[float]] = []  # sum, count, sum of margins
-    for a, b in zip(m, v):
-        blocks.append([b, 1.0, a])
+    for a, n, b in zip(m, count, ones):
+        blocks.append([b, n, a * n])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space that separates words: the space and the controls from tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -67,6 +68,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of ``df``, by which numbers of buckets grow."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def least_hashed(rows: DataFrame, group: str, bound: int, key: str = "doc_id") -> DataFrame:
+    """Of each group the ``bound`` rows with the smallest hashes of their key, ties by the key, and all of a smaller group.
+
+    ``rows`` has no null group, and each key once in a group. Counts of the groups give a threshold that leaves little
+    more than the bound, so that no window sees a whole group; the groups' counts come to the driver. In one case of
+    billions the threshold leaves a few rows less.
+    """
+    # An odd hash, so that the rows aren't those that another hash of the key picks.
+    value = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(7)), 1)
+    share = lambda n: min(1.0, (bound + 8 * bound**0.5 + 32) / n)
+    limits = [(r[0], min(2**63 - 1, int(share(r[1]) * 2**63))) for r in rows.groupBy(group).count().collect()]
+    few = rows.sparkSession.createDataFrame(limits, rows.select(group).schema.add("_most", "long"))
+    order = Window.partitionBy(group).orderBy("_hash", key)
+    left = rows.join(F.broadcast(few), group).withColumn("_hash", value).filter(F.col("_hash") <= F.col("_most"))
+    return left.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= bound).select(*rows.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a Python worker makes of one stays small."""
     for batch in batches:

@@ -8,10 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import least_hashed, materialise, tidied
 
 #: N-grams of a profile, and documents of each language that a profile is learned from at most.
 PROFILE, DOCUMENTS = 400, 2000
@@ -61,19 +60,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, known: Column, documents: int = DOCUMENTS, size: int = PROFILE) -> dict[str, np.ndarray]:
     """The profile of each language, from at most ``documents`` of its documents for which ``known`` holds.
 
-    Those with the smallest hashes of their ids are taken. Documents without a language or text teach nothing; a language
-    whose documents have no letter isn't learned. ``docs`` has doc_id, text and lang.
+    Those with the smallest hashes of their ids are taken. Documents without an id, a language or a text teach nothing; a
+    language whose documents have no letter isn't learned. ``docs`` has doc_id, text and lang. The languages' counts of
+    documents, and a little more than their profiles, come to the driver.
     """
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.filter(known & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= documents).select("doc_id", "lang")
+    ids = docs.filter(known & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
+    ids = least_hashed(ids, "lang", documents)
     # At most ``documents`` ids of each language: the size is proven.
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text")
-    counted = sample.mapInArrow(tidied(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size)
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
+    # Dealt by n-gram, not by language: there are few languages, and one may have most documents.
+    counted = sample.mapInArrow(tidied(_counted), "lang string, gram long, n long").repartition("gram").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "grams")
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in counted.groupBy("lang", "n").count().collect():
+        found.setdefault(r.lang, []).append((r.n, r["count"]))
+    least = []
+    for lang, steps in found.items():
+        total = 0
+        for n, k in sorted(steps, reverse=True):
+            total += k
+            if total >= size:
+                break
+        least.append((lang, n))
+    few = docs.sparkSession.createDataFrame(least, "lang string, least long")
+    top = counted.join(F.broadcast(few), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n").collect()
     out: dict[str, list] = {}
-    for r in top.orderBy("lang", "place").collect():
-        out.setdefault(r.lang, []).append(r.gram)
-    return {lang: np.array(keys, np.int64) for lang, keys in out.items()}
+    for lang, gram, _ in sorted(top, key=lambda r: (r[0], -r[2], r[1])):
+        out.setdefault(lang, []).append(gram)
+    return {lang: np.array(keys[:size], np.int64) for lang, keys in out.items()}
 
 
 class Guess:

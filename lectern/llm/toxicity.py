@@ -13,10 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .boosting import calibrated, fit_forest, fit_isotonic
-from .common import fold, tidied
+from .common import fold, least_hashed, tidied
 
 #: Second persons of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tuyo vosotros usted".split())
@@ -129,8 +128,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, m
     A document whose labels contradict each other counts as 1; null labels don't count.
     """
     y = labels.filter(F.col(label).isNotNull() & (fold(modulus) != held)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).filter(F.col("y").isin(0, 1))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = y.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= bound).select("doc_id", "y")
+    chosen = least_hashed(y, "y", bound)
     # At most two times the bound of pairs: the size is proven, so the texts needn't be dealt out.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
