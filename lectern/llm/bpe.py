@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import materialise, slices, tidied
+from .common import input_bytes, materialise, slices, tidied
 
 #: Characters of a run of texts. A longer text is a run by itself.
 RUN_CHARS = 16_000_000
@@ -163,22 +163,49 @@ class Run:
             self.chars += len(text)
 
     def packed(self, bits: int) -> tuple[list[tuple[int, bytes]], bytes, bytes, bytes]:
-        """The words of each bucket, most frequent first; then, packed, the bucket of every word, the positions as ranks
-        of words by frequency, and the texts' lengths in positions."""
-        words = list(self.words)
+        """The words of each bucket, most frequent first and by their bytes; then, packed, the bucket of every word, the
+        positions as ranks of words by frequency, and the texts' lengths in positions."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.words]
         at = np.concatenate(self.positions) if self.positions else np.zeros(0, np.int32)
-        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        count = np.bincount(at, minlength=len(words)).tolist()
+        # Words of one count stand in order, since neighbours that begin alike pack well.
+        order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words))
-        at = rank[at]
-        body = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+        body = [words[i] for i in order]
         bucket = np.array([xxhash.xxh64_intdigest(w, 42) & ((1 << bits) - 1) for w in body], np.uint16)
         by = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(bucket[by].astype(np.int64)) > 0, True][: len(by) + 1]) if len(by) else np.zeros(1, np.int64)
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         rows = [(int(bucket[by[i]]), pack(_joined([body[k] for k in by[i:j].tolist()]))) for i, j in zip(cut[:-1], cut[1:])]
-        planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T) if len(at) else at
-        return rows, pack(bucket.tobytes()), pack(planes.tobytes()), pack(np.array(self.lengths, np.int64).tobytes())
+        return rows, pack(bucket.tobytes()), coded(rank[at]), pack(np.array(self.lengths, np.int64).tobytes())
+
+
+def coded(ranks: np.ndarray) -> bytes:
+    """Ranks of words, most of them small, in few bytes: of each number its length and first three bits after the first as
+    a symbol, packed, and the other bits as they are."""
+    v = ranks.astype(np.int64) + 1
+    length = np.frexp(v.astype(np.float64))[1] - 1
+    extra = np.maximum(length - 3, 0)
+    symbol = np.where(length < 3, v, 8 * (length - 2) + (v >> extra) - 8).astype(np.uint8)
+    head = zstandard.ZstdCompressor(level=3).compress(symbol.tobytes())
+    rest = [np.packbits(v[extra > k] >> k & 1).tobytes() for k in range(int(extra.max(initial=0)))]
+    return len(head).to_bytes(8, "little") + head + b"".join(rest)
+
+
+def decoded(body: bytes) -> np.ndarray:
+    """The ranks that ``coded`` packed."""
+    n = int.from_bytes(body[:8], "little")
+    symbol = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[8 : 8 + n]), np.uint8).astype(np.int64)
+    extra = np.maximum((symbol >> 3) - 1, 0)
+    v = np.where(symbol < 8, symbol, ((symbol & 7) + 8) << extra)
+    at = 8 + n
+    for k in range(int(extra.max(initial=0))):
+        some = np.flatnonzero(extra > k)
+        size = -(-len(some) // 8)
+        v[some] |= np.unpackbits(np.frombuffer(body, np.uint8, size, at), count=len(some)).astype(np.int64) << k
+        at += size
+    return (v - 1).astype(np.int32)
 
 
 def spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -188,19 +215,32 @@ def spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _joined(items: list[bytes]) -> bytes:
-    return np.array([len(items), *map(len, items)], np.int32).tobytes() + b"".join(items)
+    """Their number, the bytes of a length, the lengths, and the items."""
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    kind = np.uint8 if size.max(initial=0) < 256 else np.uint32
+    return np.array([len(items), kind().itemsize], np.uint32).tobytes() + size.astype(kind).tobytes() + b"".join(items)
+
+
+def _sizes(body: bytes) -> tuple[np.ndarray, int]:
+    """The lengths of joined items, and where the first one begins."""
+    n, width = np.frombuffer(body, np.uint32, 2).tolist()
+    return np.frombuffer(body, np.uint8 if width == 1 else np.uint32, n, 8).astype(np.int64), 8 + n * width
 
 
 def _split(body: bytes) -> list[bytes]:
-    n = int(np.frombuffer(body, np.int32, 1)[0])
-    ends = (np.cumsum(np.frombuffer(body, np.int32, n, 4)) + 4 * (n + 1)).tolist()
-    return [body[i:j] for i, j in zip([4 * (n + 1), *ends], ends)]
+    size, at = _sizes(body)
+    ends = (np.cumsum(size) + at).tolist()
+    return [body[i:j] for i, j in zip([at, *ends], ends)]
+
+
+def id_type(ranks: dict[bytes, int]) -> type:
+    """The narrowest type of whole numbers that holds the ids of a rank file."""
+    return np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
 
 
 def bucket_bits(docs: DataFrame) -> int:
     """Bits of a bucket of pre-tokens, by Spark's estimate of the input: a task holds one bucket's distinct pre-tokens."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(max(BUCKET_BITS[0], (size // BUCKET_BYTES).bit_length()), BUCKET_BITS[1])
+    return min(max(BUCKET_BITS[0], (input_bytes(docs) // BUCKET_BYTES).bit_length()), BUCKET_BITS[1])
 
 
 def _runs(bits: int, n: int, run_chars: int):
@@ -251,6 +291,7 @@ def _encoded(path: str):
         """(run, bucket, words), sorted by bucket, to (run, bucket, ids): each distinct word is encoded once, and its ids
         are joined to every run that has it."""
         ranks = _ranks(path)
+        kind = id_type(ranks)
         pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         now, known = None, {}
         for batch in batches:
@@ -261,21 +302,24 @@ def _encoded(path: str):
                 words = _split(unpack(body.as_buffer()))
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(encode_piece(w, ranks), np.int32).tobytes()
+                        known[w] = np.array(encode_piece(w, ranks), kind).tobytes()
                 out.append(pack(_joined([known[w] for w in words])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["run", "bucket", "ids"])
 
     return rows
 
 
-def _put_together(names: list[str]):
+def _put_together(names: list[str], path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs with the ids of their words, (rows, place, positions, lengths, buckets), to the rows with their ids."""
         unpack = zstandard.ZstdDecompressor().decompress
+        kind = id_type(_ranks(path))
+        width = kind().itemsize
         for batch in batches:
             for i in range(batch.num_rows):
                 inner = batch.column(0)[i].values
-                place, planes, lengths = (np.frombuffer(unpack(batch.column(k)[i].as_buffer()), t) for k, t in ((1, np.uint16), (2, np.uint8), (3, np.int64)))
+                place, lengths = (np.frombuffer(unpack(batch.column(k)[i].as_buffer()), t) for k, t in ((1, np.uint16), (3, np.int64)))
+                positions = decoded(batch.column(2)[i].as_py())
                 found = batch.column(4)[i]
                 size, body = np.zeros(len(place), np.int64), []
                 buckets = sorted(zip(found.values.field(0).to_pylist(), range(len(found.values)))) if found.is_valid else []
@@ -283,14 +327,13 @@ def _put_together(names: list[str]):
                     raise ValueError("a run's pre-tokens haven't all come back")
                 for _, k in buckets:
                     got = unpack(found.values.field(1)[k].as_buffer())
-                    n = int(np.frombuffer(got, np.int32, 1)[0])
-                    body.append((np.frombuffer(got, np.int32, n, 4) // 4, np.frombuffer(got, np.int32, -1, 4 * (n + 1))))
+                    own, at = _sizes(got)
+                    body.append((own // width, np.frombuffer(got, kind, -1, at)))
                 by = np.argsort(place, kind="stable")
                 size[by] = np.concatenate([s for s, _ in body]) if body else 0
-                flat = np.concatenate([f for _, f in body]) if body else np.zeros(0, np.int32)
+                flat = np.concatenate([f for _, f in body]).astype(np.int32) if body else np.zeros(0, np.int32)
                 first = np.zeros(len(place), np.int64)
                 first[by] = np.cumsum(size[by]) - size[by]
-                positions = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel() if len(planes) else np.zeros(0, np.int32)
                 ends = np.r_[0, np.cumsum(lengths)]
                 at = 0
                 while at < len(lengths):
@@ -323,7 +366,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, run_cha
     back = ids.groupBy("run").agg(F.collect_list(F.struct("bucket", "ids")).alias("buckets"))
     met = runs.filter("bucket is null").select("run", "rows", "place", "positions", "lengths").join(back, "run", "left")
     kept = StructType([*docs.select(*[f"`{c}`" for c in others]).schema, StructField("ids", ArrayType(IntegerType()))])
-    return met.select("rows", "place", "positions", "lengths", "buckets").mapInArrow(tidied(_put_together(others)), kept)
+    return met.select("rows", "place", "positions", "lengths", "buckets").mapInArrow(tidied(_put_together(others, path)), kept)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
