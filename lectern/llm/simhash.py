@@ -19,8 +19,10 @@ SIZE, BITS = 5, 128
 _HALF = 32
 #: Both lanes of 32 bits of a counter.
 _LANES = 0x100000001
-#: Documents of a bucket, and most buckets: the table of buckets is broadcast, so its size must have a bound.
+#: Documents of a range, and most ranges of one cut: the table of ranges is broadcast, so its size must have a bound.
 BUCKET_ROWS, MOST_BUCKETS = 64, 200_000
+#: Times that ranges which hold far too many documents are cut anew, and how many documents are far too many.
+CUTS, FAR = 6, 8
 
 
 def term_hashes(text: Column) -> Column:
@@ -89,28 +91,71 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return _fingerprinted(rows.dropDuplicates(["_id", "_key"]), ["_id", "_key"], "_text").select(F.col("_id").alias(id), "fingerprint")
 
 
+def _ranges(ids: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The cuts of the ids into ranges, each (_key, _lo, _width) for the ranges that are cut, and (_range, _top) of the last.
+
+    A cut makes pieces of equal width, within the bounds of what is there; a piece that still holds far more than its
+    share is cut again, so that a few ids far away from all others do no harm. Only bounds and counts are ever together.
+    """
+    spark = ids.sparkSession
+    n = ids.count()
+    share = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
+    cuts: list[DataFrame] = []
+    placed = ids.withColumn("_range", F.lit(""))
+    for _ in range(CUTS):
+        found = materialise(placed.groupBy("_range").agg(F.count("*").alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi")), "ranges")
+        far = found.filter((F.col("n") > FAR * share) & (F.col("lo") < F.col("hi")))
+        pieces = F.least(F.ceil(F.col("n") / share), F.lit(MOST_BUCKETS)).cast("decimal(38,0)")
+        width = F.expr("CAST(hi AS DECIMAL(38,0)) - CAST(lo AS DECIMAL(38,0)) + 1")
+        cut = far.select(F.col("_range").alias("_key"), F.col("lo").alias("_lo"), F.ceil(width / pieces).cast("decimal(38,0)").alias("_width"))
+        rows = cut.collect()
+        if not rows:
+            break
+        cuts.append(spark.createDataFrame(rows, cut.schema))
+        placed = _cut(placed, cuts[-1])
+    else:
+        found = materialise(placed.groupBy("_range").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")), "ranges")
+    return cuts, found.select("_range", F.col("hi").alias("_top"))
+
+
+def _cut(placed: DataFrame, cut: DataFrame) -> DataFrame:
+    """``placed`` with ``_range`` made longer by the piece's number, in the ranges that are cut."""
+    # At most ``MOST_BUCKETS`` ranges hold ``FAR`` times their share, by what the share is.
+    met = placed.join(F.broadcast(cut), F.col("_range") == F.col("_key"), "left")
+    piece = F.expr("CAST((CAST(_id AS DECIMAL(38,0)) - CAST(_lo AS DECIMAL(38,0))) DIV _width AS STRING)")
+    return met.withColumn("_range", F.when(F.col("_lo").isNull(), F.col("_range")).otherwise(F.concat_ws("/", "_range", piece))).drop("_key", "_lo", "_width")
+
+
 def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_group, _tail, _id, _text, _next): each document and the text of the one that follows it in descending id.
 
-    The first follows the last. Rows with the same id stand in order of their texts, null ids come last. Ids are cut
-    into ranges; each range also gets the document that follows its last one, with ``_tail`` 1, so that no window sees
-    more than a range. Only the ids' bounds and one row for each range are ever together.
+    The first follows the last. Rows with the same id stand in order of their texts; null ids come last, in the order of
+    a hash of their texts. Ids are cut into ranges; each range also gets the document that follows its last one, with
+    ``_tail`` 1, so that no window sees more than a range. Only the ranges' bounds and one row for each are ever together.
     """
-    rows = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    seen = rows.agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = seen.lo or 0, seen.hi or 0
-    width = max(1, -(-(hi - lo + 1) // min(MOST_BUCKETS, -(-max(1, seen.n) // BUCKET_ROWS))))
-    rows = rows.withColumn("_range", F.coalesce(F.expr(f"CAST((CAST(_id AS DECIMAL(38,0)) - {lo}) DIV {width} AS LONG)"), F.lit(-1)))
-    ranges = rows.groupBy("_range").agg(F.max("_id").alias("_top"))
-    every = W.partitionBy(F.lit(0)).orderBy("_range")
-    above = F.coalesce(F.lead("_range").over(every), F.min("_range").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    ranges = materialise(ranges.withColumn("_above", above), "ranges")
-    placed = rows.join(F.broadcast(ranges), "_range")
+    rows = docs.select(F.col(id).cast("long").alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # Null ids are a line of their own, below all others: each has a place on it by its text.
+    lines = (rows.filter(F.col("_own").isNull()).withColumn("_id", F.xxhash64("_text")), rows.filter(F.col("_own").isNotNull()).withColumn("_id", F.col("_own")))
+    parts, ranges = [], None
+    for line, own in enumerate(lines):
+        cuts, found = _ranges(own.select("_id"))
+        placed = own.withColumn("_range", F.lit(""))
+        for cut in cuts:
+            placed = _cut(placed, cut)
+        name = F.concat_ws(":", F.lit(str(line)), "_range")
+        parts.append(placed.withColumn("_range", name))
+        found = found.select(F.lit(line).alias("_line"), name.alias("_range"), "_top")
+        ranges = found if ranges is None else ranges.union(found)
+    every = W.partitionBy(F.lit(0)).orderBy("_line", "_top")
+    first = F.first("_range").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ranges = materialise(ranges.withColumn("_above", F.coalesce(F.lead("_range").over(every), first)).drop("_line"), "ranges")
+    placed = parts[0].unionByName(parts[1]).join(F.broadcast(ranges), "_range")
     at = F.array(F.struct(F.col("_range").alias("group"), F.lit(0).alias("tail")))
     both = F.concat(at, F.array(F.struct(F.col("_above").alias("group"), F.lit(1).alias("tail"))))
-    copied = placed.withColumn("_at", F.explode(F.when(F.col("_id").eqNullSafe(F.col("_top")), both).otherwise(at))).select(F.col("_at.group").alias("_group"), F.col("_at.tail").alias("_tail"), "_id", "_text")
-    order = W.partitionBy("_group").orderBy("_tail", F.col("_id").desc_nulls_last(), "_text")
-    return copied.withColumn("_place", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order))
+    copied = placed.withColumn("_at", F.explode(F.when(F.col("_id") == F.col("_top"), both).otherwise(at)))
+    copied = copied.select(F.col("_at.group").alias("_group"), F.col("_at.tail").alias("_tail"), F.col("_id").alias("_order"), F.col("_own").alias("_id"), "_text")
+    order = W.partitionBy("_group").orderBy("_tail", F.col("_order").desc(), "_text")
+    return copied.withColumn("_place", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order)).drop("_order")
 
 
 def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
