@@ -90,36 +90,40 @@ def mix(docs: DataFrame, share: float = 0.5, epochs: int = 3, seed: int = 17, we
     The budget is ``total`` tokens, or the share of all tokens at hand. Tokens are words. Null languages and sources are
     leaves of their own, named ``(none)``; null texts have no tokens. A leaf's documents of equal key (rows that repeat
     an id) are taken or left together, so a prefix never exceeds the leaf's budget; documents without tokens are taken
-    as far as the prefix goes. Rows with a null id share one place in the order. An empty table gives an empty one.
-    Columns of ``docs`` pass through; their names mustn't begin with an underscore or be those of ``LEVELS``.
+    as far as the prefix goes, and a leaf without tokens gives none. Rows with a null id share one place in the order. An empty table gives an empty one.
+    Columns of ``docs`` pass through, but for those named as in ``LEVELS`` or with an underscore before, which the
+    operator's own replace.
     """
     named = (
-        docs.withColumn("domain", domain_of(F.col("source"))).withColumn("language", F.coalesce("lang", F.lit("(none)"))).withColumn("source_name", F.coalesce("source", F.lit("(none)")))
+        docs.drop("_epoch", "_n_tokens", "_leaf_budget", "_key", "_end", "_budget", "_full", "_rest", "_available")
+        .withColumn("domain", domain_of(F.col("source"))).withColumn("language", F.coalesce("lang", F.lit("(none)"))).withColumn("source_name", F.coalesce("source", F.lit("(none)")))
         .withColumn("_n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
     )
     goal = F.lit(int(total)) if total is not None else F.col("available") * F.lit(int(round(share * 1000))) / 1000
-    narrow = named.select("doc_id", *LEVELS, F.col("_n_tokens").alias("n_tokens"))
-    budgets = leaf_budgets(narrow, goal, epochs, weights).withColumn("full", F.when(F.col("available") > 0, F.expr("CAST(budget DIV available AS INT)")).otherwise(0))
+    # Tokens are counted once for the whole plan: a narrow table of ids and leaves is written first.
+    narrow = materialise(named.select("doc_id", *LEVELS, F.col("_n_tokens").alias("n_tokens")), "counted")
+    budgets = leaf_budgets(narrow, goal, epochs, weights).select(*LEVELS, F.col("available").alias("_available"), F.col("budget").alias("_budget"))
+    budgets = budgets.withColumn("_full", F.when(F.col("_available") > 0, F.expr("CAST(_budget DIV _available AS INT)")).otherwise(0))
     # One row for each leaf: written first, so that its size is known where Spark chooses the joins.
-    budgets = materialise(budgets.withColumn("rest", F.col("budget") - F.col("full") * F.col("available")), "budgets")
+    budgets = materialise(budgets.withColumn("_rest", F.col("_budget") - F.col("_full") * F.col("_available")), "budgets")
 
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     placed = narrow.join(budgets, list(LEVELS)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     # The prefix ends in one bucket of each leaf: sums of buckets find it, and only its documents are ranked.
-    sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+    sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("_rest").alias("_rest"))
     run = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket"))
-    cut_bucket = sums.withColumn("upto", run).filter(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
+    cut_bucket = sums.withColumn("upto", run).filter(F.col("upto") > F.col("_rest")).groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
     cut_bucket = cut_bucket.select(*LEVELS, F.col("c.bucket").alias("cut_bucket"), F.col("c.before").alias("before"))
     inside = placed.join(cut_bucket, list(LEVELS)).filter(F.col("bucket") == F.col("cut_bucket"))
     upto = F.sum("n_tokens").over(W.partitionBy(*LEVELS).orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow))
-    first_out = inside.withColumn("upto", F.col("before") + upto).filter(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min("key").alias("_end"))
+    first_out = inside.withColumn("upto", F.col("before") + upto).filter(F.col("upto") > F.col("_rest")).groupBy(*LEVELS).agg(F.min("key").alias("_end"))
     plan = materialise(budgets.join(first_out, list(LEVELS), "left"), "plan")
 
     chosen = named.join(plan, list(LEVELS)).withColumn("_key", key)
-    partial = (F.col("rest") > 0) & (F.col("_end").isNull() | (F.col("_key") < F.col("_end")))
-    times = F.col("full") + partial.cast("int")
+    partial = (F.col("_rest") > 0) & (F.col("_end").isNull() | (F.col("_key") < F.col("_end")))
+    times = F.col("_full") + partial.cast("int")
     out = chosen.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    return out.withColumn("_leaf_budget", F.col("budget").cast("long")).drop("available", "budget", "full", "rest", "_end", "_key")
+    return out.withColumn("_leaf_budget", F.col("_budget").cast("long")).drop("_available", "_budget", "_full", "_rest", "_end", "_key")
 
 
 def _sql_weight(name: str, weights: Weights) -> str:
