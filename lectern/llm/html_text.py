@@ -34,9 +34,15 @@ CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)", re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S,
 )
+#: Elements of other vocabularies: a slash closes them, and the start of an element of HTML ends one that nothing closes.
+FOREIGN = frozenset(("svg", "math"))
+#: Hidden elements that may hold others of their kind.
+NESTED = FOREIGN | {"template", "object"}
+_ENDS = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>" if t in NESTED else rf"<(/){t}(?=[\s/>])[^>]*>", re.I) for t in HIDDEN_TAGS}
+_OF_HTML = re.compile(r"<(?:p|div|section|article|main|aside|nav|header|footer|h[1-6]|ul|ol|li|dl|dt|dd|table|pre|blockquote|body|span|br|hr|img)(?=[\s/>])", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECES = re.compile(r"[a-z]{2,}")
 
@@ -48,6 +54,26 @@ class Block:
     linked: float
 
 
+def _hidden_to(page: str, name: str, at: int) -> int:
+    """Where the content of a hidden element that begins at ``at`` ends, its end tag included.
+
+    One without an end tag hides what is left of the page; an object hides nothing then, and a drawing or formula ends
+    where HTML goes on.
+    """
+    depth = 1
+    for m in _ENDS[name].finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif not (name in FOREIGN and m[0].endswith("/>")):
+            depth += 1
+        if not depth:
+            return m.end()
+    if name == "object":
+        return at
+    on = _OF_HTML.search(page, at) if name in FOREIGN else None
+    return on.start() if on else len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of text of a page in order: character references decoded, white space as one space, none empty."""
     page = page or ""
@@ -83,16 +109,20 @@ def blocks(page: str | None) -> list[Block]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if tag is None:
+        name = (m[2] or m[4] or "").lower()
+        if name in HIDDEN_TAGS and not m[1]:
+            if not (name in FOREIGN and page.endswith("/>", m.start(), at)):
+                at = _hidden_to(page, name, at)
+            continue
+        if m[2] is None:
             continue
-        tag = tag.lower()
+        tag = name
         if tag not in INLINE:
             flush()
-        if m[2]:
+        if m[1]:
             close(tag)
         elif tag not in VOID:
             if tag in CLOSES_ITSELF:
@@ -100,8 +130,8 @@ def blocks(page: str | None) -> list[Block]:
                 if tag in near and not {"ul", "ol", "table", "div", "section", "article", "blockquote"} & set(near[len(near) - near[::-1].index(tag) :]):
                     close(tag)
             names = (tag,)
-            if m[4]:
-                for n in _NAMES.finditer(m[4]):
+            if m[3]:
+                for n in _NAMES.finditer(m[3]):
                     names += tuple("." + p for p in _PIECES.findall((n[1] or n[2] or n[3] or "").lower()))
             stack.append((tag, names))
             links[0] += tag == "a"
