@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import tidied
 
-#: Rows of a block, on average.
-QUERY_ROWS, CANDIDATE_ROWS = 512, 2048
+#: Components of a block of candidates or queries, on average: as few blocks as memory allows, since each is copied for
+#: every block of the other side. While blocks have more than ``LEAST_ROWS`` candidates, there are ``BLOCKS`` at least.
+BLOCK_CELLS, LEAST_ROWS, BLOCKS = 1 << 22, 2048, 64
+#: Queries and candidates whose distances are held at once.
+STEP_QUERIES, STEP_CANDIDATES = 256, 4096
 
 
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +63,18 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
             yield int(qid[i]), vec, score
 
 
+def whole_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    """The same for a tile of any size, step by step, with a heap for each query."""
+    for i in range(0, len(qid), STEP_QUERIES):
+        best: dict[int, list] = {}
+        for j in range(0, len(cid), STEP_CANDIDATES):
+            to, upto = i + STEP_QUERIES, j + STEP_CANDIDATES
+            for query, vec, score in tile(qid[i:to], q[i:to], cid[j:upto], c[j:upto], k):
+                heap = best.setdefault(query, [])
+                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (-score, -vec))
+        yield from ((query, -v, -s) for query, heap in best.items() for s, v in heap)
+
+
 def _tiles(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (tile, query, vec_id, vector), sorted by tile: one tile is held at a time."""
@@ -71,7 +86,7 @@ def _tiles(k: int):
                 ids = np.concatenate([h[1] for h in held])
                 x = np.concatenate([h[2] for h in held])
                 if is_query.any() and not is_query.all():
-                    found = list(tile(ids[is_query], x[is_query], ids[~is_query], x[~is_query], k))
+                    found = list(whole_tile(ids[is_query], x[is_query], ids[~is_query], x[~is_query], k))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
@@ -121,8 +136,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_
     usable = F.col(id).isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     all_ = vectors.filter(usable).select(F.col(id).cast("long").alias("vec_id"), x.cast("array<double>").alias("v"))
     asked = queries.filter(usable).select(F.col(id).cast("long").alias("vec_id"), x.cast("array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    columns = max(1, -(-all_.count() // CANDIDATE_ROWS))
-    lines = max(1, -(-asked.count() // QUERY_ROWS))
+    seen = all_.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
+    rows = max(1, BLOCK_CELLS // seen.width)
+    columns = max(1, -(-seen.n // rows), min(seen.n // LEAST_ROWS, BLOCKS))
+    lines = max(1, -(-asked.count() // rows))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = all_.select(F.lit(False).alias("query"), "vec_id", "v", block(columns).alias("column"), each(lines).alias("line"))
