@@ -9,8 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, jaccard, language, mixing, queries, scoring, simhash, substring, toxicity
-from lectern.llm.common import fold
+from lectern.llm import boosting, bpe, jaccard, language, mixing, queries, scoring, simhash, substring, toxicity
+from lectern.llm.common import fold, least_hashed
 from lectern.llm.mixing_model import Code, Counts, Model, count_pairs, packed_logits, words_of
 
 from .conftest import odd_rows, prose
@@ -49,6 +49,25 @@ def test_edited_fingerprints(spark, plain, odd, none):
     assert simhash.edited_fingerprints(none).count() == 0
 
 
+def test_ids_far_away_and_null_ids_are_cut_into_ranges(spark, monkeypatch):
+    """Every document follows the next greater id, however ids lie; those without an id stand below all others."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 2)
+    ids = [*range(100), 2**62, -(2**62), 10**12, *[10**12 + 7 * i for i in range(1, 40)], *[None] * 60]
+    rows = [(d, f"text {k} of {d} " + "x" * (k % 5)) for k, d in enumerate(ids)]
+    near = simhash.neighbours(spark.createDataFrame(rows, "doc_id long, text string")).filter("_tail = 0").collect()
+    named = sorted((d, t) for d, t in rows if d is not None)
+    after = {t: named[k - 1][1] for k, (_, t) in enumerate(named) if k}
+    assert {r._text: r._next for r in near if r._id is not None and r._id != -(2**62)} == after
+    below = {r._text: r._next for r in near if r._id is None or r._id == -(2**62)}
+    at, seen = named[0][1], []
+    while at in below:
+        at = below.pop(at)
+        seen.append(at)
+    assert not below and seen[-1] == named[-1][1] and len(seen) == 61
+    sizes = Counter(r._group for r in near)
+    assert max(sizes.values()) <= 2 * simhash.FAR
+
+
 def test_one_document_follows_itself(spark, plain):
     r = simhash.edited_fingerprints(plain.filter("doc_id = 4")).first()
     text = plain.filter("doc_id = 4").first().text
@@ -101,6 +120,20 @@ def test_mixing_against_sql(spark, plain, odd, none):
     assert all(r["count"] == 2 for r in twice)
 
 
+def test_mixing_keeps_columns_of_any_name(spark, plain):
+    names = ("budget", "rest", "full", "available", "capacity", "weight", "key", "bucket", "n_tokens", "upto", "before", "root", "id")
+    wide = plain.withColumns({n: F.lit(5) for n in names}).withColumns({n: F.lit("own") for n in ("domain", "language", "source_name", "_rest", "_epoch")})
+    got, want = mixing.mix(wide, share=0.6).collect(), mixing.mix(plain, share=0.6).collect()
+    assert sorted((r.doc_id, r._epoch, r.domain) for r in got) == sorted((r.doc_id, r._epoch, r.domain) for r in want)
+    assert all(r[n] == 5 for r in got for n in names)
+
+
+def test_rows_without_an_id_are_mixed_together(spark, odd):
+    """All of a leaf is taken where the budget holds it; a leaf without tokens has nothing to give."""
+    rows = mixing.mix(odd.filter("doc_id is null"), share=1.0, epochs=1).collect()
+    assert [r.text for r in rows] == [r[1] for r in odd_rows() if r[0] is None and r[1] is not None]
+
+
 def test_shortages_go_to_siblings_before_ancestors(spark):
     rows = [("a", "x", "s1", 100), ("a", "x", "s2", 1000), ("b", "x", "s3", 1000)]
     df = spark.createDataFrame(rows, "domain string, language string, source_name string, n_tokens long")
@@ -180,6 +213,27 @@ def test_small_sets_and_heavy_lists(spark):
     assert got == brute_components(rows)
 
 
+def test_more_heavy_shingles_than_the_order_knows(spark, monkeypatch):
+    """Lists of heavy shingles that are ordered as if they were rare are met by hubs and tiles, and no link is lost."""
+    import random
+
+    monkeypatch.setattr(jaccard, "HEAVY", 4)
+    r = random.Random(12)
+    base = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    rows = []
+    for k in range(90):
+        words = list(base[k % 3])
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(40)] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for known in (0, 20, 10**6):
+        monkeypatch.setattr(jaccard, "KNOWN_HEAVY", known)
+        unknown = jaccard.heavy_shingles(docs)[2]
+        assert (unknown is None) == (known == 10**6)
+        assert {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()} == brute_components(rows)
+
+
 def test_sets_of_four_and_five_link_under_a_high_boundary(spark):
     """Texts of eight words and the same with a ninth, beside sets that move the boundary above four."""
     rows = [(i, " ".join(f"a{i}_{j}" for j in range(8))) for i in range(12)]
@@ -205,6 +259,39 @@ def test_languages_are_told_apart(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, {}, ["doc_id"]).collect()} == {"und"}
 
 
+def test_guesses_against_plain_ranks(spark, odd):
+    """Profiles and out-of-place distances, worked out again from lists of n-grams in order of rank."""
+    def plain_ranks(texts):
+        found = Counter()
+        for t in texts:
+            keys, counts = language.grams(t)
+            found.update(dict(zip(keys.tolist(), counts.tolist())))
+        return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))][: language.PROFILE]
+
+    known = [r for r in {(i, t, lang) for i, t, lang, *_ in odd_rows()} if r[0] is not None and r[0] % 2 and r[1] is not None and r[2] is not None]
+    profiles = language.learn(odd, F.col("doc_id") % 2 == 1)
+    want = {lang: plain_ranks([t for _, t, x in known if x == lang]) for lang in {x for *_, x in known}}
+    assert {k: v.tolist() for k, v in profiles.items()} == {k: v for k, v in want.items() if v}
+    guess = language.Guess(profiles)
+    for _, text, *_ in odd_rows():
+        own = plain_ranks([text])
+        away = {lang: sum(min(abs(p.index(g) - i), language.PROFILE) if g in p else language.PROFILE for i, g in enumerate(own)) for lang, p in want.items() if p}
+        if not own:
+            assert guess(text) == ("und", 0.0)
+        else:
+            best = min(sorted(away), key=away.get)
+            assert guess(text) == (best, 1 - away[best] / (len(own) * language.PROFILE))
+
+
+def test_least_hashed_rows(spark):
+    """All of a small group, the bound of a large one, the same whatever the partitioning."""
+    rows = spark.createDataFrame([(i, "a" if i < 5000 else "b") for i in range(5030)], "doc_id long, lang string")
+    got = least_hashed(rows, "lang", 100)
+    assert {r.lang: r["count"] for r in got.groupBy("lang").count().collect()} == {"a": 100, "b": 30}
+    assert sorted(got.collect()) == sorted(least_hashed(rows.repartition(7), "lang", 100).collect())
+    assert least_hashed(rows.limit(0), "lang", 100).count() == 0
+
+
 def test_profile_against_plain_counts():
     text = "Ab, ba ab!"
     keys, counts = language.grams(text)
@@ -253,10 +340,18 @@ def test_a_bucket_encodes_each_word_once(monkeypatch):
     lists = [(0, [b"a", b"bb"]), (0, [b"bb", b"", b"ccc"]), (1, [b"d"])]
     batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 7]), pa.array([b for b, _ in lists], pa.int32()), pa.array([pack(bpe._joined(w)) for _, w in lists])], ["run", "bucket", "words"])
     out = next(bpe._encoded(bpe.default_rank_file())(iter([batch])))
-    got = [[np.frombuffer(i, np.int32).tolist() for i in bpe._split(unpack(b))] for b in out.column(2).to_pylist()]
+    got = [[np.frombuffer(i, np.uint16).tolist() for i in bpe._split(unpack(b))] for b in out.column(2).to_pylist()]
     assert got == [[[1], [2]], [[2], [0], [3]], [[1]]] and sorted(asked) == [b"", b"a", b"bb", b"ccc", b"d"]
 
 
+def test_positions_and_words_are_packed_without_loss():
+    r = np.random.default_rng(8)
+    for ranks in (np.zeros(0, np.int32), np.zeros(5, np.int32), np.arange(70), r.zipf(1.3, 5000) % 2_000_000, r.integers(0, 1 << 30, 1000)):
+        assert np.array_equal(bpe.decoded(bpe.coded(np.asarray(ranks, np.int32))), ranks)
+    for items in ([], [b""], [b"a", b"", b"bc" * 40], [b"x" * 300, b"", b"y"]):
+        assert bpe._split(bpe._joined(items)) == items
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_documents(spark, odd, none):
@@ -280,6 +375,48 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert {r.score for r in toxicity.score_texts(odd, nothing, ["doc_id"]).collect()} == {0.0}
 
 
+def plain_isotonic(margin, y):
+    """The least squares fit that never falls, by its formula: greatest lower averages of rows in order, ties together."""
+    values = sorted({margin.min() - 1, margin.max() + 1, *margin.tolist()})
+    total = [sum(b for a, b in zip(margin, y) if a == v) + (v > margin.max()) for v in values]
+    count = [sum(a == v for a in margin) + (v > margin.max() or v < margin.min()) for v in values]
+    average = lambda i, j: sum(total[i : j + 1]) / sum(count[i : j + 1])
+    n = len(values)
+    return values, [max(min(average(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+
+
+def test_calibration_against_its_formula():
+    r = np.random.default_rng(4)
+    for n, steps in ((1, 1), (2, 1), (6, 2), (40, 5), (60, 1000)):
+        margin = r.integers(0, steps, n) / 4.0
+        y = (r.random(n) < 0.2 + 0.6 * margin / max(1, margin.max() or 1)).astype(float)
+        knots = boosting.fit_isotonic(margin, y)
+        order = r.permutation(n)
+        again = boosting.fit_isotonic(margin[order], y[order])
+        assert all(np.allclose(a, b) for a, b in zip(knots, again))
+        values, want = plain_isotonic(margin, y)
+        # Each block of the fit is a run of equal wanted values, and its knot their weighted middle.
+        assert np.allclose(sorted(set(np.round(want, 12))), np.round(sorted(set(np.round(knots[1], 12))), 12))
+        assert (np.diff(knots[1]) >= 0).all() and (np.diff(knots[0]) > 0).all()
+    assert np.allclose(boosting.calibrated(np.zeros(4), boosting.fit_isotonic(np.zeros(4), np.array([1.0, 0, 0, 0]))), 0.25)
+
+
+def test_trees_against_plain_walks():
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    forest = boosting.fit_forest(x, y, trees=12)
+    for row, margin in zip(x[:50], forest.margin(x[:50])):
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(total - margin) < 1e-9
+    assert np.mean((forest.margin(x) > 0) == (y == 1)) > 0.95
+
+
 # --- scores ---------------------------------------------------------------------------------------------------------------------
 
 def test_scores_against_plain_counts(spark, odd, none, monkeypatch):

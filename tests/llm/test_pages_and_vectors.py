@@ -10,8 +10,8 @@ from lectern.llm import html_text, neighbours
 
 
 def test_nearest_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CANDIDATE_ROWS", 60)
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 3)
+    for name, value in (("BLOCK_CELLS", 16 * 50), ("LEAST_ROWS", 60), ("STEP_QUERIES", 3), ("STEP_CANDIDATES", 20)):
+        monkeypatch.setattr(neighbours, name, value)
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 16)).astype(np.float32)
     x[50:90] = x[50]
@@ -55,6 +55,17 @@ def test_blocks_of_malformed_markup():
     assert [b.text for b in html_text.blocks("<p title='unclosed>text" * 3)] != [None]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p>one</p><svg-icon></svg-icon><p>two</p></article>", ["one", "two"]), ("<p>a</p><svg/><p>b</p>", ["a", "b"]),
+    ("<p>a</p><svg width='1' /><p>b</p><math/>c", ["a", "b", "c"]), ("<p>a</p><!--><p>b</p><!---><p>c</p>", ["a", "b", "c"]), ("a<!-- x --!>b<!-- > -->c", ["abc"]),
+    ("<p>a<script>if (a<b) '</p>'</script>b</p>", ["ab"]), ("<script/>no</script>yes", ["yes"]), ("x<svg><g>no<p>y</p>", ["x", "y"]),
+    ("a<svg><svg/><svg>no</svg>no</svg>b", ["ab"]), ("a<template>no<template>no</template>no</template>b", ["ab"]), ("a<object>b", ["ab"]), ("a<object>no</object>b", ["ab"]),
+    ("<script src=\"a\"b'>no</script>yes", ["yes"]), ("a<style>no", ["a"]), ("<scripty>yes</scripty>", ["yes"]), ("a<math><p>b", ["a", "b"]), ("a<!-- no", ["a"]),
+])
+def test_what_markup_hides(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
 def test_written_pages_are_labelled(labeller):
     cache, wrong, total = {}, 0, 0
     for seed in range(20_000, 20_100):
