@@ -43,14 +43,15 @@ def citation_accuracy(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(item_id, accuracy) from (item_id, book, volume, page) of both: the share of expected citations that some actual
     one matches. Books match without regard to case and space, volumes where both are given, pages within one."""
     fold = lambda c: F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"(?U)\s+", " ")
-    e = expected.withColumn("_e", F.monotonically_increasing_id()).withColumn("_book", fold(F.col("book")))
+    # A citation is known by its values, so that no lost executor numbers it anew; repeated ones count each.
+    e = expected.withColumn("_e", F.to_json(F.struct("book", "volume", "page"))).groupBy("item_id", "book", "volume", "page", "_e").agg(F.count("*").alias("_n")).withColumn("_book", fold(F.col("book")))
     a = actual.select("item_id", fold(F.col("book")).alias("_book"), F.col("volume").alias("a_volume"), F.col("page").alias("a_page"), F.trim(F.col("page").cast("string")).try_cast("int").alias("a_number"))
     near = (
         (F.col("volume").isNull() | F.col("a_volume").isNull() | (F.trim(F.col("volume").cast("string")) == F.trim(F.col("a_volume").cast("string"))))
         & (F.col("page").isNull() | F.col("a_page").isNull() | F.coalesce(F.abs(F.col("a_number") - F.col("page")) <= 1, F.lit(False)))
     )
-    met = e.join(a, ["item_id", "_book"]).filter(near).select("_e").distinct().withColumn("_hit", F.lit(1.0))
-    return e.join(met, "_e", "left").groupBy("item_id").agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("accuracy"))
+    met = e.join(a, ["item_id", "_book"]).filter(near).select("item_id", "_e").distinct().withColumn("_hit", F.lit(1.0))
+    return e.join(met, ["item_id", "_e"], "left").groupBy("item_id").agg((F.sum(F.coalesce("_hit", F.lit(0.0)) * F.col("_n")) / F.sum("_n")).alias("accuracy"))
 
 
 def grounding(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -93,16 +94,37 @@ def refusal_matrix(pairs: DataFrame) -> DataFrame:
     return n.withColumn("precision", rate("tp", "fp")).withColumn("recall", rate("tp", "fn")).withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
 
 
-def latency(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, p50, p95): the median, and of the sorted values the one at floor(0.95 n), the last at most.
+#: How far from a quantile its bounds are asked for, and the accuracy of the bounds.
+NEAR, ACCURACY = 0.002, 10_000
+
+
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, tuple[float, Column]]) -> DataFrame:
+    """(keys, one column for each place): of each key's sorted values the one at a place from 0, exactly.
 
-    The place of the second is found by ranks within the key's partition; no list of a key's values is built.
+    ``places`` has for each name a quantile near the place, and the place as an expression of the number ``n``. Approximate
+    quantiles bound the few values that may stand there; only those are ordered, equal ones as one, so that no task sees
+    all values of a key.
     """
     known = df.filter(F.col(value).isNotNull())
-    sizes = known.groupBy(key).agg(F.count("*").alias("n"), F.median(value).alias("p50"))
-    place = known.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(value)) - 1).join(sizes.select(key, "n"), key)
-    at = place.filter(F.col("_i") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).select(key, F.col(value).alias("p95"))
-    return sizes.join(at, key)
+    asked = [(name, f) for name, (q, _) in places.items() for f in (max(0.0, q - NEAR), min(1.0, q + NEAR))]
+    bounds = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(value, [f for _, f in asked], ACCURACY).alias("_b"))
+    parts = bounds.select(*keys, "n")
+    for i, (name, (_, place)) in enumerate(places.items()):
+        near = bounds.select(*keys, "n", F.col("_b")[2 * i].alias("_lo"), F.col("_b")[2 * i + 1].alias("_hi"), place.cast("long").alias("_place"))
+        met = known.join(near, keys)
+        below = met.groupBy(*keys).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
+        few = met.filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, value, "_place").agg(F.count("*").alias("_k")).join(below, keys)
+        upto = F.col("_below") + F.sum("_k").over(W.partitionBy(*keys).orderBy(value))
+        found = few.withColumn("_upto", upto).filter((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_k") <= F.col("_place")))
+        parts = parts.join(found.select(*keys, F.col(value).alias(name)), keys)
+    return parts
+
+
+def latency(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, p50, p95): the median, and of the sorted values the one at floor(0.95 n), the last at most."""
+    n = F.col("n")
+    places = {"_a": (0.5, F.floor((n - 1) / 2)), "_b2": (0.5, F.floor(n / 2)), "p95": (0.95, F.least(n - 1, F.floor(n * 0.95)))}
+    return at_places(df, [key], value, places).select(key, "n", ((F.col("_a") + F.col("_b2")) / 2).alias("p50"), "p95")
 
 
 def gate(measures: DataFrame, thresholds: Mapping[str, float] = THRESHOLDS) -> DataFrame:

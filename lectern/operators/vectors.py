@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import DENSE_SIZE, normalise_arabic, sparse_bucket, tokens
+from ..sources.tables import stored
 
 RRF_K, POOL, TOP, FLOOR = 60, 40, 8, 0.05
 
@@ -41,11 +42,28 @@ def sparse_top(queries: DataFrame, docs: DataFrame, k: int = POOL, id: str = "do
 
 
 def dense_top(queries: DataFrame, docs: DataFrame, k: int = POOL, id: str = "doc_id") -> DataFrame:
-    """The same by the cosine of dense postings, rounded to nine places so that ties are ties on every machine."""
-    met = docs.join(queries.select("q_id", "idx", F.col("tf").alias("q_tf")), "idx")
-    dots = met.groupBy("q_id", id).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"))
-    scored = dots.join(norms(docs, id), id).join(norms(queries, "q_id").withColumnRenamed("norm", "q_norm"), "q_id")
-    return top(scored.select("q_id", id, F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9).alias("score")), k, id)
+    """The same by the cosine of dense postings, rounded to nine places so that ties are ties on every machine. ``docs`` may
+    have its vectors' lengths beside the postings, as ``norm``."""
+    with_norm = docs if "norm" in docs.columns else docs.join(norms(docs, id), id)
+    asked = queries.join(norms(queries, "q_id").withColumnRenamed("norm", "q_norm"), "q_id").select("q_id", "idx", F.col("tf").alias("q_tf"), "q_norm")
+    dots = with_norm.join(asked, "idx").groupBy("q_id", id).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("dot"), F.max(F.col("norm") * F.col("q_norm")).alias("lengths"))
+    return top(dots.select("q_id", id, F.round(F.col("dot") / F.col("lengths"), 9).alias("score")), k, id)
+
+
+def index_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The postings of documents and their dense ones with the vectors' lengths, written once: the index of a search.
+
+    The dense ones, their lengths and the join of both share one exchange by document.
+    """
+    sparse = stored(postings(docs, id, text), "postings")
+    dense = dense_postings(sparse.repartition(id), id)
+    return sparse, stored(dense.join(norms(dense, id), id), "dense")
+
+
+def search(asked: DataFrame, index: tuple[DataFrame, DataFrame], id: str = "doc_id", limit: int = POOL) -> DataFrame:
+    """The fused ranking (``fuse``) of query postings in an index."""
+    sparse, dense = index
+    return fuse(dense_top(dense_postings(asked, "q_id"), dense, POOL, id), sparse_top(asked, sparse, POOL, id), id, limit=limit)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -91,20 +109,26 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, id: str) -> DataFrame:
     """Hits (q_id, id, dense_score, rank) with ``rerank_score``: the best of the token overlaps with the query and its
-    folded copy, and the dense score. Only the hits meet their texts."""
+    folded copy, and the dense score; with the other columns of ``texts`` and ``beginning``, the folded text's first
+    characters. Each text that is hit is cut into tokens and folded once, however many queries hit it."""
     asked = queries.select("q_id", F.array_distinct(tokens(F.col("text"))).alias("_q"), F.array_distinct(tokens(normalise_arabic(F.col("text")))).alias("_c"))
-    # The sets are named by a function of one element: as columns they would be made anew at each use, once a filter on
-    # the score is pushed below them.
-    sets = F.struct(F.col("_q").alias("q"), F.col("_c").alias("c"), F.array_distinct(tokens(F.col("text"))).alias("t"))
+    some = texts.join(hits.select(id).distinct(), id, "left_semi")
+    told = stored(some.withColumn("_t", F.array_distinct(tokens(F.col("text")))).withColumn("beginning", beginning(F.col("text"))).drop("text"), "told")
+    sets = F.struct(F.col("_q").alias("q"), F.col("_c").alias("c"), F.col("_t").alias("t"))
     overlap = F.get(F.transform(F.array(sets), lambda s: F.greatest(jaccard(s["q"], s["t"]), jaccard(s["c"], s["t"]))), 0)
     score = F.greatest(overlap, F.coalesce("dense_score", F.lit(0.0)))
-    return hits.join(asked, "q_id").join(texts, id).withColumn("rerank_score", F.round(score, 9)).drop("_q", "_c")
+    return hits.join(asked, "q_id").join(told, id).withColumn("rerank_score", F.round(score, 9)).drop("_q", "_c", "_t")
+
+
+def beginning(text: Column) -> Column:
+    return F.substring(normalise_arabic(text), 1, 200)
 
 
 def compress(ranked: DataFrame, id: str, scope: Column, n: int = TOP, floor: float = FLOOR) -> DataFrame:
-    """Of rows (q_id, id, rerank_score, rank, text): those not below the floor, one for each scope and text beginning
-    (200 characters of the folded copy), the best n of each query."""
-    signature = F.sha2(F.concat_ws(":", scope, F.substring(normalise_arabic(F.col("text")), 1, 200)), 256)
+    """Of rows (q_id, id, rerank_score, rank, beginning): those not below the floor, one for each scope and beginning of a
+    text (200 characters of the folded copy), the best n of each query. Without ``beginning`` it comes from ``text``."""
+    begins = F.col("beginning") if "beginning" in ranked.columns else beginning(F.col("text"))
+    signature = F.sha2(F.concat_ws(":", scope, begins), 256)
     order = [F.desc("rerank_score"), F.col("rank"), F.col(id)]
     one = ranked.filter(F.col("rerank_score") >= floor).withColumn("_s", signature).withColumn("_n", F.row_number().over(W.partitionBy("q_id", "_s").orderBy(*order))).filter("_n = 1")
     return one.withColumn("place", F.row_number().over(W.partitionBy("q_id").orderBy(*order))).filter(F.col("place") <= n).drop("_s", "_n")
@@ -112,7 +136,6 @@ def compress(ranked: DataFrame, id: str, scope: Column, n: int = TOP, floor: flo
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, id: str = "doc_id", scope: str = "source", n: int = TOP) -> DataFrame:
     """(q_id, place, id, rerank_score): sparse and dense search, fusion, reranking, floor and near-duplicate removal."""
-    d, q = postings(docs, id, "text"), postings(queries, "q_id", "text")
-    fused = fuse(dense_top(dense_postings(q, "q_id"), dense_postings(d, id), POOL, id), sparse_top(q, d, POOL, id), id, limit=POOL)
+    fused = stored(search(postings(queries, "q_id", "text"), index_of(docs, id), id), "fused")
     ranked = rerank(fused, queries, docs.select(id, "text", scope), id)
     return compress(ranked, id, F.coalesce(scope, F.lit("")), n).select("q_id", "place", id, "rerank_score")

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import relational as R
 from ..operators import vectors as V
+from ..sources.tables import stored
 from ..streaming import limits as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,51 +87,35 @@ def sparse_topk_dot(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS},{_DENSE} SELECT q_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dense")
 def dense_topk_hashed(spark, sf_dir):
-    d, q = V.postings(read(spark, sf_dir, "documents"), "doc_id", "text"), V.postings(questions(spark, sf_dir), "q_id", "text")
-    return V.dense_top(V.dense_postings(q, "q_id"), V.dense_postings(d, "doc_id"))
+    return V.dense_top(V.dense_postings(V.postings(questions(spark, sf_dir), "q_id", "text"), "q_id"), V.index_of(read(spark, sf_dir, "documents"))[1])
 
 
 @query(f"WITH {_POSTINGS},{_SPARSE},{_DENSE},{_FUSED} SELECT q_id, doc_id, score, dense_score, CAST(rank AS INTEGER) AS rank FROM fused")
 def rrf_fuse(spark, sf_dir):
-    d, q = V.postings(read(spark, sf_dir, "documents"), "doc_id", "text"), V.postings(questions(spark, sf_dir), "q_id", "text")
-    return V.fuse(V.dense_top(V.dense_postings(q, "q_id"), V.dense_postings(d, "doc_id")), V.sparse_top(q, d), "doc_id", limit=V.POOL)
+    return V.search(V.postings(questions(spark, sf_dir), "q_id", "text"), V.index_of(read(spark, sf_dir, "documents")))
 
 
-@query("""SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
+_NEAR = """SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE rank <= 10""")
-def dense_topk_cosine(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return V.vector_top(v.filter("vec_id < 10").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q")), v)
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0{0})) WHERE rank <= 10"""
 
 
-@query("""SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND v.label = 3)) WHERE rank <= 10""")
-def payload_filter_topk(spark, sf_dir):
-    """The filter stands below the ranking."""
-    all_ = read(spark, sf_dir, "embeddings")
-    q = all_.filter("vec_id < 10").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    return V.vector_top(q, R.payload_filter(all_, label=3, source=None).select("vec_id", F.col("embedding").alias("v")))
+def _asking(all_: DataFrame) -> DataFrame:
+    """The stated queries of a search: every vector whose id is divisible by 100."""
+    return all_.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
 
 
-@query("""SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings v)) WHERE rank <= 10""")
-def dense_topk_cosine_all(spark, sf_dir):
-    """Every vector is a query."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return V.vector_top(v.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q")), v)
+@query(_NEAR.format(""))
+def dense_topk_cosine(spark, sf_dir):
+    all_ = read(spark, sf_dir, "embeddings")
+    return V.vector_top(_asking(all_), all_.select("vec_id", F.col("embedding").alias("v")))
 
 
-@query("""SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings v WHERE v.label = 3)) WHERE rank <= 10""")
-def payload_filter_topk_all(spark, sf_dir):
-    """Every vector is a query; the filter stands below the ranking."""
+@query(_NEAR.format(" AND v.label = 3"))
+def payload_filter_topk(spark, sf_dir):
+    """The filter stands below the ranking."""
     all_ = read(spark, sf_dir, "embeddings")
-    q = all_.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    return V.vector_top(q, R.payload_filter(all_, label=3, source=None).select("vec_id", F.col("embedding").alias("v")))
+    return V.vector_top(_asking(all_), R.payload_filter(all_, label=3, source=None).select("vec_id", F.col("embedding").alias("v")))
 
 
 @query(f"""WITH {_POSTINGS}, hits AS (
@@ -144,22 +129,15 @@ def merge_best_hit(spark, sf_dir):
     return V.merge_best(hits, "doc_id").select("q_id", "candidate", "doc_id", "score", "rank")
 
 
-@query("""WITH s AS (SELECT item_id AS q_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '\\S+')) AS q, list_distinct(regexp_extract_all(lower(d.text), '\\S+')) AS t FROM benchmark b, documents d WHERE b.item_id % 10 = d.doc_id % 10)
-SELECT q_id, doc_id, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE CAST(len(list_intersect(q, t)) AS DOUBLE) / len(list_distinct(list_concat(q, t))) END, 9) AS score FROM s""")
-def jaccard_rerank(spark, sf_dir):
-    q = questions(spark, sf_dir).select("q_id", T.tokens(F.col("text")).alias("q"), (F.col("q_id") % 10).alias("k"))
-    d = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), (F.col("doc_id") % 10).alias("k"))
-    return d.join(q, "k").select("q_id", "doc_id", F.round(V.jaccard(F.col("q"), F.col("t")), 9).alias("score"))
-
-
 @query(f"""WITH {_POSTINGS},{_SPARSE},{_DENSE},{_FUSED},
 s AS (SELECT q_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '\\S+')) AS q, list_distinct(regexp_extract_all(lower(d.text), '\\S+')) AS t FROM fused JOIN benchmark b ON q_id = item_id JOIN documents d USING (doc_id))
 SELECT q_id, doc_id, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE CAST(len(list_intersect(q, t)) AS DOUBLE) / len(list_distinct(list_concat(q, t))) END, 9) AS score FROM s""")
-def jaccard_rerank_hits(spark, sf_dir):
-    """The pairs are the fused hits of all questions."""
-    q = questions(spark, sf_dir).select("q_id", T.tokens(F.col("text")).alias("q"))
-    d = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    hits = rrf_fuse(spark, sf_dir).select("q_id", "doc_id")
+def jaccard_rerank(spark, sf_dir):
+    """The pairs are the fused hits of all questions; each text that is hit is cut into tokens once."""
+    q = questions(spark, sf_dir).select("q_id", F.array_distinct(T.tokens(F.col("text"))).alias("q"))
+    hits = stored(rrf_fuse(spark, sf_dir).select("q_id", "doc_id"), "hits")
+    d = read(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    d = stored(d.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("t")), "told")
     return hits.join(q, "q_id").join(d, "doc_id").select("q_id", "doc_id", F.round(V.jaccard(F.col("q"), F.col("t")), 9).alias("score"))
 
 
@@ -187,10 +165,14 @@ def normalize_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.one_space(F.col("text")).alias("normalised"), T.token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS canonical FROM documents")
+_ARABIC = "إِنَّ الصَّلاةَ ٱلْأُولى مؤمنٌ هٰذا شئ قــال آمن"
+
+
+@query(f"""SELECT doc_id, regexp_replace(translate(nfc_normalize(text || ' {_ARABIC}' || substr('{_ARABIC}', CAST(doc_id % 40 AS INTEGER) + 1)), 'أإآٱىةؤئ', 'اااايهءء'), '[\\x{{064B}}-\\x{{065F}}\\x{{0670}}\\x{{06D6}}-\\x{{06ED}}\\x{{0640}}]', '', 'g') AS canonical FROM documents""")
 def arabic_normalize(spark, sf_dir):
-    """The tables hold no Arabic, which leaves the normal form; tests have literal Arabic texts."""
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalise_arabic(F.col("text")).alias("canonical"))
+    """The tables hold no Arabic, so every text gets some, begun at another place in each."""
+    text = F.concat("text", F.lit(" " + _ARABIC), F.substring(F.lit(_ARABIC), (F.col("doc_id") % 40 + 1).cast("int"), F.lit(200)))
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalise_arabic(text).alias("canonical"))
 
 
 @query("""SELECT doc_id, pos - 1 AS pos, sentence FROM (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM (
@@ -240,12 +222,6 @@ def delta_groups(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(groups).alias("seq", "delta"))
 
 
-
-@query("""SELECT conv_id, turn, 'qa:v1:' || sha256(role || ':' || coalesce(text, '')) AS cache_key FROM conversations""")
-def cache_keys(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("qa:v1:"), F.sha2(F.concat(F.col("role"), F.lit(":"), F.coalesce("text", F.lit(""))), 256)).alias("cache_key"))
-
-
 # --- relational ------------------------------------------------------------------------------------------------------
 
 @query("SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -422,14 +398,3 @@ def cache_ttl_evict(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     now = events.agg(F.max("ts")).first()[0]
     return L.evicted(L.live_entries(events, "ts", now, 604800), "event_type", "p*").select("event_id")
-
-
-@query()
-def circuit_breaker_fold(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("event_type", "ts", (F.col("value") > 30).alias("ok"), "event_id")
-    return L.breaker_states(events, "event_type", "ts", "ok", "event_id")
-
-
-@query("""SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS used, greatest(0, 2 - count(*)) AS "left" FROM events GROUP BY 1, 2""")
-def quota_counters(spark, sf_dir):
-    return L.quota_left(read(spark, sf_dir, "events"), "event_type", "ts", 2)

@@ -12,6 +12,7 @@ from ..operators import layout as Y
 from ..operators import metadata as M
 from .catalog import _DENSE, _FUSED, _POSTINGS, _SPARSE, query, read, rrf_fuse
 
+_STOP = ", ".join(f"'{w}'" for w in A.STOPWORDS)
 _FRAME = """blocks AS (
   SELECT l_orderkey % 50 AS doc_id, l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS block_index, CAST(40 + l_partkey * 37 % 400 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_linenumber * 97) % 830 AS DOUBLE) AS y0,
     CAST(60 + l_partkey * 37 % 400 + CAST(l_quantity AS BIGINT) * 4 AS DOUBLE) AS x1, CAST((l_suppkey * 53 + l_linenumber * 97) % 830 + 8 + l_partkey % 20 AS DOUBLE) AS y1,
@@ -134,22 +135,12 @@ def question_intent(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", A.intent(F.col("text")).alias("intent"))
 
 
-@query("""WITH p AS (SELECT item_id AS q_id, doc_id AS chunk_id, b.text AS question, d.text FROM benchmark b JOIN documents d ON b.item_id % 40 = d.doc_id % 40),
-s AS (SELECT q_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{M}\\p{N}_]+')) AS q, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([।.?؟])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') AS parts FROM p)),
-h AS (SELECT *, len(list_filter(regexp_extract_all(lower(sentence), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: list_contains(q, w))) AS hits FROM s)
-SELECT q_id, chunk_id, sentence, CAST(hits AS INTEGER) AS hits FROM h QUALIFY row_number() OVER (PARTITION BY q_id, chunk_id ORDER BY hits DESC, i) = 1""")
-def best_sentence(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"), (F.col("item_id") % 40).alias("k"))
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 40).alias("k"))
-    return A.best_sentences(d.join(b, "k"))
-
-
 @query(f"""WITH {_POSTINGS},{_SPARSE},{_DENSE},{_FUSED},
 p AS (SELECT q_id, doc_id AS chunk_id, b.text AS question, d.text FROM fused JOIN benchmark b ON q_id = b.item_id JOIN documents d USING (doc_id)),
 s AS (SELECT q_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS q, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([।.?؟])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') AS parts FROM p)),
-h AS (SELECT *, len(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: list_contains(q, w))) AS hits FROM s)
+h AS (SELECT *, len(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: list_contains(q, w) AND NOT list_contains([{_STOP}], w))) AS hits FROM s)
 SELECT q_id, chunk_id, sentence, CAST(hits AS INTEGER) AS hits FROM h QUALIFY row_number() OVER (PARTITION BY q_id, chunk_id ORDER BY hits DESC, i) = 1""")
-def best_sentence_hits(spark, sf_dir):
+def best_sentence(spark, sf_dir):
     """The pairs are the fused hits of all questions."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def sliding_limit(events: DataFrame, scope: str, ts: str, limit: int, seconds: int) -> DataFrame:
@@ -64,35 +68,74 @@ def evicted(cache: DataFrame, key: str, *patterns: str) -> DataFrame:
     return out
 
 
+def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], step: Callable[[Any, tuple], tuple[Any, tuple]], out: str) -> DataFrame:
+    """(key, columns of ``order``, ``out``): each row's answer of a fold over its key's rows in order.
+
+    ``step(state, values)`` takes the state, None at first, and a row's ``columns``, and gives the next state and the
+    answer. Rows come sorted in batches, so that a key of any length needs the memory of one batch and one state.
+    """
+    kept = rows.select(key, *order, *[c for c in columns if c not in order])
+    names = kept.columns
+    own, told = names.index(key), [names.index(c) for c in order]
+    given = [names.index(c) for c in columns]
+    answer = StructType.fromDDL(out)
+    schema = StructType([*[kept.schema[c] for c in (key, *order)], *answer])
+    kinds = [to_arrow_type(f.dataType) for f in answer]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, None, False
+        for batch in batches:
+            got: list[tuple] = []
+            for k, *values in zip(batch.column(own).to_pylist(), *(batch.column(i).to_pylist() for i in given)):
+                if not begun or k != now:
+                    now, state, begun = k, None, True
+                state, one = step(state, tuple(values))
+                got.append(one)
+            found = [pa.array(x, t) for x, t in zip(zip(*got) if got else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(own), *(batch.column(i) for i in told), *found], schema.names)
+
+    return kept.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, threshold: int = 3, recovery: int = 300) -> DataFrame:
     """(name, order, allowed, state): a circuit breaker's answer to each call, and its state after it.
 
     It opens after ``threshold`` failures in a row. Once more than ``recovery`` seconds have gone by, one call is let through: its
-    success closes the breaker, its failure opens it again. Calls that aren't let through change nothing. Each breaker is
-    a fold over its calls in order; there are as many groups as breakers.
+    success closes the breaker, its failure opens it again. Calls that aren't let through change nothing.
+    """
+    def step(state, values):
+        failures, opened = state or (0, None)
+        at, good = values
+        if opened is not None and (at - opened).total_seconds() <= recovery:
+            return (failures, opened), (False, "open")
+        if good:
+            return (0, None), (True, "closed")
+        failures += 1
+        opened = at if opened is not None or failures >= threshold else None
+        return (failures, opened), (True, "closed" if opened is None else "open")
+
+    return folded(calls, name, [ts, order], [ts, ok], step, "allowed boolean, state string").drop(ts)
+
+
+def quota_states(calls: DataFrame, name: str, ts: str, tokens: str, order: str, limits: dict[str, int]) -> DataFrame:
+    """(name, order, minute_requests, minute_tokens, day_requests, day_tokens, exceeded) after each call.
+
+    Counts of a minute and of a day begin anew with the first call at or after their deadline, which is a minute or a day
+    after they last began, not with the clock; the end of a day begins a minute, too. ``limits`` may have
+    requests_per_minute, tokens_per_minute, requests_per_day and tokens_per_day; a limit of 0 is none.
     """
-    kinds = dict(calls.dtypes)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, order])
-        failures, opened, out = 0, None, []
-        for at, good in zip(rows[ts], rows[ok]):
-            if opened is not None and (at - opened).total_seconds() <= recovery:
-                out.append((False, "open"))
-                continue
-            if good:
-                failures, opened = 0, None
-            else:
-                failures += 1
-                if opened is not None or failures >= threshold:
-                    opened = at
-            out.append((True, "open" if opened is not None else "closed"))
-        return pd.DataFrame({name: rows[name], order: rows[order], "allowed": [a for a, _ in out], "state": [s for _, s in out]})
-
-    return calls.select(name, ts, ok, order).groupBy(name).applyInPandas(fold, f"{name} {kinds[name]}, {order} {kinds[order]}, allowed boolean, state string")
-
-
-def quota_left(calls: DataFrame, name: str, ts: str, per_minute: int) -> DataFrame:
-    """(name, minute, used, left): calls of each aligned minute against a quota."""
-    minute = calls.groupBy(name, F.window(ts, "1 minute").alias("w")).agg(F.count("*").alias("used"))
-    return minute.select(name, F.col("w.start").alias("minute"), "used", F.greatest(F.lit(0), per_minute - F.col("used")).alias("left"))
+    names = ("requests_per_minute", "tokens_per_minute", "requests_per_day", "tokens_per_day")
+
+    def step(state, values):
+        at, n = values
+        minute_at, day_at, counts = state or (at, at, (0, 0, 0, 0))
+        if (at - day_at).total_seconds() >= 86400:
+            minute_at, day_at, counts = at, at, (0, 0, 0, 0)
+        elif (at - minute_at).total_seconds() >= 60:
+            minute_at, counts = at, (0, 0, *counts[2:])
+        counts = tuple(c + x for c, x in zip(counts, (1, n or 0) * 2))
+        over = any(limits.get(k) and c > limits[k] for k, c in zip(names, counts))
+        return (minute_at, day_at, counts), (*counts, over)
+
+    out = "minute_requests long, minute_tokens long, day_requests long, day_tokens long, exceeded boolean"
+    return folded(calls, name, [ts, order], [ts, tokens], step, out).drop(ts)
