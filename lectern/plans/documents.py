@@ -103,8 +103,9 @@ def printed_page_numbers(spark, sf_dir):
     return M.page_numbers(frame(spark, sf_dir)).drop("doc_id")
 
 
-@query("""WITH n AS (SELECT doc_id, source || ' vol ' || (doc_id % 7) || ' - ' || lang || '.pdf' AS filename FROM documents)
-SELECT doc_id, source AS title, lang AS author, CAST(doc_id % 7 AS VARCHAR) AS volume FROM documents""")
+@query("""WITH n AS (SELECT doc_id, source || ' vol ' || (doc_id % 7) || ' - ' || lang || '.pdf' AS filename FROM documents),
+m AS (SELECT doc_id, regexp_extract(filename, '^(.+) vol ([0-9]+) - (.+)\\.pdf$', ['title', 'volume', 'author']) AS f FROM n)
+SELECT doc_id, f.title, f.author, f.volume FROM m""")
 def filename_fields(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     name = F.concat("source", F.lit(" vol "), (F.col("doc_id") % 7).cast("string"), F.lit(" - "), "lang", F.lit(".pdf"))

@@ -85,9 +85,9 @@ def test_uploads(spark, tmp_path):
 
 
 def test_gold_thresholds_and_frames(spark, tmp_path):
-    (tmp_path / "gold.jsonl").write_text('# comment\n\n{"id":"1","question":{"en":"q"}}\n{"id":"2","question":{"en":""}}\n{"id":"3","question":{"ar":"x"}}\n{"id":"3","question":{"ar":"y"}}\nnot json\n')
+    (tmp_path / "gold.jsonl").write_text('# comment\n\n{"id":"1","question":{"en":"q"},"expected_citations":[{"book":"b"}]}\n{"id":"2","question":{"en":""}}\n{"id":"4","question":{"en":"q"},"category":"should_refuse"}\n{"id":"5","question":{"en":"q"}}\n{"id":"3","question":{"ar":"x"}}\n{"id":"3","question":{"ar":"y"}}\nnot json\n')
     got = sorted((r.id or "", r.fault or "") for r in S.gold_questions(spark, str(tmp_path / "gold.jsonl")).collect())
-    assert got == [("", "invalid"), ("1", ""), ("2", "invalid"), ("3", "repeated"), ("3", "repeated")]
+    assert got == [("", "invalid"), ("1", ""), ("2", "invalid"), ("3", "repeated"), ("3", "repeated"), ("4", "refusal not expected"), ("5", "no citations")]
     (tmp_path / "t.yaml").write_text("metrics:\n  recall@10: 0.75\n  mrr: 0.5  # floor\n")
     assert {r.metric: r.threshold for r in S.thresholds(spark, str(tmp_path / "t.yaml")).collect()} == {"recall@10": 0.75, "mrr": 0.5}
     df = spark.createDataFrame([("x", bytearray(b"ok")), ("y", bytearray(b"bad"))], "path string, content binary")
@@ -99,6 +99,14 @@ def test_gold_thresholds_and_frames(spark, tmp_path):
 
     out = {r.doc_id: (r.text, r.error) for r in S.page_frames(df, parse).collect()}
     assert out == {"x": ("t", None), "y": (None, "ValueError: broken")}
+
+    def by_page(content):
+        for n in range(1, 5):
+            yield n, lambda n=n: [{"text": f"page {n}"}] if n != 2 else [][1]
+
+    got = sorted((r.page, r.text or r.error.split(":")[0]) for r in S.page_frames(df.limit(1), by_page).collect())
+    assert got == [(1, "page 1"), (2, "IndexError"), (3, "page 3"), (4, "page 4")]
+    assert [r.error for r in S.page_frames(df.limit(1), by_page, most_pages=3).collect()] == ["TooManyPages: more than 3"]
     assert [list(x) for x in S.extraction_plan(5, 2)] == [[1, 2, 3], [4, 5]] and S.extraction_plan(0, 3) == []
 
 
