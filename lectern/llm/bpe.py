@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import input_bytes, materialise, slices, tidied
+from .common import give_back, input_bytes, materialise, slices, tidied
 
 #: Characters of a run of texts. A longer text is a run by itself.
 RUN_CHARS = 16_000_000
 #: Bytes of input for each bucket of pre-tokens, and the bounds of the buckets' number as powers of two.
 BUCKET_BYTES, BUCKET_BITS = 8 << 20, (6, 14)
-#: Positions that are put together at once, and chunks whose pre-tokens a run remembers.
-TOGETHER, REMEMBERED = 1 << 20, 500_000
+#: Positions that are packed or put together at once, and chunks whose pre-tokens a run remembers.
+BLOCK, TOGETHER, REMEMBERED = 1 << 18, 1 << 18, 300_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -158,15 +158,20 @@ class Run:
         for text, (head, parts) in zip(texts, cut):
             own = np.fromiter(map(number, parts), np.int64, len(parts))
             begin = np.array(self._numbered(_pattern().findall(head)), np.int32)
-            self.positions.append(np.r_[begin, spread(self.flat, self.first[own], self.size[own])].astype(np.int32))
+            self.positions.append(np.r_[begin, spread(self.flat, self.first[own], self.size[own])].astype(np.int32, copy=False))
             self.lengths.append(len(self.positions[-1]))
             self.chars += len(text)
 
     def packed(self, bits: int) -> tuple[list[tuple[int, bytes]], bytes, bytes, bytes]:
         """The words of each bucket, most frequent first and by their bytes; then, packed, the bucket of every word, the
         positions as ranks of words by frequency, and the texts' lengths in positions."""
+        # The run is done: what only its making needs goes first.
+        self.chunks.clear()
+        self.flat, self.first, self.size = self.flat[:0].copy(), self.first[:0].copy(), self.size[:0].copy()
         words = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        self.words.clear()
         at = np.concatenate(self.positions) if self.positions else np.zeros(0, np.int32)
+        self.positions.clear()
         count = np.bincount(at, minlength=len(words)).tolist()
         # Words of one count stand in order, since neighbours that begin alike pack well.
         order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
@@ -178,34 +183,41 @@ class Run:
         cut = np.flatnonzero(np.r_[True, np.diff(bucket[by].astype(np.int64)) > 0, True][: len(by) + 1]) if len(by) else np.zeros(1, np.int64)
         pack = zstandard.ZstdCompressor(level=6).compress
         rows = [(int(bucket[by[i]]), pack(_joined([body[k] for k in by[i:j].tolist()]))) for i, j in zip(cut[:-1], cut[1:])]
-        return rows, pack(bucket.tobytes()), coded(rank[at]), pack(np.array(self.lengths, np.int64).tobytes())
+        np.take(rank, at, out=at)
+        return rows, pack(bucket.tobytes()), coded(at), pack(np.array(self.lengths, np.int64).tobytes())
 
 
 def coded(ranks: np.ndarray) -> bytes:
     """Ranks of words, most of them small, in few bytes: of each number its length and first three bits after the first as
-    a symbol, packed, and the other bits as they are."""
-    v = ranks.astype(np.int64) + 1
-    length = np.frexp(v.astype(np.float64))[1] - 1
-    extra = np.maximum(length - 3, 0)
-    symbol = np.where(length < 3, v, 8 * (length - 2) + (v >> extra) - 8).astype(np.uint8)
-    head = zstandard.ZstdCompressor(level=3).compress(symbol.tobytes())
-    rest = [np.packbits(v[extra > k] >> k & 1).tobytes() for k in range(int(extra.max(initial=0)))]
+    a symbol, all packed together, and the other bits as they are, block by block."""
+    symbols, rest = [], []
+    for i in range(0, len(ranks), BLOCK):
+        v = ranks[i : i + BLOCK].astype(np.int64) + 1
+        length = np.frexp(v.astype(np.float64))[1] - 1
+        extra = np.maximum(length - 3, 0)
+        symbols.append(np.where(length < 3, v, 8 * (length - 2) + (v >> extra) - 8).astype(np.uint8).tobytes())
+        rest += [np.packbits(v[extra > k] >> k & 1).tobytes() for k in range(int(extra.max()))]
+    head = zstandard.ZstdCompressor(level=3).compress(b"".join(symbols))
     return len(head).to_bytes(8, "little") + head + b"".join(rest)
 
 
 def decoded(body: bytes) -> np.ndarray:
     """The ranks that ``coded`` packed."""
     n = int.from_bytes(body[:8], "little")
-    symbol = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[8 : 8 + n]), np.uint8).astype(np.int64)
-    extra = np.maximum((symbol >> 3) - 1, 0)
-    v = np.where(symbol < 8, symbol, ((symbol & 7) + 8) << extra)
+    symbols = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[8 : 8 + n]), np.uint8)
+    out = np.empty(len(symbols), np.int32)
     at = 8 + n
-    for k in range(int(extra.max(initial=0))):
-        some = np.flatnonzero(extra > k)
-        size = -(-len(some) // 8)
-        v[some] |= np.unpackbits(np.frombuffer(body, np.uint8, size, at), count=len(some)).astype(np.int64) << k
-        at += size
-    return (v - 1).astype(np.int32)
+    for i in range(0, len(symbols), BLOCK):
+        symbol = symbols[i : i + BLOCK].astype(np.int64)
+        extra = np.maximum((symbol >> 3) - 1, 0)
+        v = np.where(symbol < 8, symbol, ((symbol & 7) + 8) << extra)
+        for k in range(int(extra.max())):
+            some = np.flatnonzero(extra > k)
+            size = -(-len(some) // 8)
+            v[some] |= np.unpackbits(np.frombuffer(body, np.uint8, size, at), count=len(some)).astype(np.int64) << k
+            at += size
+        out[i : i + BLOCK] = v - 1
+    return out
 
 
 def spread(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -280,6 +292,7 @@ def _runs(bits: int, n: int, run_chars: int):
                 if at < len(texts):
                     yield from done()
                     number, run, held = number + 1, Run(), []
+                    give_back()
         if run.lengths:
             yield from done()
 
@@ -344,6 +357,7 @@ def _put_together(names: list[str], path: str):
                     columns = [inner.field(k).slice(at, to - at) for k in range(len(names))]
                     yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*names, "ids"])
                     at = to
+                give_back()
 
     return rows
 
