@@ -14,6 +14,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIX = {"share": 0.8, "epochs": 1, "seed": 29, "weights": {"language": {"*": 1, "en": 2}}}
 
 
+#: Characters of a run of texts in the last stage.
+RUN_CHARS = 6_000_000
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     scorer = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -44,7 +48,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids) of the documents left."""
-    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
+    # Shorter runs than the operator's own need more room on disk, of which a pipeline has more, and less memory.
+    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), run_chars=RUN_CHARS)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
