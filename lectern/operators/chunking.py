@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, one_space, sentences_for_packing, stripped, token_count
+from .layout import PAGE, dominant_font, regions
+from .metadata import heading_level
 
 LEVELS = ("kitab", "bab", "fasl", "topic")
 MOST_TOKENS, OVERLAP = 320, 0.15
@@ -21,6 +23,18 @@ def _number(level: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, LEVELS)), level)
 
 
+def units_of(blocks: DataFrame, contexts: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
+    """Units of the blocks of main text, in reading order, with the levels of headings and the pages' printed numbers.
+
+    ``blocks`` are those of ``layout``, ``contexts`` has (doc_id, page, printed); a page without one has no printed number.
+    Blocks without text are no units.
+    """
+    main = regions(blocks, drawings).withColumn("text", stripped(F.coalesce("text", F.lit("")))).filter("region = 'main'")
+    known = main.join(dominant_font(main), PAGE, "left").join(contexts.select(*PAGE, "printed"), PAGE, "left").filter("text <> ''")
+    unit = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "reading_order")) - 1
+    return known.select("doc_id", unit.alias("unit"), "text", heading_level(F.col("text"), F.col("size"), F.col("font")).alias("level"), "page", "printed")
+
+
 def segments(units: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     """Units with ``segment``: its number within the document after all cuts.
 

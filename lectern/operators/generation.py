@@ -410,3 +410,27 @@ def reply_faults(reply: Column, evidence_ids: Column, language: Column) -> Colum
         .when(~absent("$.refusal") & ~is_object("$.refusal"), "refusal is no object").when(~absent("$.refusal") & ~got("$.refusal.reason").eqNullSafe(F.lit("insufficient_evidence")), "refusal reason")
         .when(~absent("$.refusal") & ~absent("$.refusal.closest_evidence") & ~is_list("$.refusal.closest_evidence"), "closest evidence is no list").otherwise(lists)
     )
+
+
+def reply_citations(reply: Column) -> Column:
+    """(chunk_id, page, volume) of a checked reply's citations, numbers as text."""
+    v = F.try_parse_json(F.regexp_replace(F.trim(reply), "(?s)^```[^\n]*\n?|\n?\\s*```$", ""))
+    some = F.coalesce(F.try_variant_get(v, "$.citations", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(some, lambda c: F.struct(*[F.try_variant_get(c, f"$.{k}", "string").alias(k) for k in ("chunk_id", "page", "volume")]))
+
+
+RETRIEVED = "query string, canonical string, language string, translated boolean, candidates array<string>, evidence_sufficient boolean, chunks array<struct<chunk_id:string,text:string,book_name:string,volume:string,printed_page_start:int,rerank_score:double>>"
+_CACHED = f"retrieval struct<{re.sub(' (?=string|boolean|array)', ':', RETRIEVED).replace(', ', ',')}>, answer struct<answer_language:string,html:string,refusal_reason:string>, _bad string"
+
+
+def cache_value(retrieval: Column, answer: Column) -> Column:
+    """What a cache keeps of a turn, as JSON."""
+    return F.to_json(F.struct(retrieval.alias("retrieval"), answer.alias("answer")))
+
+
+def cached_turns(entries: DataFrame) -> DataFrame:
+    """(key, retrieval, answer) of cache entries (key, value); an entry that isn't what ``cache_value`` made is none, and its turn is
+    worked out anew."""
+    read = entries.withColumn("_v", F.from_json("value", _CACHED, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    good = F.col("_v._bad").isNull() & F.col("_v.retrieval.query").isNotNull() & F.col("_v.answer.html").isNotNull()
+    return read.filter(good).select("key", "_v.retrieval", "_v.answer")

@@ -215,3 +215,8 @@ def children_in_order(rows: DataFrame, key: str, value, order: list[str]) -> Dat
 def open_sessions(sessions: DataFrame) -> DataFrame:
     """The sessions of each user that weren't revoked, with their ``place``, the newest first."""
     return latest(sessions.filter(F.col("revoked_at").isNull()), ["user_id"], [F.desc("created_at"), F.desc("id")], 1 << 30)
+
+
+def latest_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest evaluation runs first."""
+    return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)

@@ -10,7 +10,7 @@ from ..operators import answers as A
 from ..operators import chunking as C
 from ..operators import layout as Y
 from ..operators import metadata as M
-from .catalog import _DENSE, _FUSED, _POSTINGS, _SPARSE, query, read, rrf_fuse
+from .catalog import _DENSE, _FUSED, _POSTINGS, _SPARSE, ORACLES, query, read, rrf_fuse
 
 _STOP = ", ".join(f"'{w}'" for w in A.STOPWORDS)
 _FRAME = """blocks AS (
@@ -63,6 +63,18 @@ def layout_regions(spark, sf_dir):
     return Y.regions(frame(spark, sf_dir)).select("page", "block_index", "region")
 
 
+@query(f"""WITH {_FRAME}, regions AS ({ORACLES["layout_regions"]}), orders AS ({ORACLES["reading_order"]}),
+main AS (SELECT b.*, o.reading_order FROM blocks b JOIN regions r USING (page, block_index) JOIN orders o USING (page, block_index) WHERE region = 'main'),
+sizes AS (SELECT page, round_even(size, 1) AS font, sum(len(text)) AS n, min(block_index) AS first FROM main WHERE size > 0 GROUP BY ALL), fonts AS (SELECT page, font FROM sizes QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1)
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, reading_order) - 1 AS INTEGER) AS unit, text, CASE WHEN page % 3 > 0 THEN CAST(page % 100 AS INTEGER) END AS printed,
+  CASE WHEN size >= font * CAST(1.08 AS DOUBLE) THEN CASE WHEN text LIKE 'Book%' THEN 'kitab' WHEN text LIKE 'Section%' THEN 'bab' WHEN text LIKE 'Part%' THEN 'fasl' ELSE 'topic' END END AS level FROM main LEFT JOIN fonts USING (page)""")
+def chunk_units(spark, sf_dir):
+    """What chunks are made of: blocks, their layout, and the printed numbers of two pages in three."""
+    blocks = frame(spark, sf_dir)
+    contexts = blocks.filter("page % 3 > 0").select("doc_id", "page", (F.col("page") % 100).cast("int").alias("printed")).distinct()
+    return C.units_of(blocks, contexts)
+
+
 @query(f"""WITH {_FRAME}, s AS (SELECT page, round_even(size, 1) AS font, sum(len(text)) AS n, min(block_index) AS first FROM blocks WHERE size > 0 GROUP BY ALL)
 SELECT page, font FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first) = 1""")
 def dominant_font_mode(spark, sf_dir):

@@ -485,6 +485,26 @@ def cache_got_or_set(spark, sf_dir):
     return S.got_or_set(conv.select("key"), live.union(dead), lambda misses: misses.select("key", F.concat(F.lit("made "), "key").alias("value")), times[1])[0]
 
 
+@query("""SELECT conv_id, turn, coalesce(text, '') AS query, 'answer ' || turn AS html, turn AS n FROM conversations WHERE turn % 3 <> 1 AND conv_id % 5 <> 0""")
+def cached_turns(spark, sf_dir):
+    """Turns written as cache values and read back; some entries are cut off, some hold something else."""
+    conv = read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    t = F.coalesce("text", F.lit(""))
+    none = F.lit(None).cast("string")
+    chunks = F.array(F.struct(F.lit("c").alias("chunk_id"), t.alias("text"), none.alias("book_name"), none.alias("volume"), F.col("turn").cast("int").alias("printed_page_start"), F.lit(0.5).alias("rerank_score")))
+    retrieval = F.struct(t.alias("query"), t.alias("canonical"), F.lit("en").alias("language"), F.lit(False).alias("translated"), F.array(t).alias("candidates"), F.lit(True).alias("evidence_sufficient"), chunks.alias("chunks"))
+    value = G.cache_value(retrieval, F.struct(F.lit("en").alias("answer_language"), F.concat(F.lit("answer "), F.col("turn").cast("string")).alias("html"), none.alias("refusal_reason")))
+    broken = F.when(F.col("turn") % 3 == 1, F.substring(value, F.lit(1), F.length(value) - 9)).when(F.col("conv_id") % 5 == 0, '{"other": 1}').otherwise(value)
+    back = G.cached_turns(conv.select("key", broken.alias("value")))
+    key = F.split("key", "/")
+    return back.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "retrieval.query", "answer.html", F.col("retrieval.chunks")[0]["printed_page_start"].cast("long").alias("n"))
+
+
+@query(f"{_with('jobs')} SELECT id, status FROM jobs WHERE kind = 'chunking' ORDER BY started_at DESC, id DESC LIMIT 10")
+def latest_runs(spark, sf_dir):
+    return J.latest_runs(frame(spark, sf_dir, "jobs").filter("kind = 'chunking'")).select("id", "status")
+
+
 # --- evaluation runs ----------------------------------------------------------------------------------------------
 
 @query(f"""{_with('citations', 'books', 'editions', 'volumes', 'chunks')}, b AS (SELECT c.*, CASE WHEN c.book_id IS NOT NULL THEN (SELECT id FROM books WHERE id = c.book_id) ELSE (SELECT min(id) FROM books WHERE title ILIKE '%' || c.book || '%') END AS own FROM citations c),

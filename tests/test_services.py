@@ -96,6 +96,13 @@ def test_replies_with_fields_of_other_kinds(spark):
     assert [got[i] for i in range(len(cases))] == [f for _, f in cases]
 
 
+def test_cited_numbers_become_text(spark):
+    replies = ['{"citations": [{"chunk_id": "a", "page": 3, "volume": "2"}, {"chunk_id": "b"}]}', "```json\n{}\n```", "no json"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string").select("i", G.reply_citations(F.col("reply")).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    assert [(c.chunk_id, c.page, c.volume) for c in got[0]] == [("a", "3", "2"), ("b", None, None)] and got[1] == [] and got[2] == []
+
+
 def test_candidates(spark):
     queries = spark.createDataFrame([(1, "What of صلاة?", "الصَّلاةُ والماء طلاق"), (2, " same ", "same"), (3, "x", "ثبوت ثبوت")], "q_id int, original string, canonical string")
     edges = spark.createDataFrame(X.SEEDS, S.SCHEMAS["term_relations"])
