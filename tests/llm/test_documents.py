@@ -536,6 +536,47 @@ def test_short_texts_are_refined_too(monkeypatch):
     assert moved != model.log10([short])[0]
 
 
+def test_scores_of_segments_against_a_plain_loop():
+    """Texts of no, one and many segments, scored decision by decision with weights that move after every segment."""
+    from lectern.llm import mixing_model as mm
+
+    texts = [prose(i, n).replace("\n", " ").encode() for i, n in enumerate((0, 3, 40, 400, 3000, 90))]
+    code = Code(sum(count_pairs(texts[i : i + 2]) for i in (0, 2, 4)).reshape(256, 256))
+    counts = Counts()
+    counts.add(texts, code)
+    words = Counter(w for t in texts for w in t.split())
+    counts.add_words(list(words), np.array(list(words.values())), code, 0.1)
+    model = Model(code, [packed_logits(c) for c in counts.parts()])
+    model.train(texts[2:4])
+    got = model.log10(texts)
+    for text, score in zip(texts, got):
+        logits, gate, bit, _ = model._inputs([text])
+        x = logits.astype(np.float64)
+        shift, total, lo, size = np.zeros(len(x)), 0.0, 0, mm.FIRST
+        while lo < len(bit):
+            hi = min(lo + size, len(bit))
+            move = np.zeros(len(x))
+            for i in range(lo, hi):
+                z = float(((model.weights[gate[i]] + shift) * x[:, i]).sum())
+                p = 1 / (1 + math.exp(-z))
+                total += math.log10(p if bit[i] else 1 - p)
+                move += (bit[i] - p) * x[:, i]
+            shift += mm.RATE * move / (hi - lo)
+            lo, size = hi, min(2 * size, mm.SEGMENT)
+        assert abs(total - score) < 1e-3 * max(1, abs(total))
+    assert len(model._inputs([texts[4]])[2]) > 4 * mm.SEGMENT
+
+
+def test_labels_that_contradict_each_other(spark, odd):
+    """A document that is labelled both ways counts as 1; null labels and held-out documents don't count."""
+    labels = spark.createDataFrame([(i, 1, v) for i in range(1, 9) for v in (0, 1)] + [(9, 1, None), (10, 1, 0), (10, 1, 0), (10, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.bounded_sample(odd, labels, "toxic", 100, 5, 0).select("doc_id", "y").distinct().collect()
+    kept = {i for i in range(1, 11) if zlib.crc32(str(i).encode()) % 5}
+    assert {(r.doc_id, r.y) for r in got} == {(i, 1) for i in kept if i < 9} | {(i, 0) for i in kept if i == 10}
+    few = toxicity.bounded_sample(odd, labels, "toxic", 3, 5, 0).select("doc_id", "y").distinct()
+    assert few.filter("y = 1").count() == 3
+
+
 def test_all_queries_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) < set(queries.queries())

@@ -114,3 +114,61 @@ def test_pipeline_stage_by_stage(spark, odd, none, tmp_path):
     want = brute_components([x for x in first if x[0] != 5])
     assert kept - {None, 5} == {i for i, c in want.items() if i == c and i != 5}
     assert P.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_stages_take_effect(spark, odd, tmp_path):
+    """Documents that the model rejects go and clean ones stay; the mix is that of its SQL; ids are the library's."""
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline as P
+    from lectern.llm import bpe, mixing
+
+    from .conftest import prose
+    from .test_documents import clashing
+
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(i, 50).split(" ")
+        if i % 5 == 0:
+            words[7:7] = ["vileness", "nastyword", "vileness"]
+        rows.append((i, " ".join(words), ["en", "de"][i % 2], f"src{i % 3}", None))
+        labels.append((i, 1, int(i % 5 == 0)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clashing(spark.createDataFrame(rows, odd.schema))
+    left = P.toxic_documents(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {i for i in range(300) if i % 5}
+    mixed = P.mixed_sources(spark, left, str(tmp_path))
+    con = duckdb.connect()
+    con.register("documents", left.toPandas())
+    want = con.execute(f"WITH {mixing.sql('documents', **P.MIX)} SELECT doc_id FROM mixed").fetchall()
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, in want) and 0 < len(want) < 240
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(bpe.default_rank_file()), special_tokens={})
+    for r in P.token_ids(spark, mixed, str(tmp_path)).collect():
+        assert r.ids == encoding.encode_ordinary(rows[r.doc_id][1]) and r.n_tokens == len(r.ids)
+
+
+def test_components_against_union_find(spark):
+    """Loops, repeats, null ends, either direction, a hub, and a long path."""
+    import random
+
+    from lectern.llm.components import components
+
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(7, 7), (400, 400)] + [(500, 1000 + i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(60)]
+    edges += edges[:20] + [(v, u) for u, v in edges[20:40]]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    met = {x for u, v in edges if u != v for x in (u, v)}
+    df = spark.createDataFrame([*edges, (None, 3), (4, None), (None, None)], "u long, v long")
+    assert {x.node: x.component for x in components(df).collect()} == {x: find(x) for x in met}
+    assert components(df.limit(0)).count() == 0 and components(df.filter("u = v")).count() == 0
