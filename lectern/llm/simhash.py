@@ -91,35 +91,38 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return _fingerprinted(rows.dropDuplicates(["_id", "_key"]), ["_id", "_key"], "_text").select(F.col("_id").alias(id), "fingerprint")
 
 
-def _ranges(ids: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The cuts of the ids into ranges, each (_key, _lo, _width) for the ranges that are cut, and (_range, _top) of the last.
+Cut = tuple[int, int] | DataFrame
+
+
+def _ranges(ids: DataFrame) -> tuple[list[Cut], DataFrame]:
+    """The cuts of the ids into ranges, and (_range, _top) of the last ranges. The first cut is the least id and a width, a
+    later one a table (_key, _lo, _width) of the ranges that are cut.
 
     A cut makes pieces of equal width, within the bounds of what is there; a piece that still holds far more than its
     share is cut again, so that a few ids far away from all others do no harm. Only bounds and counts are ever together.
     """
-    spark = ids.sparkSession
-    n = ids.count()
-    share = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
-    cuts: list[DataFrame] = []
+    seen = ids.agg(F.count("*").alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi")).first()
+    share = max(BUCKET_ROWS, -(-seen.n // MOST_BUCKETS))
+    cuts: list[Cut] = []
     placed = ids.withColumn("_range", F.lit(""))
-    for _ in range(CUTS):
+    if seen.n > FAR * share and seen.lo < seen.hi:
+        cuts.append((seen.lo, -(-(seen.hi - seen.lo + 1) // min(MOST_BUCKETS, -(-seen.n // share)))))
+        placed = _cut(placed, cuts[0])
+    while True:
         found = materialise(placed.groupBy("_range").agg(F.count("*").alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi")), "ranges")
         far = found.filter((F.col("n") > FAR * share) & (F.col("lo") < F.col("hi")))
+        if not cuts or len(cuts) == CUTS or far.isEmpty():
+            return cuts, found.select("_range", F.col("hi").alias("_top"))
         pieces = F.least(F.ceil(F.col("n") / share), F.lit(MOST_BUCKETS)).cast("decimal(38,0)")
         width = F.expr("CAST(hi AS DECIMAL(38,0)) - CAST(lo AS DECIMAL(38,0)) + 1")
-        cut = far.select(F.col("_range").alias("_key"), F.col("lo").alias("_lo"), F.ceil(width / pieces).cast("decimal(38,0)").alias("_width"))
-        rows = cut.collect()
-        if not rows:
-            break
-        cuts.append(spark.createDataFrame(rows, cut.schema))
+        cuts.append(materialise(far.select(F.col("_range").alias("_key"), F.col("lo").alias("_lo"), F.ceil(width / pieces).cast("decimal(38,0)").alias("_width")), "cut"))
         placed = _cut(placed, cuts[-1])
-    else:
-        found = materialise(placed.groupBy("_range").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")), "ranges")
-    return cuts, found.select("_range", F.col("hi").alias("_top"))
 
 
-def _cut(placed: DataFrame, cut: DataFrame) -> DataFrame:
+def _cut(placed: DataFrame, cut: Cut) -> DataFrame:
     """``placed`` with ``_range`` made longer by the piece's number, in the ranges that are cut."""
+    if isinstance(cut, tuple):
+        return placed.withColumn("_range", F.expr(f"CAST((CAST(_id AS DECIMAL(38,0)) - CAST({cut[0]} AS DECIMAL(38,0))) DIV CAST({cut[1]} AS DECIMAL(38,0)) AS STRING)"))
     # At most ``MOST_BUCKETS`` ranges hold ``FAR`` times their share, by what the share is.
     met = placed.join(F.broadcast(cut), F.col("_range") == F.col("_key"), "left")
     piece = F.expr("CAST((CAST(_id AS DECIMAL(38,0)) - CAST(_lo AS DECIMAL(38,0))) DIV _width AS STRING)")
