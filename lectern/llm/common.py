@@ -68,6 +68,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Deletes a table that ``materialise`` wrote and that nothing reads any more."""
+    spark = written.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if "/lectern-" in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of ``df``, by which numbers of buckets grow."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

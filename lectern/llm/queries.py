@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard, language, mixing, neighbours, scoring, simhash, substring, toxicity
+from . import bpe, chat, clustering, html_text, jaccard, language, mixing, neighbours, scoring, simhash, substring, toxicity, whitening
 from .common import fold, read
 
 #: Production parameters of the mix: half of all tokens, the tree's weights, three epochs at most.
@@ -75,6 +75,28 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read(spark, sf_dir, "documents"), fold(7) == 2)
 
 
+#: A conversation whose texts hold control strings of the template.
+CONTROLS_INSIDE = ("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a log of events, folded, rendered and read back."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.digests(chat.log_of_turns(turns.unionByName(spark.sql(CONTROLS_INSIDE))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components of all."""
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster after ten rounds."""
+    return clustering.assignments(read(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = chat.sql(f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL {CONTROLS_INSIDE.replace('7L', '7').replace('0L', '0').replace('1L', '1')})")
+OP13_SQL = clustering.sql("embeddings")
 OP5_SQL = """WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ),
@@ -97,8 +119,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours, "op10_scoring": op10_scoring}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_substring": op3_substring, "op4_language": op4_language, "op5_jaccard": op5_jaccard, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_neighbours": op9_neighbours, "op10_scoring": op10_scoring, "op11_chat": op11_chat, "op12_whitening": op12_whitening, "op13_clustering": op13_clustering}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op5_jaccard": OP5_SQL, "op9_neighbours": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_substring": OP3_SQL, "op5_jaccard": OP5_SQL, "op9_neighbours": OP9_SQL, "op11_chat": OP11_SQL, "op13_clustering": OP13_SQL}
