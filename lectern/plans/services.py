@@ -277,16 +277,6 @@ def extraction_drawings(spark, sf_dir):
     return P.fanned_out(nested_pages(spark, sf_dir))["drawings"].drop("x0", "x1", "y1")
 
 
-@query("""WITH t AS (SELECT o_orderkey AS job_id, o_custkey % 70 AS n FROM orders), d AS (SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) AS before FROM lineitem GROUP BY 1),
-r AS (SELECT job_id, n, coalesce(before, 0) AS before FROM t LEFT JOIN d USING (job_id)),
-s AS (SELECT job_id, n, before, unnest(CASE WHEN n > before THEN list_distinct(list_transform(range(1, CAST(ceil((n - before) / 25) AS BIGINT) + 1), lambda i: least(i * 25, n - before))) ELSE [CAST(0 AS BIGINT)] END) AS k FROM r)
-SELECT job_id, before + k AS pages, CAST(CASE WHEN n > 0 THEN round_even((before + k) / n * 100, 0) ELSE 100 END AS INTEGER) AS percent FROM s""")
-def extraction_checkpoints(spark, sf_dir):
-    totals = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 70).alias("n"))
-    done = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("page"))
-    return P.checkpoints(totals, done)
-
-
 @query(f"""{_with('pages')}, old AS (SELECT job_id, page_number, min(char_count) AS char_count FROM pages GROUP BY ALL), new AS (SELECT job_id, page_number, char_count + 1 AS char_count FROM old WHERE char_count % 4 = 0)
 SELECT o.job_id, o.page_number, coalesce(n.char_count, o.char_count) AS char_count FROM old o LEFT JOIN new n USING (job_id, page_number)""")
 def extraction_resumed(spark, sf_dir):

@@ -47,21 +47,35 @@ def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lectern-")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once to the folder that ``spark.checkpoint.dir`` names and read back.
-
-    What several parts of a plan need is worked out once so, and no lost executor brings it back. Only a local session
-    may go without that setting.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; only a local session may go without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = _local_folder()
-    path = f"{folder.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back.
+
+    What several parts of a plan need is worked out once so, and no lost executor brings it back.
+    """
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def write_for_key(df: DataFrame, path: str, key: str) -> None:
