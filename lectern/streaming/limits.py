@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..operators.temporal import ROWS, asof_join, micros, ranged, running_totals
+
 
 def sliding_limit(events: DataFrame, scope: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """``events`` with ``in_window``, ``allowed``, ``remaining`` and ``retry_after``.
@@ -97,34 +100,143 @@ def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], step
     return kept.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, threshold: int = 3, recovery: int = 300) -> DataFrame:
-    """(name, order, allowed, state): a circuit breaker's answer to each call, and its state after it.
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows that are sorted by their first columns, one table for each value of those."""
+    now, held = None, []
+    for batch in batches:
+        told = list(zip(*(c.to_pylist() for c in batch.columns[:keys])))
+        cuts = [0, *(i for i in range(1, len(told)) if told[i] != told[i - 1]), len(told)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and told[a] != now:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = told[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+#: Calls without a time come before all others.
+_BEFORE_ALL = -(1 << 62)
+_STATE = "struct<failures:int,opened:bigint>"
+
+
+def breaker_step(threshold: int, recovery: int) -> Callable[[Any, tuple], tuple[Any, tuple]]:
+    """One call of a breaker, (microseconds or time, success): the next state (failures, when it opened) and (allowed, state)."""
 
-    It opens after ``threshold`` failures in a row. Once more than ``recovery`` seconds have gone by, one call is let through: its
-    success closes the breaker, its failure opens it again. Calls that aren't let through change nothing.
-    """
     def step(state, values):
         failures, opened = state or (0, None)
         at, good = values
-        if opened is not None and (at - opened).total_seconds() <= recovery:
+        at = at if at is None or isinstance(at, int) else int(at.timestamp() * 1_000_000 + 0.5) if not hasattr(at, "value") else at.value // 1000
+        at = _BEFORE_ALL if at is None else at
+        if opened is not None and at - opened <= recovery * 1_000_000:
             return (failures, opened), (False, "open")
         if good:
             return (0, None), (True, "closed")
-        failures += 1
+        failures = min(failures + 1, threshold)
         opened = at if opened is not None or failures >= threshold else None
         return (failures, opened), (True, "closed" if opened is None else "open")
 
-    return folded(calls, name, [ts, order], [ts, ok], step, "allowed boolean, state string").drop(ts)
+    return step
 
 
-def quota_states(calls: DataFrame, name: str, ts: str, tokens: str, order: str, limits: dict[str, int]) -> DataFrame:
-    """(name, order, minute_requests, minute_tokens, day_requests, day_tokens, exceeded) after each call.
+def breaker_table(at: np.ndarray, ok: list, threshold: int, recovery: int) -> tuple[list, list]:
+    """What calls in order make of every state that a breaker may come to them in.
 
-    Counts of a minute and of a day begin anew with the first call at or after their deadline, which is a minute or a day
-    after they last began, not with the clock; the end of a day begins a minute, too. ``limits`` may have
-    requests_per_minute, tokens_per_minute, requests_per_day and tokens_per_day; a limit of 0 is none.
+    The first list has the state after them for a closed breaker with 0, 1, ... failures. The second has (time, state): a breaker that opened at t0 lets the
+    first of these calls through whose time is more than the recovery after t0, and is in that state in the end; if there is none, it
+    stays as it is. Only calls that can be the first are listed, and runs with one state as their last call. Found from the last call to the first.
     """
-    names = ("requests_per_minute", "tokens_per_minute", "requests_per_day", "tokens_per_day")
+    wait, n = recovery * 1_000_000, len(at)
+    after = np.searchsorted(at, at + wait, side="right")
+    closed = [(f, None) for f in range(threshold)]
+    probed: list = [None] * n
+    for i in range(n - 1, -1, -1):
+        opened = probed[after[i]] if after[i] < n else (threshold, int(at[i]))
+        if ok[i]:
+            probed[i] = closed[0]
+            closed = [closed[0]] * threshold
+        else:
+            probed[i] = opened
+            closed = [*closed[1:], opened]
+    most = min(n, int(np.searchsorted(at, at[0] + wait, side="right")) + 1) if n else 0
+    probes = [(int(at[i]), probed[i]) for i in range(most) if i + 1 == most or probed[i] != probed[i + 1]]
+    return closed, probes
+
+
+def breaker_after(state: tuple, closed: list, probes: list, recovery: int) -> tuple:
+    """The state after the calls that a table stands for."""
+    failures, opened = state
+    if opened is None:
+        return tuple(closed[failures])
+    return next((tuple(s) for at, s in probes if at > opened + recovery * 1_000_000), (failures, opened))
+
+
+def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, threshold: int = 3, recovery: int = 300, rows: int = ROWS) -> DataFrame:
+    """(name, order, allowed, state): a circuit breaker's answer to each call, and its state after it.
+
+    It opens after ``threshold`` failures in a row. Once more than ``recovery`` seconds have gone by, one call is let through: its
+    success closes the breaker, its failure opens it again. Calls that aren't let through change nothing. A null success is a failure, a null time
+    before all others; calls at one time go by ``order``.
+
+    Time is cut into ranges. Each range says for every state what state it leaves; these tables, a few rows for each name and range, are put
+    together along time; then each range is played through from the state it is entered in. A name with all calls takes as many tasks as there are ranges.
+    """
+    kept = calls.select(F.struct(name).alias("_key"), micros(calls, ts).alias("_at"), F.coalesce(F.col(ok), F.lit(False)).alias("_ok"), F.col(order).alias("_order"))
+    cut = ranged(kept, "_at", rows).withColumn("_at", F.coalesce("_at", F.lit(_BEFORE_ALL))).select("_range", F.to_json("_key").alias("_name"), "_at", "_order", "_ok", "_key")
+    dealt = cut.repartition("_name", "_range").sortWithinPartitions("_name", "_range", "_at", "_order")
+    empty = "closed array<" + _STATE + ">, probes array<struct<at:bigint,after:" + _STATE + ">>"
+    of_tables, of_states = (to_arrow_schema(StructType.fromDDL(d)) for d in (f"_name string, _range int, {empty}", "_name string, _range int, failures int, opened bigint"))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, part), run in _runs(batches, 2):
+            closed, probes = breaker_table(run.column(2).to_numpy(), run.column(3).to_pylist(), threshold, recovery)
+            state = lambda s: {"failures": s[0], "opened": s[1]}
+            told = {"_name": key, "_range": part, "closed": [state(s) for s in closed], "probes": [{"at": at, "after": state(s)} for at, s in probes]}
+            yield pa.RecordBatch.from_pylist([told], of_tables)
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, (0, None)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["_name"] != now:
+                    now, state = row["_name"], (0, None)
+                out.append({"_name": now, "_range": row["_range"], "failures": state[0], "opened": state[1]})
+                pair = lambda s: (s["failures"], s["opened"])
+                state = breaker_after(state, [pair(s) for s in row["closed"]], [(p["at"], pair(p["after"])) for p in row["probes"]], recovery)
+            yield pa.RecordBatch.from_pylist(out, of_states)
+
+    found = dealt.select("_name", "_range", "_at", "_ok").mapInArrow(tables, f"_name string, _range int, {empty}")
+    states = found.repartition("_name").sortWithinPartitions("_name", "_range").mapInArrow(entered, "_name string, _range int, failures int, opened bigint")
+    ready = dealt.join(states, ["_name", "_range"]).sortWithinPartitions("_name", "_range", "_at", "_order")
+    step = breaker_step(threshold, recovery)
+    schema = StructType([kept.schema["_key"], kept.schema["_order"], *StructType.fromDDL("allowed boolean, state string")])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            allowed, told = [], []
+            for name, part, at, good, failures, opened in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (name, part) != now:
+                    now, state = (name, part), (failures, opened)
+                state, (yes, word) = step(state, (at, good))
+                allowed.append(yes)
+                told.append(word)
+            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(7), pa.array(allowed, pa.bool_()), pa.array(told, pa.string())], schema.names)
+
+    out = ready.select("_name", "_range", "_at", "_ok", "failures", "opened", "_key", "_order").mapInArrow(answers, schema)
+    return out.select(F.col(f"_key.{name}").alias(name), F.col("_order").alias(order), "allowed", "state")
+
+
+QUOTAS = "minute_requests long, minute_tokens long, day_requests long, day_tokens long, exceeded boolean"
+_LIMITS = ("requests_per_minute", "tokens_per_minute", "requests_per_day", "tokens_per_day")
+_MINUTE, _DAY = 60_000_000, 86_400_000_000
+
+
+def quota_step(limits: dict[str, int]) -> Callable[[Any, tuple], tuple[Any, tuple]]:
+    """One call of a quota, (time, tokens): the next state and (counts of the minute and of the day, whether a limit is exceeded)."""
 
     def step(state, values):
         at, n = values
@@ -134,8 +246,54 @@ def quota_states(calls: DataFrame, name: str, ts: str, tokens: str, order: str,
         elif (at - minute_at).total_seconds() >= 60:
             minute_at, counts = at, (0, 0, *counts[2:])
         counts = tuple(c + x for c, x in zip(counts, (1, n or 0) * 2))
-        over = any(limits.get(k) and c > limits[k] for k, c in zip(names, counts))
-        return (minute_at, day_at, counts), (*counts, over)
+        return (minute_at, day_at, counts), (*counts, any(limits.get(k) and c > limits[k] for k, c in zip(_LIMITS, counts)))
 
-    out = "minute_requests long, minute_tokens long, day_requests long, day_tokens long, exceeded boolean"
-    return folded(calls, name, [ts, order], [ts, tokens], step, out).drop(ts)
+    return step
+
+
+def _window_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, when a minute or a day began, when its day began) of sorted (name, time): one step for each window, not for each row."""
+    now, minute, day = None, 0, 0
+    for batch in batches:
+        out: list[tuple] = []
+        names, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            at = times[a:b]
+            if names[a] != now:
+                now, minute, day = names[a], int(at[0]), int(at[0])
+                out.append((now, minute, day))
+            while (i := int(np.searchsorted(at, min(minute + _MINUTE, day + _DAY)))) < len(at):
+                minute = int(at[i])
+                day = minute if minute >= day + _DAY else day
+                out.append((now, minute, day))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.int64(), pa.int64()))], ["_name", "_minute", "_day"])
+
+
+def quota_states(calls: DataFrame, name: str, ts: str, tokens: str, order: str, limits: dict[str, int], rows: int = ROWS) -> DataFrame:
+    """(name, order, minute_requests, minute_tokens, day_requests, day_tokens, exceeded) after each call.
+
+    Counts of a minute and of a day begin anew with the first call at or after their deadline, which is a minute or a day
+    after they last began, not with the clock; the end of a day begins a minute, too. ``limits`` may have
+    requests_per_minute, tokens_per_minute, requests_per_day and tokens_per_day; a limit of 0 is none. Null tokens are none; calls without a time count
+    nothing and get nulls; calls at one time go by ``order``.
+
+    When windows begin can only be told from one to the next: that pass reads names and times, in order, and takes one step for each window. Calls find
+    their window by an as-of join and are counted by running totals, both of which split a name with all calls by time.
+    """
+    timed = calls.select(F.to_json(F.struct(name)).alias("_name"), F.col(name).alias("_key"), micros(calls, ts).alias("_at"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("_tokens"), F.col(order).alias("_order"))
+    known = timed.filter("_at IS NOT NULL").select("_name", "_at")
+    starts = known.repartition("_name").sortWithinPartitions("_name", "_at").mapInArrow(_window_starts, "_name string, _minute long, _day long")
+    placed = ranged(asof_join(timed, starts, ["_name"], "_at", "_minute", {"_minute": "_minute", "_day": "_day"}, rows), "_at", rows)
+    one = F.when(F.col("_at").isNotNull(), 1).cast("long")
+    counted = running_totals(placed, ["_name", "_day", "_minute"], ["_at", "_order"], {"minute_requests": one, "minute_tokens": F.col("_tokens") * one})
+    counted = running_totals(counted, ["_name", "_day"], ["_at", "_order"], {"day_requests": one, "day_tokens": F.col("_tokens") * one})
+    columns = [c.split()[0] for c in QUOTAS.split(", ")][:4]
+    over = F.lit(False)
+    for limit, column in zip(_LIMITS, columns):
+        if limits.get(limit):
+            over = over | (F.col(column) > limits[limit])
+    known_at = F.col("_at").isNotNull()
+    return counted.select(F.col("_key").alias(name), F.col("_order").alias(order), *[F.when(known_at, F.col(c)).alias(c) for c in columns], F.when(known_at, over).alias("exceeded"))
