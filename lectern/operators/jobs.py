@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .relational import latest
+from .temporal import micros, ranged, running_totals
 
 # Statuses, kinds of jobs that only analyse what a pipeline job extracted, and the errors that are told.
 STATUSES = (
@@ -95,16 +96,12 @@ def retries(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("retry", again).withColumn("wait", F.when(again, F.least(F.lit(float(FIRST_WAIT)) * F.pow(F.lit(2.0), F.col("attempt")), F.lit(float(LONGEST_WAIT))).cast("int")))
 
 
-def next_provider(calls: DataFrame) -> DataFrame:
-    """(call_id, answered_by, wait): calls (call_id, place, provider, healthy, failures) go to the first provider in order that
-    is healthy and answers, after a wait that doubles with every failed try of those before it."""
-    order = W.partitionBy("call_id").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    tries = F.when(F.col("healthy"), F.col("failures")).otherwise(0)
-    waited = F.lit(BACKOFF) * (F.pow(F.lit(2.0), tries) - 1)
-    rows = calls.withColumn("wait", F.sum(waited).over(order)).withColumn("_ok", F.col("healthy") & (F.col("failures") < RETRIES))
-    return rows.groupBy("call_id").agg(F.min_by(F.when(F.col("_ok"), F.struct("provider", "wait")), F.when(F.col("_ok"), F.col("place"))).alias("b"), F.max("wait").alias("all")).select(
-        "call_id", F.col("b.provider").alias("answered_by"), F.coalesce("b.wait", "all").alias("wait")
-    )
+def attempts(events: DataFrame, job: str, at: str, order: str, failed: str) -> DataFrame:
+    """``events`` with ``attempt``: how many failures in a row came before it since the job's last success, by time, ties by ``order``."""
+    cut = ranged(events.withColumn("_at", micros(events, at)), "_at")
+    in_runs = running_totals(cut, [job], ["_at", order], {"_run": F.when(F.col(failed), 0).otherwise(1).cast("long")})
+    counted = running_totals(in_runs, [job, "_run"], ["_at", order], {"_failures": F.when(F.col(failed), 1).otherwise(0).cast("long")})
+    return counted.withColumn("attempt", F.greatest(F.lit(0).cast("long"), F.col("_failures") - 1)).drop("_at", "_range", "_run", "_failures")
 
 
 def last_errors(errors: DataFrame, n: int = TOLD_ERRORS) -> DataFrame:

@@ -131,21 +131,6 @@ def job_transitions(spark, sf_dir):
     return J.moved(jobs, changes, F.to_timestamp(F.lit("2024-02-02 00:00:00"))).select("id", "status", "progress_percent", "finished_at")
 
 
-@query("""SELECT o_orderkey AS job_id, o_orderkey % 6 AS attempt, o_custkey % 2 = 0 AND o_orderkey % 6 < 3 AS retry, CAST(CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 6 < 3 THEN least(10 * pow(2, o_orderkey % 6), 120) END AS INTEGER) AS wait FROM orders""")
-def job_retries(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 6).alias("attempt"), (F.col("o_custkey") % 2 == 0).alias("failed"))
-    return J.retries(o).select("job_id", "attempt", "retry", "wait")
-
-
-@query("""WITH c AS (SELECT l_orderkey AS call_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, 'p' || l_suppkey % 4 AS provider, l_partkey % 3 > 0 AS healthy, l_suppkey % 5 AS failures FROM lineitem),
-w AS (SELECT *, sum(0.5 * (pow(2, CASE WHEN healthy THEN failures ELSE 0 END) - 1)) OVER (PARTITION BY call_id ORDER BY place) AS wait FROM c)
-SELECT call_id, arg_min(provider, place) FILTER (healthy AND failures < 3) AS answered_by, CAST(coalesce(arg_min(wait, place) FILTER (healthy AND failures < 3), max(wait)) AS DOUBLE) AS wait FROM w GROUP BY 1""")
-def provider_fallback(spark, sf_dir):
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    calls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call_id"), F.row_number().over(order).alias("place"), F.concat(F.lit("p"), (F.col("l_suppkey") % 4).cast("string")).alias("provider"), (F.col("l_partkey") % 3 > 0).alias("healthy"), (F.col("l_suppkey") % 5).alias("failures"))
-    return J.next_provider(calls)
-
-
 @query(f"""{_with('uploads', 'jobs')}, now AS (SELECT upload_id, arg_max(id, (created_at, id)) AS job_id, arg_max(status, (created_at, id)) AS status FROM jobs GROUP BY 1)
 SELECT u.id AS upload_id, filename, job_id, status FROM (SELECT * FROM uploads ORDER BY created_at DESC, id DESC LIMIT 40 OFFSET 20) u LEFT JOIN now ON u.id = now.upload_id""")
 def upload_list(spark, sf_dir):
@@ -571,7 +556,7 @@ SELECT l.event_type, l.i, l.event_id, CASE WHEN f.opened IS NOT NULL AND l.t - f
 SELECT event_type, event_id, allowed, CASE WHEN opened IS NULL THEN 'closed' ELSE 'open' END AS state FROM fold""")
 def circuit_breaker_fold(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_type", "ts", (F.col("value") > 30).alias("ok"), "event_id")
-    return L.breaker_states(events, "event_type", "ts", "ok", "event_id")
+    return L.breaker_states(events, "event_type", "ts", "ok", "event_id").drop("at")
 
 
 @query(f"""WITH RECURSIVE {_LINED}, fold AS (SELECT event_type, i, event_id, t AS minute_at, t AS day_at, CAST(1 AS BIGINT) AS mr, coalesce(tokens, 0) AS mt, CAST(1 AS BIGINT) AS dr, coalesce(tokens, 0) AS dt FROM lined WHERE i = 1 UNION ALL

@@ -174,7 +174,7 @@ def breaker_after(state: tuple, closed: list, probes: list, recovery: int) -> tu
 
 
 def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, threshold: int = 3, recovery: int = 300, rows: int = ROWS) -> DataFrame:
-    """(name, order, allowed, state): a circuit breaker's answer to each call, and its state after it.
+    """(name, order, allowed, state, at): a circuit breaker's answer to each call, and its state after it.
 
     It opens after ``threshold`` failures in a row. Once more than ``recovery`` seconds have gone by, one call is let through: its
     success closes the breaker, its failure opens it again. Calls that aren't let through change nothing. A null success is a failure, a null time
@@ -182,6 +182,7 @@ def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, th
 
     Time is cut into ranges. Each range says for every state what state it leaves; these tables, a few rows for each name and range, are put
     together along time; then each range is played through from the state it is entered in. A name with all calls takes as many tasks as there are ranges.
+    ``at`` is the time of the call in microseconds.
     """
     kept = calls.select(F.struct(name).alias("_key"), micros(calls, ts).alias("_at"), F.coalesce(F.col(ok), F.lit(False)).alias("_ok"), F.col(order).alias("_order"))
     cut = ranged(kept, "_at", rows).withColumn("_at", F.coalesce("_at", F.lit(_BEFORE_ALL))).select("_range", F.to_json("_key").alias("_name"), "_at", "_order", "_ok", "_key")
@@ -212,7 +213,7 @@ def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, th
     states = found.repartition("_name").sortWithinPartitions("_name", "_range").mapInArrow(entered, "_name string, _range int, failures int, opened bigint")
     ready = dealt.join(states, ["_name", "_range"]).sortWithinPartitions("_name", "_range", "_at", "_order")
     step = breaker_step(threshold, recovery)
-    schema = StructType([kept.schema["_key"], kept.schema["_order"], *StructType.fromDDL("allowed boolean, state string")])
+    schema = StructType([kept.schema["_key"], kept.schema["_order"], *StructType.fromDDL("allowed boolean, state string, at bigint")])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
@@ -224,10 +225,23 @@ def breaker_states(calls: DataFrame, name: str, ts: str, ok: str, order: str, th
                 state, (yes, word) = step(state, (at, good))
                 allowed.append(yes)
                 told.append(word)
-            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(7), pa.array(allowed, pa.bool_()), pa.array(told, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(7), pa.array(allowed, pa.bool_()), pa.array(told, pa.string()), batch.column(2)], schema.names)
 
     out = ready.select("_name", "_range", "_at", "_ok", "failures", "opened", "_key", "_order").mapInArrow(answers, schema)
-    return out.select(F.col(f"_key.{name}").alias(name), F.col("_order").alias(order), "allowed", "state")
+    return out.select(F.col(f"_key.{name}").alias(name), F.col("_order").alias(order), "allowed", "state", "at")
+
+
+def first_free(asked: DataFrame, id: str, ts: str, calls: DataFrame, name: str, ok: str, order: str, chain: list[str], threshold: int = 3, recovery: int = 300) -> DataFrame:
+    """(id, name) of every row asked: the first of a chain of names whose breaker lets a call through at that time; null if none does.
+
+    Breakers are played from ``calls`` (``name``, ``ts``, ``ok``, ``order``). A call at the very time counts; a name without calls is free.
+    """
+    # Calls that weren't let through change nothing, so that an open breaker opened at the last one that was.
+    turns = breaker_states(calls, name, ts, ok, order, threshold, recovery).filter("allowed").select(F.col(name).alias("_name"), F.col("at").alias("_turn"), F.col(order).alias("_order"), "state")
+    each = asked.select(F.col(id).alias("_id"), micros(asked, ts).alias("_asked"), F.posexplode(F.array(*map(F.lit, chain))).alias("_place", "_name"))
+    known = asof_join(each, turns, ["_name"], "_asked", "_turn", {"_order": "_order", "_state": "state", "_since": "_turn"})
+    free = F.coalesce(F.col("_state") != "open", F.lit(True)) | (F.col("_asked") - F.col("_since") > recovery * 1_000_000)
+    return known.groupBy("_id").agg(F.min_by("_name", F.when(free, F.col("_place"))).alias(name)).withColumnRenamed("_id", id)
 
 
 QUOTAS = "minute_requests long, minute_tokens long, day_requests long, day_tokens long, exceeded boolean"
