@@ -12,6 +12,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,41 +48,96 @@ _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _PIECES = re.compile(r"[a-z]{2,}")
 
 
+class Path:
+    """The names on the way to a block: those of one element and, linked, those around it.
+
+    What is asked of a path is kept with each element, so that a page of any depth costs no more than its elements.
+    """
+
+    __slots__ = ("parent", "names", "length", "hashes")
+
+    def __init__(self, parent: Path | None = None, names: tuple[str, ...] = ()):
+        self.parent, self.names = parent, names
+        self.length = len(names) + (parent.length if parent else 0)
+        above = parent.hashes if parent else frozenset()
+        own = {_hashed(n) for n in names}
+        self.hashes = above if own <= above else above | own
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __iter__(self) -> Iterator[str]:
+        held, at = [], self
+        while at is not None:
+            held.append(at.names)
+            at = at.parent
+        return (n for names in reversed(held) for n in names)
+
+
+def _hashed(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % PATHS
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: float
 
 
-def _hidden_to(page: str, name: str, at: int) -> int:
-    """Where the content of a hidden element that begins at ``at`` ends, its end tag included.
-
-    One without an end tag hides what is left of the page; an object hides nothing then, and a drawing or formula ends
-    where HTML goes on.
-    """
-    depth = 1
-    for m in _ENDS[name].finditer(page, at):
-        if m[1]:
-            depth -= 1
-        elif not (name in FOREIGN and m[0].endswith("/>")):
-            depth += 1
-        if not depth:
-            return m.end()
-    if name == "object":
-        return at
-    on = _OF_HTML.search(page, at) if name in FOREIGN else None
-    return on.start() if on else len(page)
+class _Hidden:
+    """Where the contents of a page's hidden elements end. Tags of a kind are looked up once for a page."""
+
+    def __init__(self, page: str):
+        self.page, self.tags = page, {}
+
+    def _closed(self, name: str, at: int) -> int | None:
+        """The end of the end tag that closes an element that begins before ``at``: the first behind which one more has been closed than begun."""
+        if name not in self.tags:
+            starts, ends, depths, first = [], [], [], {}
+            depth = 0
+            for m in _ENDS[name].finditer(self.page):
+                depth += -1 if m[1] else 0 if name in FOREIGN and m[0].endswith("/>") else 1
+                first.setdefault(depth, []).append(len(starts))
+                starts.append(m.start())
+                ends.append(m.end())
+                depths.append(depth)
+            self.tags[name] = starts, ends, depths, first
+        starts, ends, depths, first = self.tags[name]
+        i = bisect_left(starts, at)
+        found = first.get((depths[i - 1] if i else 0) - 1, [])
+        k = bisect_left(found, i)
+        return ends[found[k]] if k < len(found) else None
+
+    def end(self, name: str, at: int) -> int:
+        """Where the content of a hidden element that begins at ``at`` ends, its end tag included.
+
+        One without an end tag hides what is left of the page; an object hides nothing then, and a drawing or formula ends
+        where HTML goes on.
+        """
+        closed = self._closed(name, at)
+        if closed is not None:
+            return closed
+        if name == "object":
+            return at
+        on = _OF_HTML.search(self.page, at) if name in FOREIGN else None
+        return on.start() if on else len(self.page)
+
+
+#: Elements beyond which the start of an item closes no earlier one.
+_AROUND_ITEMS = ("ul", "ol", "table", "div", "section", "article", "blockquote")
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks of text of a page in order: character references decoded, white space as one space, none empty."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root, hidden = Path(), _Hidden(page)
+    stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = {}  # of each tag, where it stands on the stack
     buffer: list[str] = []
     links = [0, 0]  # depth of anchors, characters inside them
-    path: tuple[str, ...] = ()
+    path = root
 
     def flush() -> None:
         nonlocal path
@@ -96,17 +152,18 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal path
         if text:
             if not buffer:
-                path = tuple(n for _, names in stack for n in names)
+                path = stack[-1][1] if stack else root
             buffer.append(text)
             if links[0]:
                 links[1] += len(text)
 
     def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                links[0] -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
+        if places.get(tag):
+            upto = places[tag][-1]
+            while len(stack) > upto:
+                gone, _ = stack.pop()
+                places[gone].pop()
+                links[0] -= gone == "a"
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -115,7 +172,7 @@ def blocks(page: str | None) -> list[Block]:
         name = (m[2] or m[4] or "").lower()
         if name in HIDDEN_TAGS and not m[1]:
             if not (name in FOREIGN and page.endswith("/>", m.start(), at)):
-                at = _hidden_to(page, name, at)
+                at = hidden.end(name, at)
             continue
         if m[2] is None:
             continue
@@ -125,15 +182,14 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             close(tag)
         elif tag not in VOID:
-            if tag in CLOSES_ITSELF:
-                near = [t for t, _ in stack]
-                if tag in near and not {"ul", "ol", "table", "div", "section", "article", "blockquote"} & set(near[len(near) - near[::-1].index(tag) :]):
-                    close(tag)
+            if tag in CLOSES_ITSELF and places.get(tag) and not any(places.get(t) and places[t][-1] > places[tag][-1] for t in _AROUND_ITEMS):
+                close(tag)
             names = (tag,)
             if m[3]:
                 for n in _NAMES.finditer(m[3]):
                     names += tuple("." + p for p in _PIECES.findall((n[1] or n[2] or n[3] or "").lower()))
-            stack.append((tag, names))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, Path(stack[-1][1] if stack else root, names)))
             links[0] += tag == "a"
     say(page[at:])
     flush()
@@ -149,12 +205,12 @@ def described(page: list[Block], cache: dict) -> tuple[list[np.ndarray], np.ndar
     """For each block the hashed names on its path, the shares of its hashed words, and rates."""
     paths, words, rates = [], np.zeros((len(page), WORDS), np.float32), np.zeros((len(page), 7), np.float32)
     for i, b in enumerate(page):
-        if b.path not in cache:
+        key = (b.path.hashes, b.path.names[-1:])
+        if key not in cache:
             if len(cache) > 50_000:
                 cache.clear()
-            last = b.path[-1:]
-            cache[b.path] = np.array(sorted({zlib.crc32(n.encode("utf-8", "surrogatepass")) % PATHS for n in (*b.path, *("/" + x for x in last))}) or [0])
-        paths.append(cache[b.path])
+            cache[key] = np.array(sorted(key[0] | {_hashed("/" + n) for n in key[1]}) or [0])
+        paths.append(cache[key])
         own = b.text.encode("utf-8", "surrogatepass").split()
         if own:
             words[i] = np.bincount([zlib.crc32(w) % WORDS for w in own], minlength=WORDS) / len(own)
@@ -343,7 +399,7 @@ def weak_labels(page: list[Block]) -> np.ndarray | None:
     out = []
     for b in page:
         first = next((i for i, n in enumerate(b.path) if n in ("article", "main")), None)
-        out.append(float(first is not None and not names & set(b.path[first:])))
+        out.append(float(first is not None and not names & set(list(b.path)[first:])))
     return np.array(out, np.float32)
 
 
