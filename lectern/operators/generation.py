@@ -7,6 +7,7 @@ an expression over some seven structs and no chunk is moved again.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -388,7 +389,10 @@ def reply_faults(reply: Column, evidence_ids: Column, language: Column) -> Colum
     text and a chunk's id.
     """
     bare = F.regexp_replace(F.trim(reply), "(?s)^```[^\n]*\n?|\n?\\s*```$", "")
-    v = F.try_parse_json(bare)
+    # What follows a value is passed over by the parser, so a reply is whole only if it is the one item of a list and the one value of an object.
+    within = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))), "$", "array<variant>")
+    whole = (F.size(within) == 1) & F.try_parse_json(F.concat(F.lit('{"x":'), bare, F.lit("}"))).isNotNull()
+    v = F.when(whole, F.try_parse_json(bare))
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     got = lambda path: F.try_variant_get(v, path, "string")
     absent = lambda path: F.coalesce(kind(path), F.lit("VOID")) == "VOID"
@@ -434,3 +438,71 @@ def cached_turns(entries: DataFrame) -> DataFrame:
     read = entries.withColumn("_v", F.from_json("value", _CACHED, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     good = F.col("_v._bad").isNull() & F.col("_v.retrieval.query").isNotNull() & F.col("_v.answer.html").isNotNull()
     return read.filter(good).select("key", "_v.retrieval", "_v.answer")
+
+
+def checked_replies(evidence: DataFrame, replies: DataFrame, attempts: int = 2) -> DataFrame:
+    """``evidence`` with ``branch`` (see ``policy``), ``reply``, ``attempt`` and ``fault``: which of a model's replies decides.
+
+    ``replies`` has (q_id, attempt from 1, reply); a null reply is a model that couldn't be reached. The first attempt that is unreachable or
+    without a fault decides, later ones and those beyond ``attempts`` don't count; else the last fault is told. Without attempts there is no model.
+    """
+    ids = evidence.select("q_id", "language", F.transform(F.slice("chunks", 1, MOST_CHUNKS), lambda c: c["chunk_id"]).alias("_ids"))
+    judged = replies.filter(F.col("attempt") <= attempts).join(ids, "q_id").withColumn("fault", F.when(F.col("reply").isNotNull(), reply_faults(F.col("reply"), F.col("_ids"), F.col("language"))))
+    decides = F.col("reply").isNull() | F.col("fault").isNull()
+    told = F.struct("reply", "attempt", "fault")
+    one = judged.groupBy("q_id").agg(F.min_by(told, F.when(decides, F.col("attempt"))).alias("_first"), F.max_by(told, "attempt").alias("_last"))
+    final = one.select("q_id", F.coalesce("_first", "_last").alias("_r")).select("q_id", "_r.reply", "_r.attempt", "_r.fault")
+    met = evidence.join(final, "q_id", "left")
+    enough = F.coalesce("evidence_sufficient", F.lit(False)) & (F.size("chunks") > 0)
+    return met.withColumn("branch", policy(enough, F.col("reply"), F.col("fault")))
+
+
+def assembled(checked: DataFrame, clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Answers (``ANSWER``) of replies without a fault: their text, made inert by ``clean`` if it is given, quotes, caveats and topics; what is said of a source comes from
+    the evidence, and confidence from its scores, never from the reply."""
+    v = F.try_parse_json(F.regexp_replace(F.trim("reply"), "(?s)^```[^\n]*\n?|\n?\\s*```$", ""))
+    rows = checked.withColumn("_v", v)
+    got = lambda path, kind: F.try_variant_get("_v", path, kind)
+    texts = lambda path: F.coalesce(got(path, "array<string>"), F.array().cast("array<string>"))
+    html = got("$.explanation.html", "string")
+    quote = lambda q: F.struct(*[F.try_variant_get(q, f"$.{k}", "string").alias(k) for k in ("text", "translation", "region")])
+    quotes = F.transform(F.coalesce(got("$.arabic_quotes", "array<variant>"), F.array().cast("array<variant>")), quote)
+    named = F.transform(reply_citations(F.col("reply")), lambda c: c["chunk_id"])
+    known = F.flatten(F.transform(named, lambda i: F.slice(F.filter("chunks", lambda c: c["chunk_id"] == i), 1, 1)))
+    return rows.select(
+        "q_id", F.lit("assembled").alias("branch"), F.col("language").alias("answer_language"), F.lit(None).cast("string").alias("fact_type"), (clean(html) if clean else html).alias("html"),
+        quotes.alias("quotes"), cited(known).alias("citations"), confidence_of(F.slice("chunks", 1, MOST_CHUNKS), F.col("translated")).alias("confidence"),
+        got("$.refusal.reason", "string").alias("refusal_reason"), texts("$.refusal.closest_evidence").alias("closest"), texts("$.caveats").alias("caveats"), texts("$.related").alias("related"),
+    )
+
+
+def answers_with_replies(checked: DataFrame, clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Answers of all four branches of ``checked_replies``: refused, synthesised, assembled, and refused because no reply was sound."""
+    of = lambda branch: checked.filter(F.col("branch") == branch)
+    parts = [refused(of("refuse"), F.lit("insufficient_evidence")), synthesised(of("synthesise")), assembled(of("assemble"), clean), refused(of("give_up"), F.lit("generation_unavailable"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def held_replies(deltas: DataFrame, gap: str = "30 seconds", delay: str | None = None) -> DataFrame:
+    """(q_id, attempt, parts, complete) of deltas (q_id, attempt, seq, ts, kind, text), of a table or a stream: nothing is let through before a reply is whole.
+
+    A reply is whole once its ``end`` came; one that falls silent for ``gap`` was broken off. Repeated rows of one ``seq`` count once. A stream
+    says so when its watermark, ``delay`` behind, has passed.
+    """
+    rows = deltas.withWatermark("ts", delay) if delay else deltas
+    said = F.sort_array(F.collect_set(F.when(F.col("kind") == "delta", F.struct("seq", "text"))))
+    held = rows.groupBy(F.session_window("ts", gap), "q_id", "attempt").agg(said.alias("_said"), F.bool_or(F.col("kind") == "end").alias("complete"))
+    return held.select("q_id", "attempt", F.transform("_said", lambda d: d["text"]).alias("parts"), "complete")
+
+
+def released(held: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(q_id, attempt, seq, event, text, cacheable): the deltas of replies that are whole and without a fault, each reply's ``done`` last; for any other reply one
+    ``error`` that names its fault. Only what is whole and sound may be kept in a cache."""
+    ids = evidence.select("q_id", "language", F.transform(F.slice("chunks", 1, MOST_CHUNKS), lambda c: c["chunk_id"]).alias("_ids"))
+    fault = F.when(~F.col("complete"), "broken off").otherwise(reply_faults(F.array_join("parts", ""), F.col("_ids"), F.col("language")))
+    judged = held.join(ids, "q_id").withColumn("_fault", fault)
+    event = lambda name, text: F.struct(F.lit(name).alias("event"), text.alias("text"))
+    good = F.concat(F.transform("parts", lambda t: event("delta", t)), F.array(event("done", F.lit(None).cast("string"))))
+    bad = F.array(event("error", F.col("_fault")))
+    out = judged.select("q_id", "attempt", F.posexplode(F.when(F.col("_fault").isNull(), good).otherwise(bad)).alias("seq", "_e"), F.col("_fault").isNull().alias("cacheable"))
+    return out.select("q_id", "attempt", "seq", "_e.event", "_e.text", "cacheable")

@@ -15,7 +15,7 @@ from ..sources.tables import exists
 
 #: Changes as they come: chunks (with their normalised text) and points, added (1) or taken away (-1).
 CHANGES = "kind string, id string, text string, n long"
-LOG = "space string, key string, chunks long, points long"
+LOG = "space string, key string, chunks long, points long, label string"
 KINDS = ("chunk", "point", "orphan", "unindexed", "duplicate")
 
 
@@ -48,19 +48,20 @@ def merge(spark: SparkSession, changes: DataFrame, out: str, part: str) -> None:
     if exists(spark, f"{out}/log"):
         # Keys of the batch meet the log; Spark broadcasts them where they are few.
         earlier = spark.read.schema(LOG + ", batch string").parquet(f"{out}/log").filter(F.col("batch") != part)
-        before = earlier.join(told.select("space", "key"), ["space", "key"], "left_semi").groupBy("space", "key").agg(F.sum("chunks").alias("chunks"), F.sum("points").alias("points"))
+        before = earlier.join(told.select("space", "key"), ["space", "key"], "left_semi").groupBy("space", "key").agg(F.sum("chunks").alias("chunks"), F.sum("points").alias("points"), F.max("label").alias("known"))
         told = told.join(before, ["space", "key"], "left")
     else:
-        told = told.withColumns({"chunks": F.lit(None).cast("long"), "points": F.lit(None).cast("long")})
+        told = told.withColumns({"chunks": F.lit(None).cast("long"), "points": F.lit(None).cast("long"), "known": F.lit(None).cast("string")})
     old = {c: F.coalesce(c, F.lit(0)) for c in ("chunks", "points")}
     was, now = counted(old["chunks"], old["points"]), counted(old["chunks"] + F.col("d_chunks"), old["points"] + F.col("d_points"))
     changed = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), (now[k] - was[k]).alias("n")) for k in KINDS]), lambda c: c["n"] != 0)
-    each = told.select("key", "label", F.explode(changed).alias("c")).select(F.col("c.kind").alias("kind"), F.when(F.col("c.kind") == "orphan", F.col("key")).otherwise(F.col("label")).alias("label"), "key", F.col("c.n").alias("n"))
+    each = told.select("key", "label", "known", F.explode(changed).alias("c")).select(F.col("c.kind").alias("kind"), F.when(F.col("c.kind") == "orphan", F.col("key")).otherwise(F.coalesce("label", "known")).alias("label"), "key", F.col("c.n").alias("n"))
     # Single faults are kept with their names, what is sound only as counts.
     sums = each.groupBy("kind").agg(F.sum("n").alias("n"))
     each.filter("kind IN ('orphan', 'unindexed', 'duplicate')").write.mode("overwrite").parquet(f"{out}/faults/batch={part}")
     sums.write.mode("overwrite").parquet(f"{out}/totals/batch={part}")
-    delta.drop("label").write.mode("overwrite").parquet(f"{out}/log/batch={part}")
+    # Chunks go by their names in the log, texts only by their digests.
+    delta.withColumn("label", F.when(F.col("space") == "id", F.col("label"))).select("space", "key", "chunks", "points", "label").write.mode("overwrite").parquet(f"{out}/log/batch={part}")
 
 
 def health_stream(spark: SparkSession, changes: str, out: str, checkpoint: str, run: str = "run", files_a_batch: int = 1) -> StreamingQuery:
