@@ -106,18 +106,18 @@ def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, tupl
     all values of a key.
     """
     known = df.filter(F.col(value).isNotNull())
-    asked = [(name, f) for name, (q, _) in places.items() for f in (max(0.0, q - NEAR), min(1.0, q + NEAR))]
-    bounds = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(value, [f for _, f in asked], ACCURACY).alias("_b"))
-    parts = bounds.select(*keys, "n")
-    for i, (name, (_, place)) in enumerate(places.items()):
-        near = bounds.select(*keys, "n", F.col("_b")[2 * i].alias("_lo"), F.col("_b")[2 * i + 1].alias("_hi"), place.cast("long").alias("_place"))
-        met = known.join(near, keys)
-        below = met.groupBy(*keys).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
-        few = met.filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, value, "_place").agg(F.count("*").alias("_k")).join(below, keys)
-        upto = F.col("_below") + F.sum("_k").over(W.partitionBy(*keys).orderBy(value))
-        found = few.withColumn("_upto", upto).filter((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_k") <= F.col("_place")))
-        parts = parts.join(found.select(*keys, F.col(value).alias(name)), keys)
-    return parts
+    names = list(places)
+    asked = [f for q, _ in places.values() for f in (max(0.0, q - NEAR), min(1.0, q + NEAR))]
+    bounds = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(value, asked, ACCURACY).alias("_b"))
+    # For each place the values between its bounds, and one null that counts the values below them: a row of counts for each task.
+    near = [F.struct(F.lit(i).alias("i"), F.col("_b")[2 * i].alias("low"), F.col("_b")[2 * i + 1].alias("high"), place.cast("long").alias("place")) for i, (_, place) in enumerate(places.values())]
+    at = bounds.select(*keys, "n", F.array(*near).alias("_near"))
+    own = F.col(value)
+    met = known.select(*keys, own).join(at, keys).select(*keys, "n", own, F.explode(F.filter("_near", lambda b: own <= b["high"])).alias("_at"))
+    few = met.groupBy(*keys, "n", F.col("_at.i").alias("_i"), F.col("_at.place").alias("_place"), F.when(own >= F.col("_at.low"), own).alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(W.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first()))
+    found = few.withColumn("_upto", upto).filter((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_k") <= F.col("_place")))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
 
 
 def latency(df: DataFrame, key: str, value: str) -> DataFrame:

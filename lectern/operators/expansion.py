@@ -89,7 +89,3 @@ def multi_candidate_search(queries: DataFrame, strings: DataFrame, docs: DataFra
 def passthrough(text: Column) -> Column:
     """A translation that changes nothing: (text, translated, confidence)."""
     return F.struct(text.alias("text"), F.lit(False).alias("translated"), F.lit(1.0).alias("confidence"))
-
-
-def word_overlap(a: Column, b: Column) -> Column:
-    return V.jaccard(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid5_url
@@ -81,6 +82,20 @@ def indexing_progress(totals: DataFrame, batch: int = BATCH) -> DataFrame:
     return at.select("job_id", "points", F.least(F.lit(99), F.floor(F.col("points") / F.col("n") * 100)).cast("int").alias("percent"))
 
 
+def in_writes(points: DataFrame, batch: int = BATCH) -> DataFrame:
+    """Points (job_id, point_id) with ``write``: which write of its job a point goes with, ``batch`` to each, by id."""
+    order = W.partitionBy("job_id").orderBy("point_id")
+    return points.withColumn("write", F.floor((F.row_number().over(order) - 1) / batch))
+
+
+def written_progress(written: DataFrame) -> DataFrame:
+    """(job_id, points, percent) after each write of points (job_id, write) that was made; only the end of a job is 100."""
+    each = written.groupBy("job_id", "write").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(W.partitionBy("job_id").orderBy("write"))
+    whole = F.sum("_k").over(W.partitionBy("job_id"))
+    return each.select("job_id", upto.alias("points"), F.least(F.lit(99), F.floor(upto / whole * 100)).cast("int").alias("percent"))
+
+
 def health_report(chunks: DataFrame, points: DataFrame, faults: DataFrame, repeats: DataFrame, most: int = 100) -> DataFrame:
     """One row of counts and samples: ``faults`` (kind, id) of the index's health and ``repeats`` (text, n). A sample holds
     the first ``most`` in order, which are found before any list is made."""

@@ -54,7 +54,10 @@ def replace_for_key(old: DataFrame, new: DataFrame, key: str, value) -> DataFram
 
 
 def repeated_texts(df: DataFrame, text: Column) -> DataFrame:
-    return df.filter(text.isNotNull()).groupBy(text.alias("text")).agg(F.count("*").alias("n")).filter("n > 1")
+    """(text, n) of texts that are there more than once. Digests are counted; only repeated texts themselves are moved, one for each task."""
+    told = df.select(text.alias("text")).filter("text IS NOT NULL").withColumn("_digest", F.sha2("text", 256))
+    repeated = told.groupBy("_digest").agg(F.count("*").alias("n")).filter("n > 1")
+    return told.join(repeated, "_digest", "left_semi").groupBy("_digest").agg(F.any_value("text").alias("text")).join(repeated, "_digest").select("text", "n")
 
 
 def index_health(chunks: DataFrame, points: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DENSE_SIZE, normalise_arabic, sparse_bucket, tokens
 from ..sources.tables import stored
+from ..sources.vectors import best, met, unit, usable
 
 RRF_K, POOL, TOP, FLOOR = 60, 40, 8, 0.05
 
@@ -50,6 +51,12 @@ def dense_top(queries: DataFrame, docs: DataFrame, k: int = POOL, id: str = "doc
     return top(dots.select("q_id", id, F.round(F.col("dot") / F.col("lengths"), 9).alias("score")), k, id)
 
 
+def dense_index_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The dense postings of documents with the vectors' lengths, written once; what a document's tokens add up to never leaves its partition twice."""
+    dense = dense_postings(postings(docs, id, text).repartition(id), id)
+    return stored(dense.join(norms(dense, id), id), "dense")
+
+
 def index_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The postings of documents and their dense ones with the vectors' lengths, written once: the index of a search.
 
@@ -71,17 +78,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 10, blocks: int = 32) -> DataFrame:
-    """(q_id, vec_id, score, rank): exact cosine search of queries (q_id, q) in (vec_id, v).
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 10, rows: int = 50_000) -> DataFrame:
+    """(q_id, vec_id, score, rank): exact cosine search of queries (q_id, q) in (vec_id, v); scores are rounded to six places.
 
-    The vectors are cut into blocks and every block meets the whole query set; each block's own best are found before
-    the rows of a query come together.
+    Each vector is scaled to length one once. Vectors are dealt to blocks of about ``rows``, and every block meets the query set, block by block, as products of
+    matrices; a block's own best are found before the rows of a query come together. Vectors without a direction take no part.
     """
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = vectors.withColumn("_block", block).join(asked, "_block").select("_block", "q_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    near = scored.withColumn("_n", F.row_number().over(W.partitionBy("_block", "q_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") <= k)
-    return top(near.select("q_id", "vec_id", "score"), k, "vec_id")
+    known = vectors.filter(usable(F.col("v"))).select(F.col("vec_id").alias("id"), unit(F.col("v")).alias("v"))
+    blocks = max(8, -(-vectors.count() // rows))
+    asked = queries.filter(usable(F.col("q"))).select("q_id", unit(F.col("q")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cell"))
+    dealt = known.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition("cell")
+    return best(met(asked, dealt, k), k).withColumnRenamed("id", "vec_id")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, id: str, alpha: float = 0.5, k: int = RRF_K, limit: int | None = None) -> DataFrame:

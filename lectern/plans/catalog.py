@@ -87,7 +87,7 @@ def sparse_topk_dot(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS},{_DENSE} SELECT q_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM dense")
 def dense_topk_hashed(spark, sf_dir):
-    return V.dense_top(V.dense_postings(V.postings(questions(spark, sf_dir), "q_id", "text"), "q_id"), V.index_of(read(spark, sf_dir, "documents"))[1])
+    return V.dense_top(V.dense_postings(V.postings(questions(spark, sf_dir), "q_id", "text"), "q_id"), V.dense_index_of(read(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_POSTINGS},{_SPARSE},{_DENSE},{_FUSED} SELECT q_id, doc_id, score, dense_score, CAST(rank AS INTEGER) AS rank FROM fused")

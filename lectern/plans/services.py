@@ -305,9 +305,30 @@ def index_point_ids(spark, sf_dir):
     return I.point_ids(_points(spark, sf_dir))
 
 
-@query("""SELECT job_id, least(i * 100, n) AS points, CAST(least(99, floor(least(i * 100, n) / n * 100)) AS INTEGER) AS percent FROM (SELECT *, unnest(range(1, CAST(ceil(n / 100) AS BIGINT) + 1)) AS i FROM (SELECT l_suppkey AS job_id, count(*) AS n FROM lineitem GROUP BY 1))""")
+@query(f"""{_POINTS}, n AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY point_id) AS i, count(*) OVER (PARTITION BY job_id) AS n FROM (SELECT DISTINCT job_id, point_id FROM points))
+SELECT job_id, max(i) AS points, CAST(least(99, floor(max(i) / any_value(n) * 100)) AS INTEGER) AS percent FROM n GROUP BY job_id, (i - 1) // 2""")
 def indexing_progress(spark, sf_dir):
-    return I.indexing_progress(read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("job_id")).agg(F.count("*").alias("n")))
+    """How far each job was after every write of points, two at a time, by the table that was written."""
+    points = _points(spark, sf_dir).select("job_id", "point_id").distinct()
+    return I.written_progress(S.stored(I.in_writes(points, 2), "points"))
+
+
+@query("""SELECT user_id, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events WHERE value > 20""")
+def open_sessions(spark, sf_dir):
+    """Sessions of every user that weren't revoked: a small value stands for a revocation."""
+    sessions = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.when(F.col("value") <= 20, F.col("ts")).alias("revoked_at"))
+    return J.open_sessions(sessions).select("user_id", "id", F.col("place").cast("int").alias("place"))
+
+
+@query(f"""{_with('jobs')} SELECT id, CASE WHEN kind = 'layout' AND status = 'queued' THEN 'layout' ELSE status END AS status, CASE WHEN kind = 'layout' AND status = 'queued' THEN 'layout' ELSE current_step END AS current_step,
+CAST(CASE WHEN kind = 'layout' AND status = 'queued' THEN 0 ELSE progress_percent END AS INTEGER) AS progress_percent FROM jobs""")
+def stage_begun(spark, sf_dir):
+    """All queued layout jobs as the stage begins with them, beside all other jobs."""
+    jobs = frame(spark, sf_dir, "jobs")
+    mine = (F.col("kind") == "layout") & (F.col("status") == "queued")
+    begun = J.begun(jobs.filter(mine), "layout", F.to_timestamp(F.lit("2024-02-02 00:00:00")))
+    columns = ["id", "status", "current_step", "progress_percent"]
+    return begun.select(columns).unionByName(jobs.filter(~mine).select(columns))
 
 
 @query("""WITH c AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents), p AS (SELECT DISTINCT CAST(doc_id * 2 AS VARCHAR) AS id FROM labels), u AS (SELECT id FROM c WHERE id NOT IN (SELECT id FROM p)),
@@ -365,13 +386,19 @@ def passthrough_translation(spark, sf_dir):
     return frame(spark, sf_dir, "asked").select("q_id", X.passthrough(F.col("canonical")).alias("t")).select("q_id", "t.text", "t.translated", "t.confidence")
 
 
-@query("SELECT 'ثبوت' AS primary_term, 'وجوب' AS related_term, 'related' AS relation, CAST(1 AS DOUBLE) AS confidence WHERE false UNION ALL SELECT * FROM (VALUES " + _SEEDS.replace("0.9)", "CAST(0.9 AS DOUBLE))").replace("1.0)", "CAST(1 AS DOUBLE))").replace("0.8)", "CAST(0.8 AS DOUBLE))") + ") v(a, b, c, d) WHERE a <> 'طلاق'")
+_SEED_ROWS = _SEEDS.replace("0.9)", "CAST(0.9 AS DOUBLE))").replace("1.0)", "CAST(1 AS DOUBLE))").replace("0.8)", "CAST(0.8 AS DOUBLE))")
+
+
+@query(f"""{_with('asked')}, old AS (SELECT DISTINCT string_split(canonical, ' ')[1] AS primary_term, string_split(canonical, ' ')[2] AS related_term, 'related' AS relation, CAST(0.5 AS DOUBLE) AS confidence FROM asked),
+seeds AS (SELECT * FROM (VALUES {_SEED_ROWS}) v(primary_term, related_term, relation, confidence))
+SELECT * FROM (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.primary_term = o.primary_term AND s.related_term = o.related_term AND s.relation = o.relation) UNION ALL SELECT * FROM seeds) WHERE primary_term <> 'طلاق'""")
 def edges_seeded(spark, sf_dir):
-    """The seeds laid over themselves twice, and the edges of one term deleted."""
+    """The seeds laid twice over the edges between neighbouring terms of all questions, and the edges of one term deleted."""
+    words = F.split("canonical", " ")
+    old = frame(spark, sf_dir, "asked").select(words[0].alias("primary_term"), words[1].alias("related_term"), F.lit("related").alias("relation"), F.lit(0.5).alias("confidence")).distinct()
     seeds = spark.createDataFrame(X.SEEDS, S.SCHEMAS["term_relations"])
     keys = ["primary_term", "related_term", "relation"]
-    gone = seeds.filter("primary_term = 'طلاق'")
-    return R.upsert(R.upsert(S.empty_table(spark, "term_relations"), seeds, keys), seeds, keys).join(gone.select(*keys), keys, "left_anti").select(*seeds.columns)
+    return R.upsert(R.upsert(old, seeds, keys), seeds, keys).filter("primary_term <> 'طلاق'")
 
 
 # --- answers ------------------------------------------------------------------------------------------------------

@@ -97,7 +97,7 @@ def _blocks(rows: DataFrame, id: str, vector: str) -> DataFrame:
     return rows.select("cell", F.col(id).cast("long"), F.col(vector)).sortWithinPartitions("cell").mapInArrow(packed, schema)
 
 
-def _met(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def met(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(q_id, id, score): of each pair of blocks of a cell the ``k`` best of every question; ``asked`` has (cell, q_id, q)."""
     q = _blocks(asked.repartition("cell"), "q_id", "q").select("cell", F.col("ids").alias("q_ids"), F.col("block").alias("q_block"))
     pairs = q.join(_blocks(rows, "id", "v"), "cell").select("q_ids", "q_block", "ids", "block")
@@ -117,7 +117,7 @@ def _met(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(scored, "q_id bigint, id bigint, score double")
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
+def best(scored: DataFrame, k: int) -> DataFrame:
     rounded = scored.withColumn("score", F.round("score", 6))
     return rounded.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
@@ -154,7 +154,7 @@ def search_cells(queries: DataFrame, path: str, k: int = 10, where: dict | None
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], arrow.names)
 
     placed = stored(asked.mapInArrow(bounds, schema), "bounds")
-    first = stored(_best(_met(placed.select("q_id", "q", F.col("cells")[0].alias("cell")), rows, k), k), "nearest")
+    first = stored(best(met(placed.select("q_id", "q", F.col("cells")[0].alias("cell")), rows, k), k), "nearest")
     kth = first.filter(F.col("rank") == k).select("q_id", F.col("score").alias("_kth"))
     # The distance of the k-th row so far, a little more for its score's rounding.
     reach = F.when(F.col("_kth").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("_kth") - 1e-6))) + SLACK)
@@ -164,4 +164,4 @@ def search_cells(queries: DataFrame, path: str, k: int = 10, where: dict | None
     n = placed.count()
     told |= {"read": len(read), "meetings": n + more.count(), "of": n * len(known)}
     wanted = rows.filter(F.col("cell").isin([int(c) for c in read]))
-    return _best(_met(more, wanted, k).unionByName(first.drop("rank")), k), told
+    return best(met(more, wanted, k).unionByName(first.drop("rank")), k), told
