@@ -2,8 +2,8 @@
 
 A log has the rows (conv_id, seq, message, kind, role, text). ``message`` begins a message with its text, ``delta`` adds
 text, ``edit`` replaces the text, ``regenerate`` begins it anew, ``delete`` takes the message away. All of it is DataFrame
-functions. Events are folded message by message, so that a long conversation is folded by many tasks; only its finished
-turns meet, because the rendered conversation is one value.
+functions: a log is dealt out by conversation, events are folded message by message in their order, and the finished turns
+are put together, because the rendered conversation is one value.
 """
 
 from __future__ import annotations
@@ -155,8 +155,12 @@ def log_of_turns(turns: DataFrame, draft: int = 40, piece: int = 500) -> DataFra
 
 
 def format_chats(log: DataFrame, template: Template | None = None) -> DataFrame:
-    """``rendered`` of ``messages``: (conv_id, formatted, loss). An empty log gives no rows."""
-    return rendered(messages(log), template or Template())
+    """``rendered`` of ``messages``: (conv_id, formatted, loss). An empty log gives no rows.
+
+    The log is dealt out by conversation once, which is all that the fold, the offsets and the rendering need. Where one conversation holds most of a log,
+    ``rendered(messages(log))`` folds its messages in many tasks, for a second exchange of all texts.
+    """
+    return rendered(messages(log.repartition("conv_id")), template or Template())
 
 
 def digests(log: DataFrame, template: Template | None = None) -> DataFrame:
