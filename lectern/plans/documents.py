@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences_for_packing, token_count
 from ..operators import answers as A
 from ..operators import chunking as C
 from ..operators import layout as Y
@@ -135,6 +136,24 @@ def sentence_pack_chunks(spark, sf_dir):
     return C.chunks(_units(spark, sf_dir)).select("doc_id", "order_index", "chunk_id", "bab", "fasl", "page_start", "page_end", "token_count")
 
 
+@query("""WITH RECURSIVE cut AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[^.؟!؛]*[.؟!؛]+|[^.؟!؛]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+s AS (SELECT doc_id, i - 1 AS i, len(regexp_extract_all(t, '\\S+')) AS n FROM (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM cut)),
+b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS BIGINT) AS before FROM s),
+t AS (SELECT *, least(i - 1, min(i) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN 48 PRECEDING AND CURRENT ROW)) AS back FROM b),
+sums AS (SELECT doc_id, list(before ORDER BY i) AS at FROM b GROUP BY 1),
+fold AS (SELECT doc_id, i, i AS first, CAST(0 AS INTEGER) AS pack FROM t WHERE i = 0 UNION ALL
+SELECT t.doc_id, t.i, CASE WHEN t.before + t.n - at[f.first + 1] > 320 THEN greatest(f.first, t.back) ELSE f.first END, f.pack + CASE WHEN t.before + t.n - at[f.first + 1] > 320 THEN 1 ELSE 0 END
+FROM fold f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1 JOIN sums ON sums.doc_id = f.doc_id)
+SELECT f.doc_id, CAST(pack AS INTEGER) AS pack, CAST(min(first) AS INTEGER) AS first, CAST(max(f.i) AS INTEGER) AS last, CAST(max(t.before + t.n) - any_value(at[f.first + 1]) AS BIGINT) AS tokens
+FROM fold f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i JOIN sums ON sums.doc_id = f.doc_id GROUP BY 1, 2""")
+def packed_sentences(spark, sf_dir):
+    """Which sentences of every document make each pack of at most 320 tokens, with their overlap."""
+    cut = read(spark, sf_dir, "documents").select("doc_id", F.transform(sentences_for_packing(F.col("text")), token_count).alias("n"))
+    packs = cut.select("doc_id", "n", F.posexplode(C.packs(F.col("n"))).alias("pack", "p"))
+    own = F.slice("n", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1)
+    return packs.select("doc_id", "pack", "p.first", "p.last", F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
+
+
 @query("""SELECT doc_id, unit, CAST(sum(begins) OVER (PARTITION BY doc_id ORDER BY unit) AS BIGINT) AS segment FROM (SELECT doc_id, unit, CASE WHEN page <> lag(page) OVER w AND NOT (NOT regexp_matches(rtrim(lag(text) OVER w), '[.؟!؛]$')) THEN 1 ELSE CAST(unit = min(unit) OVER (PARTITION BY doc_id) AS INTEGER) END AS begins
   FROM (SELECT doc_id, i - 1 AS unit, text, (i - 1) // 4 AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE trim(text) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY unit))""")
 def chunk_segments(spark, sf_dir):

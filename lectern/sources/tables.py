@@ -34,6 +34,9 @@ SCHEMAS = {
     "upload_logs": "upload_id string, action string, details string, created_at timestamp",
     "eval_runs": "id string, label string, git_sha string, gold_set_version string, status string, total_items int, started_at timestamp, completed_at timestamp",
     "eval_results": "run_id string, gold_item_id string, language string, question string, category string, difficulty string, expect_refusal boolean, refusal_given boolean, latency_ms double, error string",
+    "users": "id string, email string, password_hash string, full_name string, is_active boolean, role_id string, created_at timestamp, updated_at timestamp",
+    "sessions": "id string, user_id string, refresh_token_hash string, expires_at timestamp, revoked_at timestamp, ip_address string, user_agent string, created_at timestamp, updated_at timestamp",
+    "pages": "id string, volume_id string, printed_page int, pdf_page int, arabic_char_count int, confidence double, page_number_uncertain boolean, status string",
     "cache": "key string, value string, expires_at timestamp",
 }
 
