@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, tidied
+from .common import discard, materialise, packed, tidied, unpacked
 
 #: Whole numbers up to this leave room for the square of a distance of ``WIDEST`` components in 63 bits.
 MOST, WIDEST = 1 << 26, 1 << 9
@@ -108,7 +108,7 @@ def _told(k: int, width: int, cluster: np.ndarray, x: np.ndarray, sign: int, int
 
 
 def _round(columns: int, width: int, scale: int, centroids: np.ndarray, drift: np.ndarray | None):
-    """Rows of one round: (columns, x, cluster, upper, lower, part); the last row of a partition has only ``part``.
+    """Rows of one round: (columns, x, cluster, upper, lower, part), with numbers of a row packed; the last row of a partition has only ``part``.
 
     ``part`` holds by how much counts and sums of each cluster changed, then how many distances were calculated.
     """
@@ -126,19 +126,19 @@ def _round(columns: int, width: int, scale: int, centroids: np.ndarray, drift: n
                 calculated += len(x) * k
             else:
                 kept = batch.columns[:columns]
-                x = batch.column(columns).flatten().to_numpy().reshape(-1, width).astype(np.int64)
+                x = unpacked(batch.column(columns), np.int32, width).astype(np.int64)
                 old, upper = batch.column(columns + 1).to_numpy(), batch.column(columns + 2).to_numpy()
-                lower = batch.column(columns + 3).flatten().to_numpy().reshape(-1, k)
+                lower = unpacked(batch.column(columns + 3), np.float32, k)
                 cluster, upper, lower, more = moved_bounds(x, old, upper, lower, centroids, drift)
                 calculated += more
                 to = cluster != old
                 _told(k, width, cluster[to], x[to], 1, change)
                 _told(k, width, old[to], x[to], -1, change)
             yield pa.RecordBatch.from_arrays(
-                [*kept, _lists(x, pa.int32()), pa.array(cluster, pa.int32()), pa.array(upper, pa.float32()), _lists(lower, pa.float32()), pa.nulls(len(x), pa.list_(pa.int64()))], names
+                [*kept, packed(x.astype(np.int32)), pa.array(cluster, pa.int32()), pa.array(upper, pa.float32()), packed(lower.astype(np.float32)), pa.nulls(len(x), pa.list_(pa.int64()))], names
             )
         if kinds is not None:
-            empty = [pa.nulls(1, t) for t in (*kinds, pa.list_(pa.int32()), pa.int32(), pa.float32(), pa.list_(pa.float32()))]
+            empty = [pa.nulls(1, t) for t in (*kinds, pa.binary(), pa.int32(), pa.float32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([[*change.ravel().tolist(), calculated]], pa.list_(pa.int64()))], names)
 
     names = [*(f"c{i}" for i in range(columns)), "x", "cluster", "upper", "lower", "part"]
@@ -166,7 +166,9 @@ def averages(counts: list[int], sums: list[list[int]], centroids: np.ndarray) ->
 
 
 def cluster(vectors: DataFrame, columns: list[str], vector: str = "embedding", id: str = "vec_id", k: int = 8, rounds: int = 10, width: int = 64, scale: int = 1024, seed: int = 3):
-    """(rows, centroids, calculated): ``columns``, ``x`` and ``cluster`` of every usable vector; centroids; distances calculated in each round.
+    """(rows, centroids, calculated): ``columns``, ``cluster`` and ``distance`` of every usable vector; centroids; distances calculated in each round.
+
+    ``distance`` is the exact square to the vector's centroid; columns mustn't be called ``cluster`` or ``distance``.
 
     Vectors are usable that have exactly ``width`` components (512 at most), none null, NaN or infinite, and none whose floor(scale * x)
     is beyond 2^26. Others have no rows; repeated rows count each. With fewer usable vectors than ``k`` there are as many
@@ -179,10 +181,11 @@ def cluster(vectors: DataFrame, columns: list[str], vector: str = "embedding", i
     k, calculated = len(centroids), []
     kept = [vectors.schema[c].dataType for c in columns]
     named = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(kept)])
-    schema = T.StructType([*named.fields, *T._parse_datatype_string("x array<int>, cluster int, upper float, lower array<float>, part array<bigint>").fields])
+    schema = T.StructType([*named.fields, *T._parse_datatype_string("x binary, cluster int, upper float, lower binary, part array<bigint>").fields])
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+    told = T.StructType([vectors.schema[c] for c in columns]).add("cluster", T.IntegerType()).add("distance", T.LongType())
     if not k:
-        return vectors.sparkSession.createDataFrame([], schema).select(*back, "x", "cluster"), centroids, calculated
+        return vectors.sparkSession.createDataFrame([], told), centroids, calculated
     counts, sums = [0] * k, [[0] * width for _ in range(k)]
     state = vectors.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(vector).alias("v"))
     drift, written = None, None
@@ -206,19 +209,17 @@ def cluster(vectors: DataFrame, columns: list[str], vector: str = "embedding", i
         if not drift.any():
             break
         centroids = moved
-    return state.select(*back, "x", "cluster"), centroids, calculated
+    return _distances(state.select(*back, "x", "cluster"), centroids, told), centroids, calculated
 
 
-def distances(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """``rows`` of ``cluster`` with the exact squared ``distance`` to their centroid, without ``x``."""
-    names = [f.name for f in rows.schema.fields if f.name != "x"]
-    schema = T.StructType([rows.schema[n] for n in names]).add("distance", T.LongType())
+def _distances(rows: DataFrame, centroids: np.ndarray, schema: T.StructType) -> DataFrame:
+    """The last table's rows (columns, x, cluster) with exact squared distances in the place of their numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.int64)
-            where = batch.column(batch.schema.get_field_index("cluster")).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(squares(x, centroids[where]))], [*names, "distance"])
+            *kept, x, where = batch.columns
+            numbers = unpacked(x, np.int32, centroids.shape[1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*kept, where, pa.array(squares(numbers, centroids[where.to_numpy()]))], schema.names)
 
     return rows.mapInArrow(each, schema)
 
@@ -236,8 +237,7 @@ def inertias(spark: SparkSession, told: DataFrame, centroids: np.ndarray) -> Dat
 
 def assignments(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every usable vector; sums that a long can't hold are null."""
-    rows, centroids, _ = cluster(vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("_v")), ["vec_id"], "_v", "vec_id")
-    told = distances(rows, centroids)
+    told, centroids, _ = cluster(vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("_v")), ["vec_id"], "_v", "vec_id")
     of_clusters = inertias(vectors.sparkSession, told, centroids)
     sums = [F.col(c).try_cast("long").alias(c) for c in ("cluster_inertia", "inertia")]
     return told.join(F.broadcast(of_clusters), "cluster").select("vec_id", "cluster", "distance", *sums, "centroid_sha256")

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,23 @@ def least_hashed(rows: DataFrame, group: str, bound: int, key: str = "doc_id") -
     return left.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= bound).select(*rows.columns)
 
 
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as binary values, which pass between Spark and Python, and into files, at the cost of their bytes."""
+    n, width = rows.shape
+    data = np.ascontiguousarray(rows)
+    offsets = np.arange(n + 1, dtype=np.int32) * (width * data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """The rows of numbers that ``packed`` made; none of them null."""
+    if not len(column):
+        return np.zeros((0, width), kind)
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), width)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a Python worker makes of one stays small."""
     for batch in batches:
