@@ -8,7 +8,7 @@ sum of x is q * n + r: the difference is exact whatever the shift and the number
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidied
+from .common import discard, materialise, packed, tidied, unpacked
 
 #: Whole numbers beyond this aren't exact as doubles.
 MOST = 1 << 52
@@ -38,6 +38,7 @@ class Whitening:
     values: np.ndarray
     trace: float
     passes: int
+    identity_error: float
 
     def shares(self) -> np.ndarray:
         return self.values / self.trace
@@ -55,45 +56,44 @@ def whole(column: pa.Array, width: int, scale: int, shift: int) -> tuple[np.ndar
     return at[good], x[good].astype(np.int64)
 
 
-def _usable(column: pa.Array, scale: int, shift: int) -> np.ndarray:
-    """Lengths of the usable lists, -1 for the others."""
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1)).astype(np.int64)
-    out = np.full(len(sizes), -1)
-    for width in np.unique(sizes[sizes > 0]):
-        at, _ = whole(column, int(width), scale, shift)
-        out[at] = width
-    return out
-
-
-def _summed(df: DataFrame, rows: Callable, kind: str = "double") -> dict[int, float]:
-    """Sums by place of the arrays that ``rows`` yields for each partition; sums of longs are exact."""
-    parts = df.mapInArrow(tidied(rows), f"part array<{kind}>")
-    value = F.col("value").cast("decimal(38,0)") if kind == "long" else F.col("value")
-    return {r[0]: r[1] for r in parts.select(F.posexplode("part").alias("place", "value")).groupBy("place").agg(F.sum(value)).collect()}
+def _summed(df: DataFrame, rows: Callable) -> dict[int, float]:
+    """Sums by place of the arrays that ``rows`` yields for each partition."""
+    parts = df.mapInArrow(tidied(rows), "part array<double>")
+    return {r[0]: r[1] for r in parts.select(F.posexplode("part").alias("place", "value")).groupBy("place").agg(F.sum("value")).collect()}
 
 
 def _part(values: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.ravel().tolist()], pa.list_(kind))], ["part"])
 
 
-def _commonest_width(column: DataFrame, scale: int, shift: int) -> int:
-    """The commonest number of components of usable vectors, of equally common ones the largest; 0 where there are none."""
+def _numbers(column: DataFrame, scale: int, shift: int) -> DataFrame:
+    """(width, x, part) of all usable vectors of a column, written once: their whole numbers packed, and for each partition and width a row with only ``part``.
+
+    ``part`` holds how many vectors there are, and sums of each component's upper and lower halves of 26 bits, which stay exact for 2^36 rows of a partition.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names = (pa.int32(), pa.binary(), pa.list_(pa.int64())), ["width", "x", "part"]
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            widths, counts = np.unique(_usable(batch.column(0), scale, shift), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(widths), pa.array(counts)], ["width", "rows"])
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(0)), 0))
+            for width in map(int, np.unique(sizes[sizes > 0])):
+                _, x = whole(batch.column(0), width, scale, shift)
+                if len(x):
+                    total = totals.setdefault(width, np.zeros(2 * width + 1, dtype=np.int64))
+                    total += np.concatenate([[len(x)], (x >> 26).sum(axis=0), (x & (1 << 26) - 1).sum(axis=0)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), width), kinds[0]), packed(x), pa.nulls(len(x), kinds[2])], names)
+        for width, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([width], kinds[0]), pa.nulls(1, kinds[1]), pa.array([total.tolist()], kinds[2])], names)
 
-    found = column.mapInArrow(rows, "width long, rows long").filter("width > 0").groupBy("width").agg(F.sum("rows").alias("rows"))
-    most = found.orderBy(F.desc("rows"), F.desc("width")).first()
-    return most["width"] if most else 0
+    return materialise(column.mapInArrow(tidied(rows), "width int, x binary, part array<bigint>"), "vectors")
 
 
 def _centred(x: np.ndarray, quotients: np.ndarray, rests: np.ndarray, n: int) -> np.ndarray:
     return (x - quotients).astype(np.float64) - rests / n
 
 
-def block_lanczos(product: Callable[[np.ndarray], np.ndarray], width: int, k: int, block: int = 8, tolerance: float = 1e-13, most: int = 256, seed: int = 11, passes: int = 500):
+def block_lanczos(product: Callable[[np.ndarray], np.ndarray], width: int, k: int, block: int = 16, tolerance: float = 1e-13, most: int = 256, seed: int = 11, passes: int = 500):
     """(values, vectors, passes): the ``k`` largest eigenpairs of the symmetric matrix whose products ``product`` gives.
 
     Every block is orthogonalised twice against the whole basis. Directions that break down are replaced by random ones; the basis,
@@ -144,66 +144,65 @@ def _orthogonal(block: np.ndarray, basis: np.ndarray, columns: int, scale: float
         out = np.hstack([out, np.linalg.qr(more)[0]])
 
 
-def fit(vectors: DataFrame, vector: str = "embedding", k: int = 8, scale: int = 1024, shift: int = 100_000, block: int = 8) -> Whitening | None:
+def fit(vectors: DataFrame, vector: str = "embedding", k: int = 8, scale: int = 1024, shift: int = 100_000, block: int = 16) -> Whitening | None:
     """Components of the usable vectors of the commonest length (of equally common ones the longest); None where there are none.
 
     Vectors are usable that aren't null or empty and hold no null, NaN or infinite component, nor one whose whole number is beyond 2^52.
     Repeated rows count each. Components without variance (1e-12 of the largest) can't be whitened and are left out. A pass
     sends a block of ``width`` x ``block`` numbers to the tasks and gets one for each partition back, added up by Spark.
     """
-    column = vectors.select(F.col(vector).alias("v"))
-    width = _commonest_width(column, scale, shift)
-    if not width:
+    table = _numbers(vectors.select(F.col(vector).alias("v")), scale, shift)
+    parts = table.filter("part IS NOT NULL").select("width", "part")
+    most = parts.groupBy("width").agg(F.sum(F.col("part")[0]).alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    if most is None:
         return None
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * width + 1, dtype=np.int64)
-        for batch in batches:
-            _, x = whole(batch.column(0), width, scale, shift)
-            # Halves of 26 bits: their sums stay exact for 2^36 rows of a partition.
-            total += np.concatenate([(x >> 26).sum(axis=0), (x & (1 << 26) - 1).sum(axis=0), [len(x)]])
-        yield _part(total, pa.int64())
-
-    found = _summed(column, sums, "long")
-    n = int(found[2 * width])
-    both = [divmod((int(found[i]) << 26) + int(found[width + i]), n) for i in range(width)]
+    width, n = most["width"], int(most["n"])
+    exact = F.sum(F.col("value").cast("decimal(38,0)"))
+    found = {r[0]: int(r[1]) for r in parts.filter(F.col("width") == width).select(F.posexplode("part").alias("place", "value")).groupBy("place").agg(exact).collect()}
+    both = [divmod((found[1 + i] << 26) + found[1 + width + i], n) for i in range(width)]
     quotients, rests = np.array([q for q, _ in both]), np.array([float(r) for _, r in both])
+    column = table.filter((F.col("width") == width) & F.col("x").isNotNull()).select("x")
     trace = [0.0]
 
     def product(q: np.ndarray) -> np.ndarray:
+        first = not trace[0]
+
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, spread = np.zeros(q.shape), 0.0
             for batch in batches:
-                x = _centred(whole(batch.column(0), width, scale, shift)[1], quotients, rests, n)
+                x = _centred(unpacked(batch.column(0), np.int64, width), quotients, rests, n)
                 total += x.T @ (x @ q)
-                spread += float((x * x).sum())
+                spread += float(np.einsum("ij,ij->", x, x)) if first else 0.0
             yield _part(np.append(total.ravel(), spread), pa.float64())
 
         found = _summed(column, rows)
-        trace[0] = found[q.size] / n
+        trace[0] = trace[0] or found[q.size] / n
         return np.array([found[i] for i in range(q.size)]).reshape(q.shape) / n
 
     values, found_vectors, passes = block_lanczos(product, width, k, block)
     varied = values > 1e-12 * max(values[0], np.finfo(float).tiny)
-    return Whitening(n, width, scale, shift, quotients, rests, found_vectors[:, varied], values[varied], trace[0], passes)
+    model = Whitening(n, width, scale, shift, quotients, rests, found_vectors[:, varied], values[varied], trace[0], passes, 0.0)
+    model = replace(model, identity_error=_identity_error(column, model))
+    discard(table)
+    return model
 
 
 def _whitened(x: np.ndarray, model: Whitening) -> np.ndarray:
     return _centred(x, model.quotients, model.rests, model.n) @ (model.vectors / np.sqrt(model.values))
 
 
-def identity_error(vectors: DataFrame, model: Whitening, vector: str = "embedding") -> float:
-    """Largest absolute entry of the whitened rows' covariance minus the identity; 0 without components."""
+def _identity_error(column: DataFrame, model: Whitening) -> float:
+    """Largest absolute entry of the whitened fit list's covariance minus the identity; 0 without components."""
     k = len(model.values)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square, total = np.zeros((k, k)), np.zeros(k)
         for batch in batches:
-            w = _whitened(whole(batch.column(0), model.width, model.scale, model.shift)[1], model)
+            w = _whitened(unpacked(batch.column(0), np.int64, model.width), model)
             square, total = square + w.T @ w, total + w.sum(axis=0)
         yield _part(np.append(square.ravel(), total), pa.float64())
 
-    found = _summed(vectors.select(F.col(vector)), rows)
+    found = _summed(column, rows)
     values = np.array([found[i] for i in range(k * k + k)]) / model.n
     mean = values[k * k :]
     return float(np.abs(values[: k * k].reshape(k, k) - np.outer(mean, mean) - np.eye(k)).max(initial=0.0))
@@ -250,11 +249,10 @@ def components(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding"
     model = fit(vectors, vector, k)
     if model is None:
         return vectors.sparkSession.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
-    error = identity_error(vectors, model, vector)
     told = whiten(vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("_v")), model, ["vec_id"], "_v")
     each = told.select("vec_id", "deviation", F.posexplode("whitened").alias("_place", "whitened"))
     explained = F.get(F.array(*[F.lit(float(s)) for s in model.shares()]).cast("array<double>"), F.col("_place"))
     return each.select(
         "vec_id", (F.col("_place") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"),
-        "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"),
+        "whitened", explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"),
     )
