@@ -140,11 +140,11 @@ def sentence_pack_chunks(spark, sf_dir):
 s AS (SELECT doc_id, i - 1 AS i, len(regexp_extract_all(t, '\\S+')) AS n FROM (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM cut)),
 b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS BIGINT) AS before FROM s),
 t AS (SELECT *, least(i - 1, min(i) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN 48 PRECEDING AND CURRENT ROW)) AS back FROM b),
-sums AS (SELECT doc_id, list(before ORDER BY i) AS at FROM b GROUP BY 1),
+sums AS (SELECT doc_id, list(before ORDER BY i) AS ps FROM b GROUP BY 1),
 fold AS (SELECT doc_id, i, i AS first, CAST(0 AS INTEGER) AS pack FROM t WHERE i = 0 UNION ALL
-SELECT t.doc_id, t.i, CASE WHEN t.before + t.n - at[f.first + 1] > 320 THEN greatest(f.first, t.back) ELSE f.first END, f.pack + CASE WHEN t.before + t.n - at[f.first + 1] > 320 THEN 1 ELSE 0 END
+SELECT t.doc_id, t.i, CASE WHEN t.before + t.n - ps[f.first + 1] > 320 THEN greatest(f.first, t.back) ELSE f.first END, f.pack + CASE WHEN t.before + t.n - ps[f.first + 1] > 320 THEN 1 ELSE 0 END
 FROM fold f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1 JOIN sums ON sums.doc_id = f.doc_id)
-SELECT f.doc_id, CAST(pack AS INTEGER) AS pack, CAST(min(first) AS INTEGER) AS first, CAST(max(f.i) AS INTEGER) AS last, CAST(max(t.before + t.n) - any_value(at[f.first + 1]) AS BIGINT) AS tokens
+SELECT f.doc_id, CAST(pack AS INTEGER) AS pack, CAST(min(first) AS INTEGER) AS first, CAST(max(f.i) AS INTEGER) AS last, CAST(max(t.before + t.n) - any_value(ps[f.first + 1]) AS BIGINT) AS tokens
 FROM fold f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i JOIN sums ON sums.doc_id = f.doc_id GROUP BY 1, 2""")
 def packed_sentences(spark, sf_dir):
     """Which sentences of every document make each pack of at most 320 tokens, with their overlap."""
