@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import DENSE_SIZE
-from .tables import got_or_set
+from .tables import got_or_set, tasks
 
 #: Inputs of one call.
 BATCH = 128
@@ -66,7 +66,7 @@ def batched(model: Model, inputs: list[str], kind: str, batch: int = BATCH) -> C
             values = each([r[1:] for r in rows])
             return pa.RecordBatch.from_pylist([{"key": r[0], "value": v} for r, v in zip(rows, values)], arrow)
 
-        return df.select("key", *inputs).mapInArrow(run, schema)
+        return df.select("key", *inputs).repartition(tasks(df.sparkSession), "key").mapInArrow(run, schema)
 
     return asked
 

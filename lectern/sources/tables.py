@@ -60,6 +60,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many partitions short rows are dealt that stand for much work: more than the cluster works on at once."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back.
 

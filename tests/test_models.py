@@ -50,8 +50,8 @@ def test_failures_cost_single_inputs_only(spark):
 
     pairs = spark.createDataFrame([(1, "x", "abc"), (2, "x", "bad"), (3, "x", None), (4, "x", "abc")], "id int, expected string, answer string").coalesce(1)
     assert {r["id"]: r["grade"] for r in O.judged(pairs, judge).collect()} == {1: 3.0, 2: 0.0, 3: 0.0, 4: 3.0}
-    with pytest.raises(Exception, match="1 answers to 3 inputs"):
-        O.judged(pairs, lambda rows: [1.0]).collect()
+    with pytest.raises(Exception, match="answers to"):
+        O.judged(pairs, lambda rows: [1.0] * (len(rows) + 1)).collect()
 
 
 def test_the_default_models_say_what_the_operators_say(spark):
