@@ -234,6 +234,62 @@ def test_more_heavy_shingles_than_the_order_knows(spark, monkeypatch):
         assert {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()} == brute_components(rows)
 
 
+def test_long_heavy_lists_are_cut_into_bands_and_parts(spark, monkeypatch):
+    """A passage in texts of all sizes: lists of many tiles, in which links cross parts and bands."""
+    import random
+
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    r = random.Random(13)
+    shared = [f"p{i}" for i in range(12)]
+    rows = []
+    for family in range(30):
+        base = shared + [f"f{family}_{i}" for i in range(r.randint(1, 90))]
+        for k in range(4):
+            words = base + [f"e{family}_{i}" for i in range(k * len(base) // 12)]
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()} == want
+    assert len(set(want.values())) < len(rows)
+
+
+def test_tiles_hold_every_pair_that_may_link_once(spark, monkeypatch):
+    """Members of one list of any sizes: each pair of sizes that may link meets in one tile, on its two sides."""
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    sizes = {i: 1 + i * i // 9 for i in range(60)}
+    rows = [(1, len(sizes), i, n, i, [i], [1]) for i, n in sizes.items()]
+    tiles = jaccard._tiles(spark.createDataFrame(rows, "token long, members long, id long, n long, component long, light array<long>, dense array<long>"))
+    held = {}
+    for x in tiles.collect():
+        held.setdefault(x.tile, []).append((x.id, x.side))
+    met = [(min(a, b), max(a, b)) for t in held.values() for a, s in t for b, q in t if a < b and (s != q or s == 2)]
+    assert len(met) == len(set(met))
+    assert {(a, b) for a in sizes for b in sizes if a < b and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])} <= set(met)
+    assert max(map(len, held.values())) < 40 and len(met) < len(sizes) * (len(sizes) - 1) // 4
+
+
+def test_counts_and_lists_are_held_in_pieces():
+    """A shingle that every text holds travels once for a batch and is added up as it comes; lists are never cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"one two three four five own{i} a{i} b{i} c{i}" for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 100)), pa.array(texts[k : k + 100])], ["id", "text"]) for k in (0, 100, 200)]
+    packed = list(jaccard._packed(8)(iter(batches)))
+    assert sum(len(x) for b in packed for x in b.column("again").to_pylist()) == 3 * 5
+    by_bucket = pa.Table.from_batches(packed).sort_by("bucket").to_batches(max_chunksize=7)
+    for most in (1, 10, 10**6):
+        got = pa.Table.from_batches(jaccard._counted(8, most)(iter(by_bucket))).to_pydict()
+        assert got["df"] == [300]
+        assert got["token"] == [int(np.int64(jaccard.shingles("one two three four five")[0] >> np.uint64(16)))]
+    token = np.repeat(np.arange(40), 5)
+    postings = [pa.RecordBatch.from_arrays([pa.array(token[i : i + 3]), pa.array(np.arange(200)[i : i + 3]), pa.array(np.full(200, 9)[i : i + 3])], ["token", "id", "n"]) for i in range(0, 200, 3)]
+    pieces = list(jaccard._whole_lists(iter(postings), 12))
+    assert len(pieces) > 10 and all(len(t) % 5 == 0 for t, *_ in pieces)
+    assert np.concatenate([i for _, i, _ in pieces]).tolist() == list(range(200))
+    assert list(jaccard._whole_lists(iter([]))) == []
+
+
 def test_sets_of_four_and_five_link_under_a_high_boundary(spark):
     """Texts of eight words and the same with a ninth, beside sets that move the boundary above four."""
     rows = [(i, " ".join(f"a{i}_{j}" for j in range(8))) for i in range(12)]
