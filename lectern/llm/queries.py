@@ -42,17 +42,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with what is left of its text, as a digest."""
+    """Every document with what is left of its text, as a digest, and the spans that went: how many, and the digest of their
+    original offsets ``start-end``, in order, joined by commas."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     left = substring.deduplicate(docs)
     n_left = F.coalesce(F.length("text"), F.lit(0))
-    return left.select("doc_id", "n_chars", (F.col("n_chars") - n_left).alias("removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
+    n_spans = F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long")
+    spans = F.coalesce(F.array_join(F.transform("_removed", lambda r: F.concat_ws("-", r["start"], r["end"])), ","), F.lit(""))
+    return left.select("doc_id", "n_chars", (F.col("n_chars") - n_left).alias("removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"), n_spans.alias("n_spans"), F.sha2(spans, 256).alias("spans_sha256"))
 
 
 OP2_SQL = f"""WITH {mixing.sql("documents", **MIX)}
 SELECT doc_id, domain, language, source_name, epoch, n_tokens, CAST(budget AS BIGINT) AS leaf_budget FROM mixed"""
 OP3_SQL = f"""WITH {substring.sql("documents")}
-SELECT d.doc_id, CAST(coalesce(len(d.text), 0) AS BIGINT) AS n_chars, CAST(x.removed_chars AS BIGINT) AS removed_chars, sha256(coalesce(x.text, '')) AS left_sha256
+SELECT d.doc_id, CAST(coalesce(len(d.text), 0) AS BIGINT) AS n_chars, CAST(x.removed_chars AS BIGINT) AS removed_chars, sha256(coalesce(x.text, '')) AS left_sha256,
+       CAST(x.n_spans AS BIGINT) AS n_spans, sha256(x.spans) AS spans_sha256
 FROM documents d JOIN deduped x ON d.doc_id = x.doc_id"""
 
 

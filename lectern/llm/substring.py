@@ -114,7 +114,7 @@ _WORDS = "len(regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+'))"
 
 
 def sql(docs: str, name: str = "deduped", least_line: int = LEAST_LINE, least_sentence: int = LEAST_SENTENCE) -> str:
-    """Common table expressions, the last of them ``name`` (doc_id, text, removed_chars), of the relation ``docs``.
+    """Common table expressions, the last of them ``name`` (doc_id, text, removed_chars, spans, n_spans), of the relation ``docs``.
 
     Texts are cut into pieces, a piece being a sentence or a line break; a piece goes with its line or by itself.
     """
@@ -130,12 +130,16 @@ bits AS (
   FROM (SELECT doc_id, k, start, unnest(bits) AS bit, generate_subscripts(bits, 1) AS j FROM cuts)
 ),
 units AS (
-  SELECT doc_id, start, k, 0 AS j, {_CLEAN.format("line")} AS unit FROM lines WHERE {_WORDS.format("line")} >= {least_line}
+  SELECT doc_id, start, start + len(line) + CASE WHEN is_last THEN 0 ELSE 1 END AS stop, k, 0 AS j, {_CLEAN.format("line")} AS unit FROM lines WHERE {_WORDS.format("line")} >= {least_line}
   UNION ALL
-  SELECT doc_id, start, k, j, {_CLEAN.format("bit")} FROM bits WHERE {_WORDS.format("bit")} >= {least_sentence}
+  SELECT doc_id, start, start + len(bit), k, j, {_CLEAN.format("bit")} FROM bits WHERE {_WORDS.format("bit")} >= {least_sentence}
 ),
 firsts AS (SELECT *, first_value(struct_pack(a := doc_id, b := start)) OVER (PARTITION BY unit ORDER BY doc_id, start) AS first FROM units),
-gone AS (SELECT DISTINCT doc_id, k, j FROM firsts WHERE doc_id <> first.a OR start <> first.b),
+gone AS (SELECT DISTINCT doc_id, k, j, start, stop FROM firsts WHERE doc_id <> first.a OR start <> first.b),
+spans AS (
+  SELECT doc_id, count(*) AS n_spans, string_agg(CAST(start AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY start, stop) AS spans
+  FROM (SELECT DISTINCT doc_id, start, stop FROM gone) GROUP BY doc_id
+),
 pieces AS (
   SELECT doc_id, k, j, bit FROM bits UNION ALL SELECT doc_id, k, 1000000000, chr(10) FROM lines WHERE NOT is_last
 ),
@@ -145,8 +149,9 @@ marked AS (
        LEFT JOIN (SELECT * FROM gone WHERE j > 0) s ON p.doc_id = s.doc_id AND p.k = s.k AND p.j = s.j
 ),
 {name} AS (
-  SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(m.text, '') END AS text, coalesce(m.removed_chars, 0) AS removed_chars
+  SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(m.text, '') END AS text, coalesce(m.removed_chars, 0) AS removed_chars,
+         coalesce(r.spans, '') AS spans, coalesce(r.n_spans, 0) AS n_spans
   FROM {docs} d LEFT JOIN (
     SELECT doc_id, string_agg(bit, '' ORDER BY k, j) FILTER (NOT gone) AS text, coalesce(sum(len(bit)) FILTER (gone), 0) AS removed_chars FROM marked GROUP BY doc_id
-  ) m ON d.doc_id = m.doc_id
+  ) m ON d.doc_id = m.doc_id LEFT JOIN spans r ON d.doc_id = r.doc_id
 )"""

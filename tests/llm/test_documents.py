@@ -148,6 +148,9 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
 def test_substring_against_sql(spark, plain, odd, none):
     got = substring.deduplicate(clashing(plain)).select("doc_id", "text").collect()
     want = duck(plain, f"WITH {substring.sql('documents')} SELECT doc_id, text FROM deduped")
+    told = {r.id: (len(r.removed), ",".join(f"{a}-{b}" for a, b in r.removed)) for r in substring.repeats(plain).collect()}
+    spans = duck(plain, f"WITH {substring.sql('documents')} SELECT doc_id, n_spans, spans FROM deduped WHERE n_spans > 0")
+    assert told and told == {i: (n, s) for i, n, s in spans}
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert substring.deduplicate(odd).count() == odd.count() and substring.deduplicate(none).count() == 0
 
