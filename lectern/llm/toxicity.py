@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import calibrated, fit_forest, fit_isotonic
-from .common import fold, least_hashed, tidied
+from .common import fold, least_hashed, materialise, tidied
 
 #: Second persons of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tuyo vosotros usted".split())
@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 6
     The trees learn from three quarters of the sample, the calibration from the rest. Without both classes in the
     sample, every score is the share of the one class (0.0 without labels).
     """
-    sample = bounded_sample(docs, labels, label, bound, modulus, held)
+    # Written once: counts, stems and features read the bounded sample, not all texts again.
+    sample = materialise(bounded_sample(docs, labels, label, bound, modulus, held), "labelled")
     lexicon = learn_lexicon(sample)
     heads = frozenset(s[:4] for s in lexicon)
 
@@ -170,8 +171,10 @@ def score_texts(docs: DataFrame, scorer: Callable[[list[str | None]], np.ndarray
     """The columns ``keep`` of each document, with its score.
 
     Empty and null texts get the score of a text without words. Repeated rows are scored alike. Columns of ``docs``
-    that aren't in ``keep`` don't reach Python. ``keep`` mustn't hold a column named ``score``.
+    that aren't in ``keep`` don't reach Python. ``keep`` mustn't hold a column named ``score``, which is an error.
     """
+    if "score" in keep:
+        raise ValueError("a column that is kept is named score")
     schema = docs.select(*keep).schema.add("score", "double")
     inner = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
 

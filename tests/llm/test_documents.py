@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import boosting, bpe, jaccard, language, mixing, queries, scoring, simhash, substring, toxicity
@@ -237,6 +238,16 @@ def test_more_heavy_shingles_than_the_order_knows(spark, monkeypatch):
         assert {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()} == brute_components(rows)
 
 
+def test_toxicity_without_labels_keeps_every_document(spark, odd):
+    """An empty table of labels scores everything 0; a kept column that clashes with the score is refused."""
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    scorer = toxicity.fit(odd, labels)
+    scored = toxicity.score_texts(odd, scorer, ["doc_id", "text"]).collect()
+    assert len(scored) == odd.count() and {r.score for r in scored} == {0.0}
+    with pytest.raises(ValueError):
+        toxicity.score_texts(odd.withColumn("score", F.lit(1)), scorer, ["doc_id", "score"])
+
+
 def test_long_heavy_lists_are_cut_into_bands_and_parts(spark, monkeypatch):
     """A passage in texts of all sizes: lists of many tiles, in which links cross parts and bands."""
     import random
