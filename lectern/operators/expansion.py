@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SCRIPTS, normalise_arabic, stripped, tokens
+from ..sources.tables import stored
 from . import vectors as V
 from .relational import both_ways
 
@@ -79,9 +80,8 @@ def multi_candidate_search(queries: DataFrame, strings: DataFrame, docs: DataFra
     document keeps its best fused score, and the merged hits are reranked against the query (q_id, text) as it was asked."""
     named = strings.withColumn("_c", F.struct("q_id", "candidate"))
     asked = named.select(F.col("_c").alias("q_id"), "text")
-    index = V.index_of(docs, id)
-    hits = V.search(V.postings(asked, "q_id", "text"), index, id).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.candidate").alias("candidate"), id, "score", "dense_score")
-    merged = V.merge_best(hits, id)
+    hits = V.search(V.postings(asked, "q_id", "text"), docs, id).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.candidate").alias("candidate"), id, "score", "dense_score")
+    merged = stored(V.merge_best(hits, id), "merged")
     ranked = V.rerank(merged, queries, docs.select(id, "text", scope), id)
     return V.compress(ranked, id, F.coalesce(scope, F.lit("")), n).select("q_id", "place", id, "rerank_score")
 

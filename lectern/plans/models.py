@@ -21,15 +21,17 @@ from .catalog import ORACLES, query, questions, read, rrf_fuse
 @query(ORACLES["dense_topk_hashed"])
 def dense_topk_embedded(spark, sf_dir):
     """The hashed dense search with vectors that come through the embedder's port."""
-    asked = O.embedded(questions(spark, sf_dir), "q_id", "text")
-    return V.dense_top(asked, S.stored(O.embedded(read(spark, sf_dir, "documents"), "doc_id", "text"), "embedded"))
+    asked, docs = S.stored(O.embedded(questions(spark, sf_dir), "q_id", "text"), "asked"), read(spark, sf_dir, "documents")
+    return V.embedded_top(asked, O.vectors(docs, "doc_id", "text"), docs)
 
 
 @query(ORACLES["jaccard_rerank"])
 def reranked_by_port(spark, sf_dir):
     """The fused hits of all questions, scored by the reranker's port."""
     texts = read(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = rrf_fuse(spark, sf_dir).select("q_id", "doc_id").join(questions(spark, sf_dir).withColumnRenamed("text", "query"), "q_id").join(texts, "doc_id")
+    # The port's plan comes back to the pairs, so they are found once.
+    hits = S.stored(rrf_fuse(spark, sf_dir).select("q_id", "doc_id"), "hits")
+    pairs = S.stored(hits.join(questions(spark, sf_dir).withColumnRenamed("text", "query"), "q_id").join(texts, "doc_id"), "pairs")
     return O.reranked(pairs).select("q_id", "doc_id", F.round("score", 9).alias("score"))
 
 

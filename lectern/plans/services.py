@@ -418,7 +418,8 @@ def evidence(spark, sf_dir) -> DataFrame:
         (F.col("doc_id") % 300).cast("int").alias("printed_page_start"), F.col("lang").alias("topic"), F.lit("").alias("kitab"), F.lit(None).cast("string").alias("bab"), F.lit("main").alias("region"), (F.col("doc_id") % 2 == 0).alias("verified"), (F.col("score") * 30).alias("rerank_score"),
     )
     q = questions(spark, sf_dir).select("q_id", F.col("text").alias("query"), F.lit("en").alias("language"), (F.col("q_id") % 2 == 0).alias("translated"), (F.col("q_id") % 4 > 0).alias("evidence_sufficient"))
-    return q.join(G.gathered(chunks), "q_id")
+    # What answers are made of is read many times by their plans, and is a few rows for each question.
+    return S.stored(q.join(G.gathered(chunks), "q_id"), "evidence")
 
 
 _LABEL = "concat_ws(', ', nullif(book_name, ''), 'vol. ' || volume, 'p. ' || page)"

@@ -6,6 +6,7 @@ The functions that stand here need no model.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -90,21 +91,31 @@ def digest(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+@functools.lru_cache(500_000)
+def _bucket(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[11:16], 16) % DENSE_SIZE
+
+
 def hashed_embedder(rows: list[tuple]) -> list[list[dict]]:
     """Counts of hashed tokens of texts: the embedder that needs no model."""
     out = []
     for (text,) in rows:
         counts: Counter[int] = Counter()
         for token in re.findall(r"\S+", (text or "").lower()):
-            counts[int(hashlib.md5(token.encode()).hexdigest()[11:16], 16) % DENSE_SIZE] += 1
+            counts[_bucket(token)] += 1
         out.append([{"idx": i, "tf": n} for i, n in sorted(counts.items())])
     return out
 
 
 def embedded(texts: DataFrame, id: str, text: str, model: Model = hashed_embedder, cache: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """(id, idx, tf): the vectors of texts by an embedder, as postings. Each distinct text is embedded once; a text that fails has none."""
+    return vectors(texts, id, text, model, cache, now).select(id, F.inline("value"))
+
+
+def vectors(texts: DataFrame, id: str, text: str, model: Model = hashed_embedder, cache: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(id, value): the same with one row for each text and its vector as an array."""
     rows, _ = ask(texts.select(F.col(id).alias("_id"), F.col(text).alias("_text")), model, ["_text"], digest("_text"), VECTOR, cache, now)
-    return rows.select(F.col("_id").alias(id), F.inline("value"))
+    return rows.select(F.col("_id").alias(id), "value")
 
 
 def word_overlap(rows: list[tuple]) -> list[float]:

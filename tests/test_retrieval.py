@@ -109,3 +109,34 @@ def test_whole_table_queries_against_their_sql(spark, tmp_path):
         got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLES[name]).fetchall())
         assert len({r[key] for r in got}) == many
+
+
+@pytest.mark.parametrize("most", [5_000_000, 0])
+def test_scanned_rankings_equal_the_joins(spark, monkeypatch, most):
+    """Both ways give every question's best, with ties by id, repeated and missing ids, and texts of no words."""
+    import random
+
+    from lectern.operators import scans
+
+    monkeypatch.setattr(scans, "MOST_ASKED", most)
+    monkeypatch.setattr(scans, "ROWS", 16)
+    monkeypatch.setattr(scans, "ASKED", 2)
+    r = random.Random(5)
+    text = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(0, 9)))
+    rows = [(i, text()) for i in range(150)] + [(7, "a bb A c"), (7, "a"), (None, "a b c"), (None, "a"), (200, None), *[(i, "a a b") for i in range(300, 330)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = V.postings(spark.createDataFrame([(i, text() + " a") for i in range(5)] + [(9, ""), (8, None)], "q_id int, text string"), "q_id", "text")
+    sparse = V.postings(docs, "doc_id", "text")
+    want = {"dense": V.dense_top(V.dense_postings(asked, "q_id"), V.dense_postings(sparse, "doc_id"), 12), "sparse": V.sparse_top(asked, sparse, 12)}
+    got = dict(zip(want, V.rankings(asked, docs, kinds=("dense", "sparse"), k=12)))
+    for kind in want:
+        assert got[kind].columns == want[kind].columns and sorted(map(tuple, got[kind].collect()), key=str) == sorted(map(tuple, want[kind].collect()), key=str)
+    assert want["sparse"].count() == 60
+
+
+def test_a_scan_hands_on_little_and_makes_no_pairs(spark):
+    """What a search shuffles doesn't grow with questions times documents: no join of postings stands in its plan."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} x y") for i in range(400)], "doc_id long, text string").repartition(2)
+    asked = V.postings(spark.createDataFrame([(i, "x y w1") for i in range(3)], "q_id int, text string"), "q_id", "text")
+    plan = V.search(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
