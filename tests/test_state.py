@@ -161,3 +161,87 @@ def test_a_breaker_stream_says_what_the_table_says(spark, tmp_path):
         S.run_to_end(stream, out, checkpoint)
     want = {r["i"]: (r["allowed"], r["state"]) for r in L.breaker_states(spark.createDataFrame(said, CALLS), "name", "ts", "ok", "i").collect()}
     assert {r["i"]: (r["allowed"], r["state"]) for r in spark.read.parquet(out).collect() if r["i"] < 9000} == want
+
+
+class Handle:
+    """State of one key in plain Python, which counts timers."""
+
+    def __init__(self):
+        self.timers, self.registered = set(), 0
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.registered += 1
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getListState(self, name, kind):
+        return Held([])
+
+    def getValueState(self, name, kind):
+        return Held(None)
+
+    def getMapState(self, name, *kinds):
+        return Held({})
+
+
+class Held:
+    def __init__(self, of):
+        self.of = of
+
+    def exists(self):
+        return self.of not in (None, [])
+
+    def get(self):
+        return self.of
+
+    def clear(self):
+        self.of = [] if isinstance(self.of, list) else None
+
+    def put(self, rows):
+        self.of = rows
+
+    def update(self, value):
+        self.of = value
+
+    def iterator(self):
+        return iter([*self.of.items()])
+
+    def keys(self):
+        return iter([*self.of])
+
+    def containsKey(self, key):
+        return key in self.of
+
+    def getValue(self, key):
+        return self.of[key]
+
+    def updateValue(self, key, value):
+        self.of[key] = value
+
+    def removeKey(self, key):
+        del self.of[key]
+
+
+def test_a_shard_of_the_cache_wakes_once_however_many_entries_it_has():
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    handle, cache = Handle(), S._Cache(600)
+    cache.init(handle)
+    start = T0.timestamp() * 1000
+    cache.kept.of = [(i, T0 + dt.timedelta(seconds=i), "set", f"k{i}", "v", 1) for i in range(300)]
+    cache.timer.of = (int(start),)
+    told = [len(f) for f in cache.handleExpiredTimer((0,), At(start + 299_000), At(start))]
+    assert sum(told) == 0 and len(cache.entries.of) == 300 and handle.registered == 1
+    # Half of the entries end; one timer stands at the next end.
+    (due,) = handle.timers
+    list(cache.handleExpiredTimer((0,), At(start + 750_000), At(due)))
+    assert len(cache.entries.of) == 150 and handle.registered == 2 and cache.expiry.of[0] > start + 750_000
