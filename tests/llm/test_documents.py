@@ -654,3 +654,13 @@ def test_all_queries_are_registered():
 
 def test_every_oracle_is_sql():
     assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
+
+
+def test_members_of_heavy_lists_travel_without_their_prefixes(spark, monkeypatch):
+    """Near copies whose shingles are all heavy: a posting has four numbers, not the whole prefix once for each of its shingles."""
+    written, keep = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: (written.setdefault(name, df.columns), keep(df, name))[1])
+    body = " ".join(f"x{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"w{i} {body}") for i in range(40)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_classes(docs).collect()} == {0}
+    assert set(written["postings"]) == {"id", "n", "rare", "token"} and not {"light", "dense"} & set(written["tiles"])
