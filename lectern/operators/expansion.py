@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SCRIPTS, normalise_arabic, stripped, tokens
-from ..sources.tables import stored
+from ..sources.tables import stored, tasks
 from . import vectors as V
-from .relational import both_ways
+from .relational import ways
 
 MOST = 5
 # Terms and the term that may stand for each, in the order in which they are tried.
@@ -43,36 +42,44 @@ def probe_terms(canonical: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(words, bare, known)))
 
 
-def related_variants(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """(q_id, n, text): the canonical text with each probe replaced once by a related term; a term counts for the first
-    probe that leads to it, edges by falling confidence."""
-    probes = queries.select("q_id", "canonical", F.posexplode(probe_terms(F.col("canonical"))).alias("place", "term"))
-    met = probes.join(both_ways(edges, probes.select("term")), "term")
-    order = [F.col("place"), F.desc("confidence"), F.col("neighbour"), F.col("relation")]
-    first = met.withColumn("_n", F.row_number().over(W.partitionBy("q_id", "neighbour").orderBy(*order))).filter("_n = 1")
-    variants = first.withColumn("text", replaced_once(F.col("canonical"), F.col("term"), F.col("neighbour"))).filter("text <> canonical")
-    return variants.select("q_id", F.row_number().over(W.partitionBy("q_id").orderBy(*order)).alias("n"), "text")
+def first_of_each(items: Column, name: str) -> Column:
+    """The items of a sorted array without those whose field is that of an earlier one."""
+    return F.filter(items, lambda x, i: F.array_position(F.transform(items, lambda y: y[name]), x[name]) == i + 1)
 
 
 def candidates(queries: DataFrame, edges: DataFrame, paraphrases: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """(q_id, candidate, kind, text): at most ``most`` strings of each query (q_id, original, canonical), from 0, each text
-    once, the first kind of ``KINDS`` winning. ``paraphrases`` (q_id, n, text) may come from a model."""
+    once, the first kind of ``KINDS`` winning. A related term counts for the first probe that leads to it. ``paraphrases``
+    (q_id, n, text) may come from a model.
+
+    Queries are read once, a row for each probe, and a query's few strings come together as arrays, in tasks of a bounded
+    number of queries.
+    """
+    spark = queries.sparkSession
+    n = tasks(spark, queries.count())
+    if queries.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        queries = queries.repartition(n, "q_id")
     folded = queries.select("q_id", "original", normalise_arabic(F.col("canonical")).alias("canonical"))
-    part = lambda df, kind, n, text: df.select("q_id", F.lit(KINDS.index(kind)).alias("k"), n.cast("int").alias("n"), text.alias("text"))
-    parts = [
-        part(folded, "original", F.lit(0), F.col("original")), part(folded, "canonical", F.lit(0), F.col("canonical")),
-        part(folded.select("q_id", F.posexplode(synonym_variants(F.col("canonical"))).alias("n", "text")), "synonym", F.col("n"), F.col("text")),
-        part(related_variants(folded, edges), "kg", F.col("n"), F.col("text")),
-    ]
+    one = lambda kind, n, text: F.struct(F.lit(KINDS.index(kind)).alias("k"), n.cast("int").alias("n"), text.alias("text"))
+    own = F.array(one("original", F.lit(0), F.col("original")), one("canonical", F.lit(0), F.col("canonical")))
+    variants = F.transform(synonym_variants(F.col("canonical")), lambda v, i: one("synonym", i, v))
+    probed = folded.select("q_id", "original", "canonical", F.posexplode_outer(probe_terms(F.col("canonical"))).alias("place", "term")).join(stored(ways(edges), "ways"), "term", "left")
+    # The first probe's rows bring the query's own strings; related terms sort by the probes' places, then by falling confidence.
+    first = F.coalesce("place", F.lit(0)) == 0
+    said = F.when(first, F.concat(own, F.coalesce(variants, F.slice(own, 1, 0))))
+    sure, text = F.col("confidence"), replaced_once(F.col("canonical"), F.col("term"), F.col("neighbour"))
+    order = ["place", sure.isNull().alias("unsure"), (~F.isnan(sure)).alias("known"), (-sure).alias("confidence"), "neighbour", "relation"]
+    met = F.when(F.col("neighbour").isNotNull(), F.struct(*order, text.alias("text"), (text != F.col("canonical")).alias("new")))
+    every = probed.select("q_id", said.alias("said"), met.alias("met"))
     if paraphrases is not None:
-        parts.append(part(paraphrases, "llm", F.col("n"), F.col("text")))
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    named = all_.withColumn("text", stripped(F.coalesce("text", F.lit("")))).filter("text <> ''")
-    one = named.groupBy("q_id", "text").agg(F.min(F.struct("k", "n")).alias("at"))
-    placed = one.withColumn("candidate", F.row_number().over(W.partitionBy("q_id").orderBy("at.k", "at.n")) - 1).filter(F.col("candidate") < max(1, most))
-    return placed.select("q_id", "candidate", F.element_at(F.array(*map(F.lit, KINDS)), F.col("at.k") + 1).alias("kind"), "text")
+        every = every.unionByName(paraphrases.select("q_id", F.array(one("llm", F.col("n"), F.col("text"))).alias("said")), allowMissingColumns=True)
+    held = every.repartition(n, "q_id").groupBy("q_id").agg(F.flatten(F.collect_list("said")).alias("said"), F.array_sort(F.collect_list("met")).alias("met"))
+    related = F.transform(F.filter("met", lambda m: m["new"]), lambda m, i: one("kg", i, m["text"]))
+    named = held.withColumn("met", first_of_each(F.col("met"), "neighbour")).withColumn("said", F.concat("said", related))
+    clean = F.transform("said", lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"), stripped(F.coalesce(x["text"], F.lit(""))).alias("text")))
+    placed = named.select("q_id", F.array_sort(clean).alias("said")).select("q_id", F.filter("said", lambda x: x["text"] != "").alias("said"))
+    few = placed.select("q_id", F.posexplode(F.slice(first_of_each(F.col("said"), "text"), 1, max(1, most))).alias("candidate", "s"))
+    return few.select("q_id", "candidate", F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.k") + 1).alias("kind"), "s.text")
 
 
 def multi_candidate_search(queries: DataFrame, strings: DataFrame, docs: DataFrame, id: str = "doc_id", scope: str = "source", n: int = V.TOP) -> DataFrame:

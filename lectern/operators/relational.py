@@ -36,11 +36,16 @@ def either_key(left: DataFrame, right: DataFrame, first: str, second: str, key:
     return left.withColumn(key, F.explode(keys)).join(right, key)
 
 
-def both_ways(edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, neighbour, relation, confidence): the edges of each term, whichever end it is."""
+def ways(edges: DataFrame) -> DataFrame:
+    """(term, neighbour, relation, confidence): every edge from both of its ends."""
     forth = edges.select(F.col("primary_term").alias("term"), F.col("related_term").alias("neighbour"), "relation", "confidence")
     back = edges.filter("primary_term <> related_term").select(F.col("related_term").alias("term"), F.col("primary_term").alias("neighbour"), "relation", "confidence")
-    return forth.union(back).join(terms.select("term").distinct(), "term")
+    return forth.union(back)
+
+
+def both_ways(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, neighbour, relation, confidence): the edges of each term, whichever end it is."""
+    return ways(edges).join(terms.select("term").distinct(), "term")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows that a task sorts at once where a table is dealt out by its number of rows.
+ROWS_EACH = 300_000
 #: The tables that the operators read and write, as DDL.
 SCHEMAS = {
     "uploads": "id string, filename string, sha256 string, size long, mime string, page_count int, status string, created_at timestamp",
@@ -60,9 +62,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
 
 
-def tasks(spark: SparkSession) -> int:
-    """Into how many partitions short rows are dealt that stand for much work: more than the cluster works on at once."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def tasks(spark: SparkSession, rows: int = 0) -> int:
+    """Into how many partitions short rows are dealt that stand for much work: more than the cluster works on at once.
+
+    With a number of ``rows``, none gets more than about ``ROWS_EACH``: by their bytes, which compress well, Spark lays too many together.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_EACH))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

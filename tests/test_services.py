@@ -120,6 +120,15 @@ def test_candidates(spark):
     assert [r.kind for r in X.candidates(queries, edges, more).filter("q_id = 2").orderBy("candidate").collect()] == ["original", "llm"]
 
 
+def test_candidates_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_EACH", 10)
+    queries = spark.range(205).select(F.col("id").alias("q_id"), F.lit("ثبوت ماء").alias("original"), F.lit("ثبوت ماء").alias("canonical"))
+    edges = spark.createDataFrame([("ماء", "b", "r", 0.5), ("ثبوت", "b", "r", 0.1), ("c", "ثبوت", "r", None), ("ثبوت", "a", "r", 0.1), ("ثبوت", "d", "r", 0.9)], S.SCHEMAS["term_relations"])
+    out = X.candidates(queries, edges, most=9)
+    assert out.rdd.getNumPartitions() == 21
+    assert [r.text for r in out.filter("q_id = 7 AND kind = 'kg'").orderBy("candidate").collect()] == ["d ماء", "a ماء", "b ماء", "c ماء"] and out.count() == 205 * 7
+
+
 def test_points_are_replaced_and_deleted(spark):
     points = spark.createDataFrame([("p1", "u1", "c1", True), ("p2", "u1", "c2", None), ("p3", "u2", "c3", False)], "point_id string, upload_id string, chunk_id string, verified boolean")
     new = spark.createDataFrame([("p2", "u1", "n2", True), ("p2", "u1", "n9", True), ("p4", "u1", "n4", True)], points.schema)
