@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import tasks
 from .relational import latest
 from .temporal import micros, ranged, running_totals
 
@@ -37,28 +38,43 @@ def pipeline_jobs(jobs: DataFrame) -> DataFrame:
     return latest(jobs.filter(~F.col("kind").isin(*ANALYSES)), ["upload_id"], [F.desc("created_at"), F.desc("id")]).drop("place")
 
 
-def refusals_to_start(uploads: DataFrame, jobs: DataFrame, documents: DataFrame, chunks: DataFrame, kind: str) -> DataFrame:
-    """(upload_id, refusal) of every upload: why a stage can't begin, null if it can.
+def refusals(uploads: DataFrame, jobs: DataFrame, documents: DataFrame, chunks: DataFrame, kinds: tuple[str, ...] = ANALYSES) -> DataFrame:
+    """(upload_id, stage, refusal) of every upload and stage: why the stage can't begin, null if it can.
 
     A stage that runs isn't begun again. Layout and metadata need a completed extraction, chunking a metadata document
-    too, and indexing a chunk.
+    too, and indexing a chunk. An upload's latest jobs of all kinds are found at once; tables are dealt out by their numbers of rows.
     """
-    now = latest(jobs, ["upload_id", "kind"], [F.desc("created_at"), F.desc("id")])
-    running = now.filter((F.col("kind") == kind) & F.col("status").isin(*IN_FLIGHT)).select("upload_id").distinct().withColumn("_running", F.lit(True))
-    extracted = pipeline_jobs(jobs).filter(F.col("status") == "completed").select("upload_id").withColumn("_extracted", F.lit(True))
-    of = lambda rows, k: rows.join(now.filter(F.col("kind") == k).select("upload_id", F.col("id").alias("job_id")), "job_id", "left_semi")
-    by_job = lambda rows, k, name: now.filter(F.col("kind") == k).select("upload_id", F.col("id").alias("job_id")).join(of(rows, k).select("job_id").distinct(), "job_id").select("upload_id").withColumn(name, F.lit(True))
-    rows = uploads.select(F.col("id").alias("upload_id"))
-    for found in (running, extracted, by_job(documents, "metadata", "_document"), by_job(chunks, "chunking", "_chunk")):
-        rows = rows.join(found, "upload_id", "left")
-    out = F.when(F.col("_running").isNotNull(), "already running")
-    if kind in ("layout", "metadata", "chunking"):
-        out = out.when(F.col("_extracted").isNull(), "no completed extraction")
-    if kind == "chunking":
-        out = out.when(F.col("_document").isNull(), "no metadata document")
-    if kind == "indexing":
-        out = out.when(F.col("_chunk").isNull(), "no chunks")
-    return rows.select("upload_id", out.alias("refusal"))
+    spark = uploads.sparkSession
+    known = tuple(dict.fromkeys((*kinds, "metadata", "chunking")))
+    n = tasks(spark, max(jobs.count(), uploads.count()))
+    newest = lambda which: F.max(F.when(which, F.struct("created_at", "id", "status")))
+    latest_of = [newest(F.col("kind") == k).alias(k) for k in known]
+    held = jobs.repartition(n, "upload_id").groupBy("upload_id").agg(*latest_of, newest(~F.col("kind").isin(*ANALYSES)).alias("_pipeline"))
+    needs = {"metadata": documents, "chunking": chunks}
+    wanted = held.select("upload_id", F.explode(F.array(*[F.struct(F.lit(k).alias("need"), F.col(k)["id"].alias("job_id")) for k in needs])).alias("w")).select("upload_id", "w.*").filter("job_id IS NOT NULL")
+    there = documents.select(F.lit("metadata").alias("need"), "job_id").union(chunks.select(F.lit("chunking").alias("need"), "job_id"))
+    m = tasks(spark, documents.count() + chunks.count())
+    met = wanted.repartition(m, "need", "job_id").join(there.repartition(m, "need", "job_id"), ["need", "job_id"], "left_semi")
+    found = met.repartition(n, "upload_id").groupBy("upload_id").agg(*[F.max(F.col("need") == k).alias(f"_has_{k}") for k in needs])
+    rows = uploads.select(F.col("id").alias("upload_id")).repartition(n, "upload_id").join(held, "upload_id", "left").join(found, "upload_id", "left")
+    lacks = lambda c: ~F.coalesce(c, F.lit(False))
+
+    def refusal(kind: str) -> Column:
+        out = F.when(F.col(kind)["status"].isin(*IN_FLIGHT), "already running")
+        if kind in ("layout", "metadata", "chunking"):
+            out = out.when(lacks(F.col("_pipeline")["status"] == "completed"), "no completed extraction")
+        if kind == "chunking":
+            out = out.when(lacks(F.col("_has_metadata")), "no metadata document")
+        if kind == "indexing":
+            out = out.when(lacks(F.col("_has_chunking")), "no chunks")
+        return out
+
+    return rows.select("upload_id", F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), refusal(k).alias("refusal")) for k in kinds])).alias("r")).select("upload_id", "r.*")
+
+
+def refusals_to_start(uploads: DataFrame, jobs: DataFrame, documents: DataFrame, chunks: DataFrame, kind: str) -> DataFrame:
+    """(upload_id, refusal) of every upload for one stage."""
+    return refusals(uploads, jobs, documents, chunks, (kind,)).drop("stage")
 
 
 def begun(jobs: DataFrame, status: str, now: Column) -> DataFrame:

@@ -108,9 +108,7 @@ SELECT u.id AS upload_id, stage, CASE WHEN EXISTS (SELECT 1 FROM latest l WHERE
   WHEN stage = 'chunking' AND NOT EXISTS (SELECT 1 FROM latest l JOIN documents_of d ON d.job_id = l.id WHERE l.upload_id = u.id AND l.kind = 'metadata') THEN 'no metadata document'
   WHEN stage = 'indexing' AND NOT EXISTS (SELECT 1 FROM latest l JOIN chunks c ON c.job_id = l.id WHERE l.upload_id = u.id AND l.kind = 'chunking') THEN 'no chunks' END AS refusal FROM uploads u, kinds""")
 def stage_refusals(spark, sf_dir):
-    tables = _frames(spark, sf_dir, "uploads", "jobs", "documents_of", "chunks")
-    parts = [J.refusals_to_start(*tables, kind).withColumn("stage", F.lit(kind)) for kind in J.ANALYSES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("upload_id", "stage", "refusal")
+    return J.refusals(*_frames(spark, sf_dir, "uploads", "jobs", "documents_of", "chunks"))
 
 
 @query(f"""{_with('jobs')}, why AS (SELECT upload_id, min(current_step) AS message FROM jobs WHERE status = 'failed' GROUP BY 1)

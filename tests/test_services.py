@@ -165,6 +165,19 @@ def test_stages_begin_when_they_may(spark):
     assert [(r.retry, r.wait) for r in waits] == [(True, 10), (True, 20), (True, 40), (False, None), (False, None), (False, None)]
 
 
+def test_refusals_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_EACH", 10)
+    uploads = spark.range(205).select(F.concat(F.lit("u"), "id").alias("id"))
+    kinds = F.explode(F.array(*map(F.lit, ("initial", "metadata", "chunking")))).alias("kind")
+    jobs = spark.range(205).select("id", kinds).select(F.concat("kind", "id").alias("id"), F.concat(F.lit("u"), "id").alias("upload_id"), "kind", F.lit("completed").alias("status"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
+    documents, chunks = (jobs.filter((F.col("kind") == k) & (F.substring("upload_id", 2, 9).cast("int") < n)).select(F.col("id").alias("job_id")) for k, n in (("metadata", 50), ("chunking", 60)))
+    out = J.refusals(uploads, jobs, documents, chunks)
+    assert out.rdd.getNumPartitions() == 62
+    assert {(r.stage, r.refusal): r["count"] for r in out.groupBy("stage", "refusal").count().collect()} == {
+        ("layout", None): 205, ("metadata", None): 205, ("chunking", None): 50, ("chunking", "no metadata document"): 155, ("indexing", None): 60, ("indexing", "no chunks"): 145,
+    }
+
+
 def test_pages_fan_out(spark):
     span = lambda t, size, font="f": {"text": t, "font": font, "size": size, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, "flags": None}
     box = {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
