@@ -12,11 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, one_space, sentences_for_packing, stripped, token_count
+from ..sources.tables import tasks
 from .layout import PAGE, dominant_font, regions
 from .metadata import heading_level
 
 LEVELS = ("kitab", "bab", "fasl", "topic")
 MOST_TOKENS, OVERLAP = 320, 0.15
+#: Characters of a unit that count as one more row where units are dealt out.
+ROW = 100
 
 
 def _number(level: Column) -> Column:
@@ -35,6 +38,12 @@ def units_of(blocks: DataFrame, contexts: DataFrame, drawings: DataFrame | None
     return known.select("doc_id", unit.alias("unit"), "text", heading_level(F.col("text"), F.col("size"), F.col("font")).alias("level"), "page", "printed")
 
 
+def dealt(units: DataFrame) -> DataFrame:
+    """Units dealt out by document to so many tasks that each sorts a bounded number of units and characters, beyond one document's."""
+    size = units.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    return units.repartition(tasks(units.sparkSession, max(size.n, size.chars // ROW)), "doc_id")
+
+
 def segments(units: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     """Units with ``segment``: its number within the document after all cuts.
 
@@ -44,7 +53,7 @@ def segments(units: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     """
     doc, order = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("unit")
     here = lambda name: F.max((F.col("level") == name).cast("int")).over(doc) == 1
-    df = units.withColumn("_n", F.coalesce(_number(F.col("level")), F.lit(0)).cast("int")).withColumn("_main", F.when(here("bab"), 2).when(here("fasl"), 3).when(here("kitab"), 1).otherwise(0))
+    df = dealt(units).withColumn("_n", F.coalesce(_number(F.col("level")), F.lit(0)).cast("int")).withColumn("_main", F.when(here("bab"), 2).when(here("fasl"), 3).when(here("kitab"), 1).otherwise(0))
     final = F.rtrim("text").rlike("[.؟!؛]$")
     goes_on = F.lag((F.col("_n") == 0) & ~final).over(order)
     turned = F.col("page") != F.lag("page").over(order)

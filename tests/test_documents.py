@@ -117,6 +117,13 @@ def test_oversized_segments_are_cut_at_finer_headings(spark):
     assert {r.unit: r.segment for r in C.segments(df, 10).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3}
 
 
+def test_units_are_dealt_out_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr("lectern.sources.tables.ROWS_EACH", 10)
+    df = spark.range(41).selectExpr("id AS doc_id", "0 AS unit", "repeat('word. ', 100) AS text", "CAST(NULL AS STRING) AS level", "0 AS page", "1 AS printed")
+    assert C.segments(df).rdd.getNumPartitions() == 25 and C.chunks(df).rdd.getNumPartitions() == 25
+    assert C.chunks(df).count() == 41
+
+
 def test_questions_and_facts(spark):
     q = spark.createDataFrame([(0, "Who wrote this?"), (1, "book title please"), (2, "কত পৃষ্ঠা?"), (3, "الناشر من"), (4, "why"), (5, None)], "i int, t string")
     assert [r.x for r in q.select("i", A.intent(F.col("t")).alias("x")).orderBy("i").collect()] == ["author", "title", "page_count", "publisher", "explanation", "explanation"]
