@@ -1,8 +1,10 @@
 """Scores of whole texts under a bitwise context-mixing model and under word counts, both learned from a corpus.
 
-The corpus gives, over all of it: the counts of its tokens, the counts of byte pairs that the model's prefix codes are
-made from, the number of its distinct contexts, by which the predictors' tables are sized, and the counts in their slots. Only the mixer's weights are fitted on a bounded sample, whose
-documents the slots leave out until it is fitted, so that the weights see texts that are new to the predictors.
+All that the model learns comes from counts over the whole corpus: of its tokens and of the heads of its words (``mixing_model.Words``).
+Texts are made of these units, so they give the counts of byte pairs that the model's prefix codes are made from, the number of
+distinct contexts, by which the predictors' tables are sized, the counts in their slots, and the sums by which the mixer's weights are
+fitted on all documents. Documents are dealt to two folds for that: each fold's decisions are met by the slots of the other one's
+documents alone, so that the weights see texts that are new to the predictors. The model that scores has the slots of all.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -19,148 +22,199 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import give_back, materialise, slices, tidied
-from .mixing_model import CONTEXTS, LEAST, Code, Counts, Distinct, Model, count_pairs, joined, packed_logits, slot_bits, word_counts, words_of
+from .mixing_model import CONTEXTS, LEAST, PASSES, REACH, Code, Distinct, Fit, Model, Words, head_bytes, joined, packed_logits, slot_bits, slots, unit_bytes, word_bytes, word_counts, words_of
 
 END_TOKEN = b"\n"
-#: Documents that the mixer is fitted on, a tenth of them at most, and the longest of them in characters.
-SAMPLE, SAMPLE_LENGTH = 600, 20_000
-#: Texts that the model takes at once: so few that its arrays stay in a core's cache.
-RUN = 16
-#: Counts of a piece of the slots' table, and decisions of words that are gathered before they are packed into pieces.
+#: Bytes of texts whose distinct units are worked out together, and units of the corpus that are taken at once.
+TOGETHER, UNITS = 6_000_000, 8192
+#: Counts of a piece of the slots' table, and decisions that are gathered before they are packed into pieces.
 PIECE, GATHERED = 1 << 20, 2_000_000
 #: Tokens in the broadcast table of counts (twelve bytes each), and tokens that a worker remembers.
 FREQUENT, REMEMBERED = 2_500_000, 300_000
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (token, pair, n, last, context): counts of a batch's tokens, of those at a text's end, and of its byte pairs with a null token.
-
-    Rows with a context have a partition's least hashes of that predictor's contexts as pairs.
-    """
-    distinct = Distinct()
+def _together(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows whose texts, in column ``text``, have about TOGETHER bytes, with what the model sees of them."""
     for batch in batches:
-        tokens: Counter[bytes] = Counter()
-        last: Counter[bytes] = Counter()
-        pairs = np.zeros(65536, np.int64)
-        for part in slices([batch], 64):
-            words = [words_of(t) for t in part.column(0).to_pylist()]
-            for w in words:
-                tokens.update(w)
-            last.update(w[-1] for w in words if w)
-            tokens[END_TOKEN] += len(words)
-            texts = [joined(w) for w in words]
-            pairs += count_pairs(texts)
-            distinct.add(texts)
-        seen = np.flatnonzero(pairs)
-        key = [*tokens.keys(), *[None] * len(seen)]
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(np.r_[np.full(len(tokens), -1), seen], pa.int64()), pa.array(np.r_[np.fromiter(tokens.values(), np.int64, len(tokens)), pairs[seen]], pa.int64()), pa.array([*(last[t] for t in tokens), *[0] * len(seen)], pa.int64()), pa.nulls(len(key), pa.int32())], ["token", "pair", "n", "last", "context"])
-    for k, least in enumerate(distinct.least):
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(least), pa.binary()), pa.array(least.astype(np.int64)), pa.array(np.ones(len(least), np.int64)), pa.array(np.zeros(len(least), np.int64)), pa.array(np.full(len(least), k, np.int32))], ["token", "pair", "n", "last", "context"])
-
-
-def _packed(predictor: int, own: bool, index: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts at ascending places of a predictor's table to pieces: the places' steps and the counts, packed.
-
-    ``own`` tells those of the sample's documents from the others."""
+        size = np.cumsum(pc.binary_length(batch.column(text).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False))
+        cut = [*np.flatnonzero(np.diff(size // TOGETHER, prepend=0)).tolist(), batch.num_rows]
+        for a, b in zip([0, *cut], cut):
+            if a < b:
+                part = batch.slice(a, b - a)
+                yield part, [joined(words_of(t)) for t in part.column(text).to_pylist()]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, fold) to (token, head, n, last, n1, last1): counts of tokens, also of those at a text's end, and of heads with a null token; n1 and last1 are of fold 1."""
+    for part, texts in _together(batches, 0):
+        found = Words(texts)
+        fold = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(fold, np.diff(found.begins))
+        count = lambda kind, n: np.bincount(kind * 2 + of, minlength=2 * n).reshape(n, 2)
+        tokens, last = found.tokens()
+        some = np.fromiter(map(bool, tokens), bool, len(tokens))
+        n = count(found.kind, len(tokens))[some]
+        tokens, last = [t for t in tokens if t], last[some][:, None]
+        coded = pa.array(found.heads).dictionary_encode()
+        heads = coded.dictionary.to_numpy().view(np.int64)
+        columns = np.concatenate([np.c_[n, n * last], np.r_[np.bincount(fold, minlength=2), 0, 0][None], np.c_[count(coded.indices.to_numpy(), len(heads)), np.zeros((len(heads), 2), np.int64)]])
+        token = pa.array([*tokens, END_TOKEN, *[None] * len(heads)], pa.binary())
+        head = pa.array(np.r_[np.zeros(len(tokens) + 1, np.int64), heads], pa.int64(), mask=np.arange(len(token)) <= len(tokens))
+        n0, n1, last0, last1 = columns.T
+        yield pa.RecordBatch.from_arrays([token, head, *(pa.array(x) for x in (n0 + n1, last0 + last1, n1, last1))], ["token", "head", "n", "last", "n1", "last1"])
+
+
+def _units(batches: Iterator[pa.RecordBatch], fold: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Counted tokens and heads to units laid end to end, their first positions, and how often each occurs in either fold. Words that are all in their heads have none; with a ``fold`` only its own."""
+    for batch in slices(batches, UNITS):
+        whole, all_last, n1, last1 = (c.to_numpy() for c in batch.columns[2:])
+        n, last = np.c_[whole - n1, n1], np.c_[all_last - last1, last1]
+        token = np.asarray(batch.column(0).is_valid())
+        if not token.all():
+            yield *head_bytes(batch.column(1).filter(pa.array(~token)).to_numpy()), n[~token]
+        words, at = batch.column(0).to_pylist(), np.flatnonzero(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False) >= REACH)
+        for mark, times in ((b" ", n - last), (b"\n", last)):
+            some = [i for i in at[(times[at].any(axis=1) if fold is None else times[at, fold] > 0)].tolist()]
+            if some:
+                yield *word_bytes([words[i] + mark for i in some]), times[some]
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units to (context, pair, n): how often byte pairs occur, and of each predictor the partition's least hashes of contexts and next bytes."""
+    distinct, pairs = Distinct(), np.zeros(65536, np.int64)
+    for data, begins, times in _units(batches):
+        pair, byte, hashes, bounds = unit_bytes(data, begins)
+        np.add.at(pairs, pair, np.repeat(times.sum(axis=1), np.diff(bounds)))
+        distinct.add_bytes(byte, hashes)
+    seen = np.flatnonzero(pairs)
+    for k, key, n in ((-1, seen, pairs[seen]), *((k, x.astype(np.int64), np.ones(len(x), np.int64)) for k, x in enumerate(distinct.least))):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(n)], ["context", "pair", "n"])
+
+
+def _packed(predictor: int, index: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of both folds at ascending places of a predictor's table to pieces: the places' steps and the counts, packed."""
     pack = zstandard.ZstdCompressor(level=1)
     cut = np.searchsorted(index, np.arange(0, (int(index[-1]) // PIECE + 2) * PIECE, PIECE)) if len(index) else []
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-    body = [pack.compress(np.diff(index[a:b] - i * PIECE, prepend=0).astype(np.int32).tobytes() + count[a:b].astype(np.int32).tobytes()) for i, a, b in rows]
-    yield pa.RecordBatch.from_arrays([pa.array([predictor << 20 | i for i, _, _ in rows], pa.int64()), pa.array([own] * len(rows), pa.bool_()), pa.array(body, pa.binary())], ["piece", "own", "body"])
+    body = [pack.compress(np.diff(index[a:b] - i * PIECE, prepend=0).astype(np.int32).tobytes() + count[:, a:b].astype(np.int32).tobytes()) for i, a, b in rows]
+    yield pa.RecordBatch.from_arrays([pa.array([predictor << 20 | i for i, _, _ in rows], pa.int64()), pa.array(body, pa.binary())], ["piece", "body"])
 
 
-def _text_slots(code: Code, bits: list[int]):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(text, own) to packed pieces of the slots' counts, one set each of the sample's and the others for a whole partition."""
-        counts: dict[bool, Counts] = {}
-        for batch in slices(batches, RUN):
-            texts = [joined(words_of(t)) for t in batch.column(0).to_pylist()]
-            mine = batch.column(1).to_pylist()
-            for own in set(mine):
-                counts.setdefault(own, Counts(tuple(bits[:-1]))).add([t for t, m in zip(texts, mine) if m == own], code)
-        for own, held in counts.items():
-            for k, part in enumerate(held.parts()):
-                index = np.flatnonzero(part)
-                yield from _packed(k, own, index, part[index])
-
-    return rows
-
-
-def _word_slots(code: Code, bits: list[int], sample: Counter[bytes], sample_last: Counter[bytes]):
-    def packed(own: bool, gathered: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        index, weight = (np.concatenate(x) for x in zip(*gathered))
+def _slotted(code: Code, bits: list[int]):
+    def packed(predictor: int, gathered: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        index, times = (np.concatenate(x) for x in zip(*gathered))
         gathered.clear()
-        order = np.argsort(index)
-        index, weight = index[order], weight[order]
+        # Places and their order in one number, which sorts faster than places alone can be put in order.
+        room = len(index).bit_length()
+        key = np.sort(index << room | np.arange(len(index)))
+        index, times = key >> room, times.take(key & (1 << room) - 1, axis=0)
         new = np.flatnonzero(np.r_[True, index[1:] != index[:-1]][: len(index)])
         if len(new):
-            yield from _packed(len(bits), own, index[new], np.minimum(np.add.reduceat(weight, new), 1 << 30))
+            yield from _packed(predictor, index[new], np.minimum(np.add.reduceat(times, new), 1 << 30).T)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens (token, n, last) to pieces of the counts in the slots of the predictor of words, the sample's apart."""
-        held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
-        for batch in slices(batches, 4096):
+        """Units to pieces of the counts in the slots of all predictors. That of words takes whole tokens, each as if a space stood before it."""
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(1, len(bits) + 1)}
+        direct = np.zeros((2, 2 * code.nodes), np.int64)
+
+        def full(least: int) -> Iterator[pa.RecordBatch]:
+            for k, gathered in held.items():
+                if gathered and sum(len(i) for i, _ in gathered) > least:
+                    yield from packed(k, gathered)
+
+        for batch in slices(batches, UNITS):
+            for data, begins, times in _units([batch]):
+                pair, _, hashes, bounds = unit_bytes(data, begins)
+                at, step, _ = code.walk(pair)
+                node, bit = (step >> 1).astype(np.uint64), (step & 1).astype(np.int64)
+                often = np.repeat(times, np.diff(bounds), axis=0)[at]
+                for fold in (0, 1):
+                    direct[fold] += np.bincount(step, often[:, fold], direct.shape[1]).astype(np.int64)
+                for k, h in enumerate(hashes[:-1]):
+                    held[k + 1].append((slots(h, at, node, bits[k]) * 2 + bit, often))
             words = batch.column(0).to_pylist()
-            mine, mine_last = (np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in (sample, sample_last))
-            times, last = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for own, n, ends in ((False, times - mine, last - mine_last), (True, mine, mine_last)):
-                keep = [i for i, w in enumerate(words) if n[i] > 0 and w != END_TOKEN]
-                held[own].extend(word_counts([words[i] for i in keep], n[keep], ends[keep], code, bits[-1]))
-                if sum(len(i) for i, _ in held[own]) > GATHERED:
-                    yield from packed(own, held[own])
-        for own, gathered in held.items():
-            if gathered:
-                yield from packed(own, gathered)
+            n, last, n1, last1 = (c.to_numpy() for c in batch.columns[2:])
+            for fold, (often, ends) in enumerate(((n - n1, last - last1), (n1, last1))):
+                some = [i for i, w in enumerate(words) if w is not None and w != END_TOKEN and often[i]]
+                for index, weight in word_counts([words[i] for i in some], often[some], ends[some], code, bits[-1]):
+                    held[len(bits)].append((index, np.c_[weight, 0 * weight] if fold == 0 else np.c_[0 * weight, weight]))
+            yield from full(GATHERED)
+        yield from full(0)
+        some = np.flatnonzero(direct.any(axis=0))
+        yield from _packed(0, some, np.minimum(direct[:, some], 1 << 30))
 
     return rows
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces to the packed logits of their sums: ``fit`` without the sample's counts, and ``body`` with all."""
-    held: dict[tuple[int, bool], np.ndarray] = {}
+    """Pieces to the packed logits of their sums: ``fit0`` and ``fit1`` of either fold's counts, and ``body`` of all."""
+    held: dict[int, np.ndarray] = {}
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for k, own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            step, count = np.frombuffer(unpack.decompress(body.as_buffer()), np.int32).reshape(2, -1)
-            if (k, own) not in held:
-                held[k, own] = np.zeros(PIECE, np.int64)
-            held[k, own][np.cumsum(step)] += count
-    none = np.zeros(PIECE, np.int64)
-    for k in {k for k, _ in held}:
-        rest, mine = held.pop((k, False), none), held.pop((k, True), none)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([packed_logits(x).tobytes()], pa.binary()) for x in (rest, rest + mine))], ["piece", "fit", "body"])
-
-
-def learn_model(texts: DataFrame, tokens: DataFrame, pairs: np.ndarray, bits: list[int], n: int) -> Model:
-    """The model of the n texts (id, text), whose tokens are counted in (token, n, last), with 2 ** ``bits`` slots for the hashed predictors."""
-    eligible = texts.filter(F.length("text").between(1, SAMPLE_LENGTH))
-    sample = eligible.select("id").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, n // 10)).distinct()
-    sample = materialise(sample, "sample")
+        for k, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            step, *count = np.frombuffer(unpack.decompress(body.as_buffer()), np.int32).reshape(3, -1)
+            if k not in held:
+                held[k] = np.zeros((2, PIECE), np.int64)
+            at = np.cumsum(step)
+            for fold, n in enumerate(count):
+                held[k][fold, at] += n
+    for k in list(held):
+        sums = held.pop(k)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([packed_logits(x).tobytes()], pa.binary()) for x in (*sums, sums.sum(axis=0)))], ["piece", "fit0", "fit1", "body"])
+
+
+def _fitted(units: DataFrame, models: list, start: np.ndarray) -> np.ndarray:
+    """The weights that fit all units best, those of a fold met by the other's model; ``models`` are broadcast."""
+    fit = Fit(start)
+
+    def sums(weights: np.ndarray, fold: int):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, total = models[1 - fold].value, 0
+            for data, begins, times in _units(batches, fold):
+                total = total + model.unit_sums(data, begins, times[:, fold], weights)
+            value = np.ravel(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value))), pa.array(value.astype(np.float64))], ["place", "value"])
+
+        return rows
+
+    for _ in range(PASSES):
+        parts = [units.filter("n > n1" if fold == 0 else "n1 > 0").mapInArrow(tidied(sums(fit.next, fold)), "place long, value double") for fold in (0, 1)]
+        found = parts[0].unionByName(parts[1]).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        k = start.shape[1]
+        total = np.zeros(start.shape[0] * (1 + k + k * k))
+        place = found.column(0).to_numpy()
+        total[place[place < len(total)]] = found.column(1).to_numpy()[place < len(total)]
+        if not fit.take(total.reshape(start.shape[0], -1)):
+            break
+    return fit.best.astype(np.float32)
+
+
+def learn_model(units: DataFrame, pairs: np.ndarray, bits: list[int]) -> Model:
+    """The model of the corpus whose tokens and heads are counted in ``units``, with 2 ** ``bits`` slots for the hashed predictors."""
     code = Code(pairs.reshape(256, 256))
-    # The sample's ids are few by its bound, and so are its words.
-    chosen = texts.join(F.broadcast(sample), "id").orderBy("id", "text").select("text").toArrow().column(0).to_pylist()
-    own = [words_of(t) for t in chosen]
-    sample_words, sample_last = Counter(w for words in own for w in words), Counter(words[-1] for words in own if words)
-    marked = texts.join(F.broadcast(sample.withColumn("own", F.lit(True))), "id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
-    schema = "piece long, own boolean, body binary"
-    some = marked.mapInArrow(tidied(_text_slots(code, bits)), schema).union(tokens.select("token", "n", "last").mapInArrow(tidied(_word_slots(code, bits, sample_words, sample_last)), schema))
-    slots = materialise(some.repartition("piece").mapInArrow(tidied(_summed), "piece long, fit binary, body binary"), "slots")
+    context = units.sparkSession.sparkContext
+    slots = materialise(units.mapInArrow(tidied(_slotted(code, bits)), "piece long, body binary").repartition("piece").mapInArrow(tidied(_summed), "piece long, fit0 binary, fit1 binary, body binary"), "slots")
     empty = packed_logits(np.zeros(2, np.int32))[0]
-    model = Model(code, [np.full(n, empty, np.int16) for n in (65536, *[1 << b for b in bits])])
 
-    def fill(column: str) -> None:
+    def filled(column: str) -> Model:
+        model = Model(code, [np.full(n, empty, np.int16) for n in (65536, *[1 << b for b in bits])])
         for k, body in slots.select("piece", column).toLocalIterator():
             part = np.frombuffer(body, np.int16)
             at = (k & (1 << 20) - 1) * PIECE // 2
             table = model.tables[k >> 20]
             table[at : at + len(part)] = part[: len(table) - at]
-
-    fill("fit")
-    fitted = [joined(w) for w in own]
-    del chosen, own, sample_words, sample_last
-    model.train(fitted)
-    give_back()
-    fill("body")
+        return model
+
+    models = []
+    for column in ("fit0", "fit1"):
+        models.append(context.broadcast(filled(column)))
+        give_back()
+    start = np.full((Model.GATES, 1 + len(bits)), 1 / (1 + len(bits)))
+    weights = _fitted(units, models, start)
+    for m in models:
+        m.destroy()
+    model = filled("body")
+    model.weights = weights
     return model
 
 
@@ -228,32 +282,35 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
     it lacks none. Other occurrences are dealt out to their counts.
     """
     rows = docs.select(F.col(id).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    learned = rows.filter(~F.col("held_out")).select("id", "text")
-    counted = materialise(learned.select("text").mapInArrow(tidied(_counted), "token binary, pair long, n long, last long, context int").groupBy("token", "pair", "context").agg(F.sum("n").alias("n"), F.sum("last").alias("last")), "tokens")
-    tokens = counted.filter("token is not null").select("token", "n", "last")
+    learned = rows.filter(~F.col("held_out")).select("text", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold"))
+    counts = [F.sum(c).alias(c) for c in ("n", "last", "n1", "last1")]
+    units = materialise(learned.mapInArrow(tidied(_counted), "token binary, head long, n long, last long, n1 long, last1 long").groupBy("token", "head").agg(*counts), "units")
+    tokens = units.filter("token is not null").select("token", "n", "last")
+    survey = materialise(units.mapInArrow(tidied(_surveyed), "context int, pair long, n long").groupBy("context", "pair").agg(F.sum("n").alias("n")), "survey")
     pairs = np.zeros(65536, np.int64)
-    for r in counted.filter("token is null and context is null").collect():
+    for r in survey.filter("context = -1").collect():
         pairs[r.pair] = r.n
-    least = [counted.filter(F.col("context") == k).select("pair").orderBy("pair").limit(LEAST).toArrow().column(0).to_numpy() for k in range(len(CONTEXTS))]
+    least = [survey.filter(F.col("context") == k).select("pair").orderBy("pair").limit(LEAST).toArrow().column(0).to_numpy() for k in range(len(CONTEXTS))]
     bits = [slot_bits(k, x) for k, x in enumerate(least)]
     seen = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = (tokens.filter(F.col("token") == F.lit(END_TOKEN)).agg(F.max("n")).first()[0]) or 0
     share = float(np.log10(seen.n + seen.v + 1))
     table = TokenCounts(tokens)
     context = docs.sparkSession.sparkContext
-    counts, model = context.broadcast(table), context.broadcast(learn_model(learned, tokens, pairs, bits, ends))
+    counts, model = context.broadcast(table), context.broadcast(learn_model(units, pairs, bits))
     least = table.least
     del table
     give_back()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Remembered(counts.value)
-        for batch in slices(batches, 1024):
-            texts = [words_of(t) for t in batch.column(4).to_pylist()]
-            found = find([*texts, [END_TOKEN]])
+        for part, texts in _together(batches, 4):
+            words = Words(texts)
+            tokens, _ = words.tokens()
+            found = find([tokens, [END_TOKEN]])
+            of_kind = np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens))
             n, known, total, asked = [], [], [], []
-            for words, held in zip(texts, batch.column(1).to_pylist()):
-                c = np.fromiter(map(found.__getitem__, [*words, END_TOKEN]), np.int64, len(words) + 1)
+            for own, a, b, held in zip(texts, words.begins, words.begins[1:], part.column(1).to_pylist()):
+                c = np.r_[of_kind[words.kind[a:b]] if own else [], found[END_TOKEN]].astype(np.int64)
                 rare: list[dict] = []
                 missing = c < 0
                 if missing.any():
@@ -261,15 +318,16 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
                         c[missing] = least - 1
                     else:
                         where = np.flatnonzero(missing)
-                        rare = [{"token": t, "times": k} for t, k in Counter(words[i] if i < len(words) else END_TOKEN for i in where).items()]
+                        own = own.split()
+                        rare = [{"token": t, "times": k} for t, k in Counter(own[i] if i < len(own) else END_TOKEN for i in where).items()]
                         c[missing] = 0
                 n.append(len(c))
                 known.append(int((c > 0).sum()))
                 total.append(float(np.log10(c + 1.0).sum()))
                 asked.append(rare)
-            points = np.concatenate([model.value.log10([joined(w) for w in texts[i : i + RUN]]) for i in range(0, len(texts), RUN)])
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(points, pa.float64()), pa.array(asked, pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["id", "held_out", "_k1", "_k2", "n_tokens", "known", "logs", "score", "rare"])
+            del found
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(model.value.scores(words), pa.float64()), pa.array(asked, pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], ["id", "held_out", "_k1", "_k2", "n_tokens", "known", "logs", "score", "rare"])
 
     keyed = rows.select("id", "held_out", F.xxhash64("id", "text").alias("_k1"), F.xxhash64("text", F.lit(1)).alias("_k2"), "text")
     rare_kind = ArrayType(StructType().add("token", "binary").add("times", "long"))

@@ -664,3 +664,34 @@ def test_members_of_heavy_lists_travel_without_their_prefixes(spark, monkeypatch
     docs = spark.createDataFrame([(i, f"w{i} {body}") for i in range(40)], "doc_id long, text string")
     assert {r.component_id for r in jaccard.jaccard_classes(docs).collect()} == {0}
     assert set(written["postings"]) == {"id", "n", "rare", "token"} and not {"light", "dense"} & set(written["tiles"])
+
+
+def test_weights_are_fitted_on_every_document(spark, monkeypatch):
+    """The mixer's weights against plain sums over all texts, also one of over 20,000 characters, each met by the other fold's slots."""
+    from lectern.llm.mixing_model import PASSES, Fit
+
+    texts = [prose(i, 30 + 10 * (i % 7)).replace("\n", " ") for i in range(50)] + [prose(99, 5000).replace("\n", " "), "", "a", "ab c", "\x00 é日本"]
+    kept, learn = {}, scoring.learn_model
+    monkeypatch.setattr(scoring, "learn_model", lambda *a: kept.setdefault("model", learn(*a)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scoring.score(docs, F.lit(False)).count()
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("f")).collect()}
+    data = [[b" ".join(words_of(t)) for i, t in enumerate(texts) if fold[i] == f] for f in (0, 1)]
+    code, models = Code(sum(count_pairs(d) for d in data).reshape(256, 256)), []
+    for d in data:
+        counts = Counts()
+        counts.add(d, code)
+        times, ends = Counter(w for t in d for w in t.split()), Counter(t.split()[-1] for t in d if t)
+        counts.add_words(list(times), np.array(list(times.values())), code, np.array([ends[w] for w in times]))
+        models.append(Model(code, [packed_logits(c) for c in counts.parts()]))
+    fit = Fit(models[0].weights)
+    for _ in range(PASSES):
+        sums = 0
+        for d, model in zip(data, models[::-1]):
+            for t in d:
+                logits, gate, bit, _ = model._inputs([t])
+                sums = sums + model.sums(logits, gate, bit, np.ones(len(bit)), fit.next)
+        if not fit.take(sums):
+            break
+    assert np.abs(fit.best - 0.25).max() > 0.1
+    assert np.allclose(kept["model"].weights, fit.best, atol=1e-3)
