@@ -11,6 +11,7 @@ from ..operators import answers as A
 from ..operators import chunking as C
 from ..operators import layout as Y
 from ..operators import metadata as M
+from ..sources.tables import stored, tasks
 from .catalog import _DENSE, _FUSED, _POSTINGS, _SPARSE, ORACLES, query, read, rrf_fuse
 
 _STOP = ", ".join(f"'{w}'" for w in A.STOPWORDS)
@@ -173,11 +174,12 @@ s AS (SELECT q_id, chunk_id, list_distinct(regexp_extract_all(lower(question), '
 h AS (SELECT *, len(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: list_contains(q, w) AND NOT list_contains([{_STOP}], w))) AS hits FROM s)
 SELECT q_id, chunk_id, sentence, CAST(hits AS INTEGER) AS hits FROM h QUALIFY row_number() OVER (PARTITION BY q_id, chunk_id ORDER BY hits DESC, i) = 1""")
 def best_sentence(spark, sf_dir):
-    """The pairs are the fused hits of all questions."""
+    """The pairs are the fused hits of all questions; each text that is hit is cut into sentences and words once."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    hits = stored(rrf_fuse(spark, sf_dir).select("q_id", F.col("doc_id").alias("chunk_id")), "hits")
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = rrf_fuse(spark, sf_dir).select("q_id", F.col("doc_id").alias("chunk_id"))
-    return A.best_sentences(hits.join(b, "q_id").join(d, "chunk_id"))
+    some = stored(d.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").repartition(tasks(spark)).select("chunk_id", A.told(F.col("text")).alias("told")), "told")
+    return A.best_sentences(hits.join(b, "q_id").repartition(tasks(spark)).join(some, "chunk_id"))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS q_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, l_discount * 8 AS s, l_shipmode AS topic, l_linestatus = 'F' AS verified FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem)),

@@ -133,6 +133,24 @@ def test_questions_and_facts(spark):
     assert [(r.sentence, r.hits) for r in A.best_sentences(pairs).collect()] == [("Water is pure.", 2)]
 
 
+def test_texts_that_are_hit_are_cut_once(spark, monkeypatch):
+    """Only texts that are hit go on, one row each, however many questions hit them; the sentences are those of pairs with texts."""
+    from lectern.plans import documents
+
+    made = [(i, f"Water {i} is pure. Fire {i} burns. Pure water it is.") for i in range(6)]
+    texts = spark.createDataFrame(made, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "pure water"), (2, "fire burns 3")], "item_id int, text string")
+    found = spark.createDataFrame([(1, 0), (1, 3), (2, 3)], "q_id int, doc_id long")
+    written, keep = {}, documents.stored
+    monkeypatch.setattr(documents, "stored", lambda df, name: written.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(documents, "read", lambda spark, sf_dir, table: {"documents": texts, "benchmark": asked}[table])
+    monkeypatch.setattr(documents, "rrf_fuse", lambda spark, sf_dir: found)
+    got = sorted(map(tuple, documents.best_sentence(spark, "").collect()))
+    pairs = spark.createDataFrame([(q, i, {1: "pure water", 2: "fire burns 3"}[q], made[i][1]) for q, i in ((1, 0), (1, 3), (2, 3))], "q_id int, chunk_id long, question string, text string")
+    assert got == sorted(map(tuple, A.best_sentences(pairs).collect())) and len(got) == 3
+    assert sorted(r.chunk_id for r in written["told"].collect()) == [0, 3]
+
+
 def test_confidence_levels(spark):
     rows = [(1, r, 0.7, "t", "", True) for r in (1, 2, 3)] + [(2, 1, 0.4, "t", "", False), (2, 2, 0.1, "u", "", False), (3, 1, 0.1, None, " ", None)]
     got = {r.q_id: (r.level, r.agreement) for r in A.confidence(spark.createDataFrame(rows, "q_id int, rank int, rerank_score double, topic string, kitab string, verified boolean")).collect()}
