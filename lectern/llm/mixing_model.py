@@ -34,8 +34,10 @@ REACH, MARKS = 4, b"\n" * 4
 LEAST = 1024
 #: Decisions of a text's first segment and of its longest ones, to which they double, and the rate of the online refinement.
 FIRST, SEGMENT, RATE = 256, 4096, 0.1
-#: Passes that fit the mixer's weights at most, the share of the loss that another must promise, and the pull towards the start.
-PASSES, PROMISE, PULL = 8, 1e-3, 1.0
+#: Passes that fit the mixer's weights at most, the share of the loss that another must promise, the pull towards the start, and the length of a gate's longest step.
+PASSES, PROMISE, PULL, STRIDE = 8, 1e-3, 1.0, 1.0
+#: Loss (in nats) by which a part of the units tells where a gate's weights begin.
+ENOUGH = 1000.0
 #: Units that are worked out at once, and texts whose decisions are laid out at once.
 UNITS, RUN = 8192, 16
 
@@ -115,28 +117,39 @@ def contexts(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, list[np.
     four = two | back[2] << np.uint64(16) | back[3] << np.uint64(24)
     # The word so far: a rolling sum from the word's first byte on, which doesn't depend on what stands before it.
     fresh = (data == 32) | (data == END)
-    power = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((x + np.uint64(0x51ED27)) * power[0][:n], out=total[1:])
     first = np.zeros(n, np.int64)
     after = np.flatnonzero(fresh) + 1
     first[after[after < n]] = after[after < n]
     first[begins] = begins
     first = np.maximum.accumulate(first)
-    now = np.arange(n)
-    word = (total[now] - total[first]) * power[1][first] + (now - first).astype(np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    hashed = [(h + np.uint64(k + 1)) * mix for k, h in enumerate((two, four, word))]
-    return one.astype(np.int64), [h ^ (h >> np.uint64(29)) for h in hashed]
+    return one.astype(np.int64), [_hashed(k, h) for k, h in enumerate((two, four, _rolled(data, np.arange(n), first)))]
+
+
+def _rolled(data: np.ndarray, now: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rolling sums of the bytes from the positions ``first`` on and before the positions ``now``."""
+    n = len(data)
+    power = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data + np.uint64(ROLLED)) * power[0][:n], out=total[1:])
+    return (total[now] - total[first]) * power[1][first] + (now - first).astype(np.uint64)
+
+
+def _hashed(k: int, context: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts of the hashed predictor ``k``."""
+    h = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
 
 
+#: What the rolling sum adds to a byte, and its base.
+ROLLED, BASE = 0x51ED27, 0xD1342543DE82EF95
 _POWER: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWER or len(_POWER[0]) < n:
         size = 1 << max(20, int(n).bit_length())
-        base, inverse = np.full(size, 0xD1342543DE82EF95, np.uint64), np.full(size, pow(0xD1342543DE82EF95, -1, 1 << 64), np.uint64)
+        base, inverse = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
         base[0] = inverse[0] = 1
         _POWER[:] = [np.multiply.accumulate(base), np.multiply.accumulate(inverse)]
     return _POWER
@@ -144,7 +157,11 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def slots(h: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """The slot of each decision: a product of the context's hash with the node's."""
-    return ((h[at] + node) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    place = h.take(at)
+    place += node
+    place *= np.uint64(0xBF58476D1CE4E5B9)
+    place >>= np.uint64(64 - bits)
+    return place.view(np.int64)
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,32 +211,68 @@ class Words:
         return [w[:-REACH] if z else w[:-1] for w, z in zip(self.kinds, last)], last
 
 
-def head_bytes(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Heads laid end to end, and their first positions."""
+@dataclass
+class Units:
+    """Units' own bytes: each with the one before it as a pair (before * 256 + byte), the other contexts' hashes, and where each unit's begin, with the number of all."""
+
+    pair: np.ndarray
+    hashes: list[np.ndarray]
+    bounds: np.ndarray
+
+
+def _own_bytes(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads as rows of bytes, and how many of the last REACH ones are a head's own."""
     b = heads.astype("<u8").view(np.uint8).reshape(-1, 2 * REACH)
     stop = (b[:, REACH:] == 32) | (b[:, REACH:] == END)
-    n = REACH + np.where(stop.any(axis=1), stop.argmax(axis=1) + 1, REACH)
-    return b[np.arange(2 * REACH) < n[:, None]], np.cumsum(n) - n
+    return b, np.where(stop.any(axis=1), stop.argmax(axis=1) + 1, REACH)
+
+
+def head_pairs(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and bounds of heads, as in ``Units``."""
+    b, n = _own_bytes(heads)
+    own = np.arange(REACH) < n[:, None]
+    return b[:, REACH - 1 : -1][own] * np.int64(256) + b[:, REACH:][own], np.r_[0, np.cumsum(n)]
 
 
-def word_bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words with one byte that ends each, laid end to end, and their first positions."""
+def head_units(heads: np.ndarray) -> Units:
+    """Heads as units. Their words begin after the first REACH bytes, so that the contexts are parts of the number, and sums of few bytes."""
+    b, n = _own_bytes(heads)
+    own = np.arange(REACH) < n[:, None]
+    turned = heads.astype(np.uint64).byteswap()
+    four = np.stack([turned >> np.uint64(8 * (REACH - j)) & np.uint64(0xFFFFFFFF) for j in range(REACH)], axis=1)[own]
+    word = np.zeros((len(heads), REACH), np.uint64)
+    for j in range(1, REACH):
+        word[:, j] = word[:, j - 1] + (b[:, REACH + j - 1] + np.uint64(ROLLED)) * np.uint64(pow(BASE, j - 1, 1 << 64)) + np.uint64(1)
+    pair = (four & np.uint64(255)).astype(np.int64) * 256 + b[:, REACH:][own]
+    return Units(pair, [_hashed(k, h) for k, h in enumerate((four & np.uint64(0xFFFF), four, word[own]))], np.r_[0, np.cumsum(n)])
+
+
+def word_bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with one byte that ends each, laid end to end, their lengths, and the first positions of the words that the bytes are of."""
     n = np.fromiter(map(len, words), np.int64, len(words))
-    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n
+    return np.frombuffer(b"".join(words), np.uint8), n, np.repeat(np.cumsum(n) - n, n)
+
 
+def _rest(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words' bytes, the positions of those after the first REACH of each, the first positions of their words, and where each word's begin among them."""
+    data, n, first = word_bytes(words)
+    own = np.flatnonzero(np.arange(len(data)) - first >= REACH)
+    return data, own, first[own], np.r_[0, np.cumsum(np.maximum(n - REACH, 0))]
 
-def own_bytes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the bytes of heads or words that are their units' own, and where each unit's begin among them, with the number of all."""
-    bounds = np.r_[begins, len(data)]
-    own = np.flatnonzero(np.arange(len(data)) - np.repeat(begins, np.diff(bounds)) >= REACH)
-    return own, np.searchsorted(own, bounds)
 
+def word_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and bounds of words, as in ``Units``."""
+    data, own, _, bounds = _rest(words)
+    return data[own - 1] * np.int64(256) + data[own], bounds
 
-def unit_bytes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of units' own bytes: pairs (before * 256 + byte), the bytes, the other contexts' hashes; and where each unit's begin, with the number of all."""
-    one, hashes = contexts(data, begins)
-    own, bounds = own_bytes(data, begins)
-    return one[own] * 256 + data[own], data[own], [h[own] for h in hashes], bounds
+
+def word_units(words: list[bytes]) -> Units:
+    """The rests of words after their heads as units; those of shorter words are empty."""
+    data, own, first, bounds = _rest(words)
+    around = np.ndarray(max(len(data) - REACH + 1, 0), "<u4", data, 0, (1,))
+    four = around[own - REACH].byteswap().astype(np.uint64)
+    pair = (four & np.uint64(255)).astype(np.int64) * 256 + data[own]
+    return Units(pair, [_hashed(k, h) for k, h in enumerate((four & np.uint64(0xFFFF), four, _rolled(data, own, first)))], bounds)
 
 
 class Distinct:
@@ -249,29 +302,28 @@ def slot_bits(k: int, least: np.ndarray) -> int:
 
 
 def word_decisions(words: list[bytes], inside: np.ndarray, after: np.ndarray, mark: bytes, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of counts of the predictor of words, as 2 * slot + bit, with the counts of distinct words and of a mark after them."""
-    data = np.frombuffer(b"".join([b" " + w + mark for w in words]), np.uint8)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    begins = np.cumsum(lengths) - lengths
-    one, hashes = contexts(data, begins)
-    weight = np.repeat(inside, lengths)
-    weight[begins] = 0
-    weight[begins + lengths - 1] = after
-    at, step, _ = code.walk(one * 256 + data)
-    weight = weight[at]
-    some = weight > 0
-    node, bit = (step >> 1).astype(np.uint64), (step & 1).astype(np.int64)
-    index = slots(hashes[-1], at, node, bits) * 2 + bit
+    """Places of counts of the predictor of words, as 2 * slot + bit, with the counts of distinct words and of a mark after them. Counts may have several columns."""
+    data, lengths, first = word_bytes([w + mark for w in words])
+    now = np.arange(len(data))
+    before = np.where(now == first, np.uint8(32), np.r_[np.uint8(32), data[:-1]])
+    weight = np.repeat(inside, lengths, axis=0)
+    weight[np.cumsum(lengths) - 1] = after
+    at, step, _ = code.walk(before * np.int64(256) + data)
+    weight = weight.take(at, axis=0)
+    some = weight.reshape(len(weight), -1).any(axis=1)
+    node, bit = (step >> 1).astype(np.uint64), step & 1
+    index = slots(_hashed(len(CONTEXTS) - 1, _rolled(data, now, first)), at, node, bits) * 2 + bit
     return index[some], np.minimum(weight[some], 1 << 30)
 
 
 def word_counts(words: list[bytes], times: np.ndarray, ends: np.ndarray, code: Code, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Decisions of distinct words that occur ``times``, ``ends`` of which at a text's end."""
-    if words:
-        yield word_decisions(words, times, times - ends, b" ", code, bits)
-    last = np.flatnonzero(ends)
+    """Decisions of distinct words that occur ``times``, ``ends`` of which at a text's end; both may have several columns."""
+    if not words:
+        return
+    yield word_decisions(words, times, times - ends, b" ", code, bits)
+    last = np.flatnonzero(ends.reshape(len(words), -1).any(axis=1))
     if len(last):
-        yield word_decisions([words[i] for i in last], np.zeros(len(last), np.int64), ends[last], b"\n", code, bits)
+        yield word_decisions([words[i] for i in last], np.zeros_like(ends[last]), ends[last], b"\n", code, bits)
 
 
 @dataclass
@@ -316,10 +368,11 @@ def packed_logits(count: np.ndarray) -> np.ndarray:
 
 
 class Fit:
-    """Weights of gates that lessen a loss: Newton steps by sums over all decisions, halved for a gate whose loss grew."""
+    """Weights of gates that lessen a loss: Newton steps by sums over all decisions, halved for a gate whose loss grew. They begin at ``begin`` and are pulled to ``start``."""
 
-    def __init__(self, start: np.ndarray):
-        self.start, self.best, self.next = start.astype(np.float64), start.astype(np.float64), start.astype(np.float64)
+    def __init__(self, start: np.ndarray, begin: np.ndarray | None = None):
+        begin = start if begin is None else begin
+        self.start, self.best, self.next = start.astype(np.float64), begin.astype(np.float64), begin.astype(np.float64)
         self.loss = np.full(len(start), np.inf)
 
     def take(self, sums: np.ndarray) -> bool:
@@ -333,12 +386,18 @@ class Fit:
         slope = sums[:, 1 : k + 1] + PULL * away
         step = -np.linalg.solve(sums[:, k + 1 :].reshape(-1, k, k) + PULL * np.eye(k), slope[:, :, None])[:, :, 0]
         promised = np.where(better, -(slope * step).sum(axis=1) / 2, 0).sum()
+        # A gate with few decisions, all of them sure, would take a step far beyond them.
+        step *= np.minimum(1, STRIDE / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-9))
         more = bool(promised + worse > PROMISE * self.loss.sum())
         self.next = np.where(better[:, None], self.next + step, (self.best + self.next) / 2 if more else self.best)
         if not more:
             self.best = self.next
         return more
 
+    def begin(self) -> np.ndarray:
+        """Where a fit over more units begins: at the best weights of gates that lost ENOUGH here."""
+        return np.where(self.loss[:, None] >= ENOUGH, self.best, self.start)
+
 
 class Model:
     """The predictors' slots and the mixer's weights: one row for each gate."""
@@ -362,13 +421,14 @@ class Model:
         """Logits (predictor x decision) and gates of decisions at bytes with these hashes."""
         node = (step >> 1).astype(np.uint64)
         logits = np.empty((len(self.tables), len(step)), np.float32)
-        packed = self.tables[0][step >> 1]
+        packed = self.tables[0].take(step >> 1)
         logits[0] = packed >> 2
         gate = np.zeros(len(step), np.int16)
         for k, h in enumerate(hashes, 1):
-            packed = self.tables[k][slots(h, at, node, len(self.tables[k]).bit_length() - 1)]
+            packed = self.tables[k].take(slots(h, at, node, len(self.tables[k]).bit_length() - 1))
             logits[k] = packed >> 2
-            gate = gate << 2 | packed & 3
+            gate <<= 2
+            gate |= packed & 3
         logits *= np.float32(1 / 256)
         return logits, gate
 
@@ -400,11 +460,10 @@ class Model:
             out[g, k + 1 :] = ((own * bend[cut[g] : cut[g + 1]]) @ own.T).ravel()
         return out
 
-    def unit_sums(self, data: np.ndarray, begins: np.ndarray, times: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The same over units, laid end to end, each of which occurs ``times``."""
-        pair, _, hashes, bounds = unit_bytes(data, begins)
-        at, step, _ = self.code.walk(pair)
-        return self.sums(*self._looked_up(at, step, hashes), step & 1, np.repeat(times, np.diff(bounds))[at], weights)
+    def unit_sums(self, units: Units, times: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The same over units, each of which occurs ``times``."""
+        at, step, _ = self.code.walk(units.pair)
+        return self.sums(*self._looked_up(at, step, units.hashes), step & 1, np.repeat(times, np.diff(units.bounds))[at], weights)
 
     def train(self, texts: list[bytes]) -> None:
         """The weights that fit some texts best."""
@@ -418,20 +477,22 @@ class Model:
                 break
         self.weights = fit.best.astype(np.float32)
 
-    def _lengths(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def _lengths(self, pair: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Each unit's number of decisions."""
-        own, bounds = own_bytes(data, begins)
-        n = self.code.length[data[own - 1].astype(np.int64) * 256 + data[own]]
-        return np.diff(np.r_[0, np.cumsum(n)][bounds])
-
-    def _signed(self, data: np.ndarray, begins: np.ndarray, out: np.ndarray) -> None:
-        """Of each decision of units the mixed logit and the predictors', all with the sign of what didn't happen."""
-        pair, _, hashes, _ = unit_bytes(data, begins)
-        at, step, _ = self.code.walk(pair)
-        logits, gate = self._looked_up(at, step, hashes)
-        np.einsum("ki,ik->i", logits, self.weights[gate], out=out[:, 0])
-        out[:, 1:] = logits.T
-        out *= (1 - 2 * (step & 1)).astype(np.float32)[:, None]
+        return np.diff(np.r_[0, np.cumsum(self.code.length[pair])][bounds])
+
+    def _signed(self, units: Units, out: np.ndarray) -> None:
+        """Of each decision of units the mixed logit, in the first two places, and the predictors' in steps of 1/256, all with the sign of what didn't happen."""
+        at, step, _ = self.code.walk(units.pair)
+        logits, gate = self._looked_up(at, step, units.hashes)
+        logits *= (1 - 2 * (step & 1)).astype(np.float32)
+        gate = gate.astype(np.int64)
+        mixed = np.zeros(len(gate), np.float32)
+        for x, w in zip(logits, np.ascontiguousarray(self.weights.T)):
+            mixed += w.take(gate) * x
+        out[:, :2].view(np.float32)[:, 0] = mixed
+        logits *= np.float32(256)
+        out[:, 2:] = logits.T
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the probability of each text with its end mark."""
@@ -443,38 +504,49 @@ class Model:
         heads = coded.dictionary.to_numpy()
         # Short words have no unit of their own besides the head: theirs is empty.
         kinds = [w if len(w) <= REACH else w[: 1 - REACH] if w.endswith(MARKS) else w for w in words.kinds]
-        units = [(head_bytes, heads[i : i + UNITS]) for i in range(0, len(heads), UNITS)] + [(word_bytes, kinds[i : i + UNITS]) for i in range(0, len(kinds), UNITS)]
-        lengths = [self._lengths(*laid(some)) for laid, some in units]
-        table, at = np.empty((sum(int(n.sum()) for n in lengths), 1 + len(self.tables)), np.float32), 0
-        for (laid, some), n in zip(units, lengths):
-            self._signed(*laid(some), table[at : at + n.sum()])
-            at += n.sum()
-        length = np.concatenate(lengths)
+        parts = [(head_pairs, head_units, heads[i : i + UNITS]) for i in range(0, len(heads), UNITS)] + [(word_pairs, word_units, kinds[i : i + UNITS]) for i in range(0, len(kinds), UNITS)]
+        length = np.concatenate([self._lengths(*pairs(some)) for pairs, _, some in parts])
+        last = np.r_[0, np.cumsum(length)]
+        table, i = np.empty((last[-1], 2 + len(self.tables)), np.int16), 0
+        for _, units, some in parts:
+            self._signed(units(some), table[last[i] : last[i + len(some)]])
+            i += len(some)
         # Units' rows are copied as blocks of bytes, which is much faster than to pick decisions one by one.
-        width = table.shape[1] * table.itemsize
-        blocks = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.r_[0, np.cumsum(length)] * width), pa.py_buffer(table)])
+        blocks = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(last * (table.shape[1] * table.itemsize)), pa.py_buffer(table)])
         unit = np.stack([coded.indices.to_numpy(), words.kind + len(heads)], axis=1).ravel()
         begins = words.begins * 2
         after = np.r_[0, np.cumsum(length[unit])][begins]
         out = np.zeros(len(begins) - 1)
-        for t in range(len(out)):
-            if t % RUN == 0:
-                last = min(t + RUN, len(out))
-                taken = np.frombuffer(blocks.take(pa.array(unit[begins[t] : begins[last]])).buffers()[2], np.float32).reshape(-1, table.shape[1])
-                base = after[t]
-            rows = taken[after[t] - base : after[t + 1] - base]
-            weights = np.zeros(rows.shape[1], np.float32)
-            weights[0] = 1
-            lo, size, end = 0, FIRST, len(rows)
-            while lo < end:
-                part = rows[lo : lo + size]
-                e = np.exp(np.minimum(part @ weights, np.float32(80)))
-                one = e + np.float32(1)
-                out[t] -= np.log(one).sum(dtype=np.float64)
-                lo += size
-                if lo < end:
-                    move = (e / one) @ part
-                    move[0] = 0
-                    weights -= np.float32(RATE / size) * move
-                    size = min(2 * size, SEGMENT)
+        for a in range(0, len(out), RUN):
+            b = min(a + RUN, len(out))
+            taken = np.frombuffer(blocks.take(pa.array(unit[begins[a] : begins[b]])).buffers()[2], np.int16).reshape(-1, table.shape[1])
+            out[a:b] = self._refined(taken, after[a : b + 1] - after[a])
         return out / np.log(10)
+
+    def _refined(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of texts, whose decisions (``_signed``) begin at ``bounds``; their segments of one place are worked out together."""
+        mixed, out = rows[:, :2].view(np.float32)[:, 0], np.zeros(len(bounds) - 1)
+        # The weights' moves and their steps are for logits in steps of 1/256.
+        moves = np.zeros((len(out), rows.shape[1] - 2), np.float32)
+        lo, size, live = bounds[:-1].copy(), FIRST, np.arange(len(out))
+        while len(live):
+            first, stop = lo[live], bounds[live + 1]
+            hi = np.minimum(first + size, stop)
+            cut = np.r_[0, np.cumsum(hi - first)]
+            z, inputs = np.empty(cut[-1], np.float32), {}
+            for t, a, b, i, j in zip(live.tolist(), first.tolist(), hi.tolist(), cut.tolist(), cut[1:].tolist()):
+                z[i:j] = mixed[a:b]
+                if size > FIRST or b < bounds[t + 1]:
+                    inputs[t] = x = np.ascontiguousarray(rows[a:b, 2:].T, np.float32)
+                    if size > FIRST:
+                        z[i:j] += moves[t] @ x
+            e = np.exp(np.minimum(z, np.float32(80), out=z), out=z)
+            one = e + np.float32(1)
+            e /= one
+            out[live] -= np.add.reduceat(np.log(one, out=one), cut[:-1], dtype=np.float64)
+            more = hi < stop
+            for t, i, j in zip(live[more].tolist(), cut[:-1][more].tolist(), cut[1:][more].tolist()):
+                moves[t] -= np.float32(RATE / size / 65536) * (inputs[t] @ e[i:j])
+            lo[live] = hi
+            live, size = live[more], min(2 * size, SEGMENT)
+        return out

@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import give_back, materialise, slices, tidied
-from .mixing_model import CONTEXTS, LEAST, PASSES, REACH, Code, Distinct, Fit, Model, Words, head_bytes, joined, packed_logits, slot_bits, slots, unit_bytes, word_bytes, word_counts, words_of
+from .mixing_model import CONTEXTS, LEAST, PASSES, REACH, Code, Distinct, Fit, Model, Units, Words, head_units, joined, packed_logits, slot_bits, slots, word_counts, word_units, words_of
 
 END_TOKEN = b"\n"
 #: Bytes of texts whose distinct units are worked out together, and units of the corpus that are taken at once.
 TOGETHER, UNITS = 6_000_000, 8192
+#: Rows of counts that a task holds before it adds them up, and units, about, whose passes find where the fit over all begins.
+HELD, PART = 1_000_000, 250_000
 #: Counts of a piece of the slots' table, and decisions that are gathered before they are packed into pieces.
 PIECE, GATHERED = 1 << 20, 2_000_000
 #: Tokens in the broadcast table of counts (twelve bytes each), and tokens that a worker remembers.
@@ -45,7 +47,21 @@ def _together(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, fold) to (token, head, n, last, n1, last1): counts of tokens, also of those at a text's end, and of heads with a null token; n1 and last1 are of fold 1."""
+    """(text, fold) to (token, head, n, last, n1, last1): counts of tokens, also of those at a text's end, and of heads with a null token; n1 and last1 are of fold 1.
+
+    Counts are added up over HELD rows before they travel.
+    """
+    names = ["n", "last", "n1", "last1"]
+    held: dict[str, list[pa.Table]] = {"token": [], "head": []}
+
+    def added() -> Iterator[pa.RecordBatch]:
+        for key, tables in held.items():
+            rows = pa.concat_tables(tables).group_by(key, use_threads=False).aggregate([(c, "sum") for c in names])
+            tables.clear()
+            empty = pa.nulls(rows.num_rows, pa.int64() if key == "token" else pa.binary())
+            both = {"token": empty, "head": empty, key: rows[key]}
+            yield from pa.table([*both.values(), *(rows[f"{c}_sum"] for c in names)], ["token", "head", *names]).to_batches(1 << 16)
+
     for part, texts in _together(batches, 0):
         found = Words(texts)
         fold = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -53,39 +69,39 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = lambda kind, n: np.bincount(kind * 2 + of, minlength=2 * n).reshape(n, 2)
         tokens, last = found.tokens()
         some = np.fromiter(map(bool, tokens), bool, len(tokens))
-        n = count(found.kind, len(tokens))[some]
-        tokens, last = [t for t in tokens if t], last[some][:, None]
+        n = np.r_[count(found.kind, len(tokens))[some], np.bincount(fold, minlength=2)[None]]
         coded = pa.array(found.heads).dictionary_encode()
         heads = coded.dictionary.to_numpy().view(np.int64)
-        columns = np.concatenate([np.c_[n, n * last], np.r_[np.bincount(fold, minlength=2), 0, 0][None], np.c_[count(coded.indices.to_numpy(), len(heads)), np.zeros((len(heads), 2), np.int64)]])
-        token = pa.array([*tokens, END_TOKEN, *[None] * len(heads)], pa.binary())
-        head = pa.array(np.r_[np.zeros(len(tokens) + 1, np.int64), heads], pa.int64(), mask=np.arange(len(token)) <= len(tokens))
-        n0, n1, last0, last1 = columns.T
-        yield pa.RecordBatch.from_arrays([token, head, *(pa.array(x) for x in (n0 + n1, last0 + last1, n1, last1))], ["token", "head", "n", "last", "n1", "last1"])
+        for key, values, n, last in (("token", pa.array([*filter(None, tokens), END_TOKEN], pa.binary()), n, np.r_[last[some], False]), ("head", pa.array(heads), count(coded.indices.to_numpy(), len(heads)), np.zeros(len(heads), bool))):
+            whole, n1 = n.sum(axis=1), n[:, 1]
+            held[key].append(pa.table([values, *(pa.array(x) for x in (whole, whole * last, n1, n1 * last))], [key, *names]))
+        if sum(t.num_rows for tables in held.values() for t in tables) > HELD:
+            yield from added()
+    if held["token"]:
+        yield from added()
 
 
-def _units(batches: Iterator[pa.RecordBatch], fold: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Counted tokens and heads to units laid end to end, their first positions, and how often each occurs in either fold. Words that are all in their heads have none; with a ``fold`` only its own."""
+def _units(batches: Iterator[pa.RecordBatch], fold: int | None = None) -> Iterator[tuple[Units, np.ndarray]]:
+    """Counted tokens and heads to units, and how often each occurs in either fold. Words that are all in their heads have none; with a ``fold`` only its own."""
     for batch in slices(batches, UNITS):
         whole, all_last, n1, last1 = (c.to_numpy() for c in batch.columns[2:])
         n, last = np.c_[whole - n1, n1], np.c_[all_last - last1, last1]
         token = np.asarray(batch.column(0).is_valid())
         if not token.all():
-            yield *head_bytes(batch.column(1).filter(pa.array(~token)).to_numpy()), n[~token]
+            yield head_units(batch.column(1).filter(pa.array(~token)).to_numpy()), n[~token]
         words, at = batch.column(0).to_pylist(), np.flatnonzero(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False) >= REACH)
         for mark, times in ((b" ", n - last), (b"\n", last)):
-            some = [i for i in at[(times[at].any(axis=1) if fold is None else times[at, fold] > 0)].tolist()]
-            if some:
-                yield *word_bytes([words[i] + mark for i in some]), times[some]
+            some = at[times[at].any(axis=1) if fold is None else times[at, fold] > 0]
+            if len(some):
+                yield word_units([words[i] + mark for i in some.tolist()]), times[some]
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units to (context, pair, n): how often byte pairs occur, and of each predictor the partition's least hashes of contexts and next bytes."""
     distinct, pairs = Distinct(), np.zeros(65536, np.int64)
-    for data, begins, times in _units(batches):
-        pair, byte, hashes, bounds = unit_bytes(data, begins)
-        np.add.at(pairs, pair, np.repeat(times.sum(axis=1), np.diff(bounds)))
-        distinct.add_bytes(byte, hashes)
+    for units, times in _units(batches):
+        np.add.at(pairs, units.pair, np.repeat(times.sum(axis=1), np.diff(units.bounds)))
+        distinct.add_bytes((units.pair & 255).astype(np.uint64), units.hashes)
     seen = np.flatnonzero(pairs)
     for k, key, n in ((-1, seen, pairs[seen]), *((k, x.astype(np.int64), np.ones(len(x), np.int64)) for k, x in enumerate(distinct.least))):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(n)], ["context", "pair", "n"])
@@ -104,13 +120,15 @@ def _slotted(code: Code, bits: list[int]):
     def packed(predictor: int, gathered: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         index, times = (np.concatenate(x) for x in zip(*gathered))
         gathered.clear()
+        # Both folds' counts as one complex number, exact below 2 ** 53, which is added up much faster than rows of two.
+        times = times.astype(np.float64).view(np.complex128)[:, 0]
         # Places and their order in one number, which sorts faster than places alone can be put in order.
         room = len(index).bit_length()
         key = np.sort(index << room | np.arange(len(index)))
-        index, times = key >> room, times.take(key & (1 << room) - 1, axis=0)
+        index, times = key >> room, times.take(key & (1 << room) - 1)
         new = np.flatnonzero(np.r_[True, index[1:] != index[:-1]][: len(index)])
         if len(new):
-            yield from _packed(predictor, index[new], np.minimum(np.add.reduceat(times, new), 1 << 30).T)
+            yield from _packed(predictor, index[new], np.minimum(np.add.reduceat(times, new).view(np.float64).reshape(-1, 2), 1 << 30).T)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units to pieces of the counts in the slots of all predictors. That of words takes whole tokens, each as if a space stood before it."""
@@ -123,21 +141,19 @@ def _slotted(code: Code, bits: list[int]):
                     yield from packed(k, gathered)
 
         for batch in slices(batches, UNITS):
-            for data, begins, times in _units([batch]):
-                pair, _, hashes, bounds = unit_bytes(data, begins)
-                at, step, _ = code.walk(pair)
-                node, bit = (step >> 1).astype(np.uint64), (step & 1).astype(np.int64)
-                often = np.repeat(times, np.diff(bounds), axis=0)[at]
+            for units, times in _units([batch]):
+                at, step, _ = code.walk(units.pair)
+                node, bit = (step >> 1).astype(np.uint64), step & 1
+                often = np.repeat(times, np.diff(units.bounds), axis=0).take(at, axis=0)
                 for fold in (0, 1):
                     direct[fold] += np.bincount(step, often[:, fold], direct.shape[1]).astype(np.int64)
-                for k, h in enumerate(hashes[:-1]):
+                for k, h in enumerate(units.hashes[:-1]):
                     held[k + 1].append((slots(h, at, node, bits[k]) * 2 + bit, often))
-            words = batch.column(0).to_pylist()
-            n, last, n1, last1 = (c.to_numpy() for c in batch.columns[2:])
-            for fold, (often, ends) in enumerate(((n - n1, last - last1), (n1, last1))):
-                some = [i for i, w in enumerate(words) if w is not None and w != END_TOKEN and often[i]]
-                for index, weight in word_counts([words[i] for i in some], often[some], ends[some], code, bits[-1]):
-                    held[len(bits)].append((index, np.c_[weight, 0 * weight] if fold == 0 else np.c_[0 * weight, weight]))
+            some = pc.and_(batch.column(0).is_valid(), pc.not_equal(batch.column(0), pa.scalar(END_TOKEN, pa.binary()))).fill_null(False)
+            words = batch.filter(some)
+            n, last, n1, last1 = (c.to_numpy() for c in words.columns[2:])
+            for index, weight in word_counts(words.column(0).to_pylist(), np.c_[n - n1, n1], np.c_[last - last1, last1], code, bits[-1]):
+                held[len(bits)].append((index, weight))
             yield from full(GATHERED)
         yield from full(0)
         some = np.flatnonzero(direct.any(axis=0))
@@ -164,28 +180,33 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fitted(units: DataFrame, models: list, start: np.ndarray) -> np.ndarray:
-    """The weights that fit all units best, those of a fold met by the other's model; ``models`` are broadcast."""
-    fit = Fit(start)
+    """The weights that fit all units best, those of a fold met by the other's model; ``models`` are broadcast.
 
+    Passes over some PART units find where the passes over all begin, which then are few; when these end is told by all units.
+    """
     def sums(weights: np.ndarray, fold: int):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, total = models[1 - fold].value, 0
-            for data, begins, times in _units(batches, fold):
-                total = total + model.unit_sums(data, begins, times[:, fold], weights)
+            for found, times in _units(batches, fold):
+                total = total + model.unit_sums(found, times[:, fold], weights)
             value = np.ravel(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value))), pa.array(value.astype(np.float64))], ["place", "value"])
 
         return rows
 
-    for _ in range(PASSES):
-        parts = [units.filter("n > n1" if fold == 0 else "n1 > 0").mapInArrow(tidied(sums(fit.next, fold)), "place long, value double") for fold in (0, 1)]
-        found = parts[0].unionByName(parts[1]).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-        k = start.shape[1]
-        total = np.zeros(start.shape[0] * (1 + k + k * k))
-        place = found.column(0).to_numpy()
-        total[place[place < len(total)]] = found.column(1).to_numpy()[place < len(total)]
-        if not fit.take(total.reshape(start.shape[0], -1)):
-            break
+    shares, begin = max(1, units.count() // PART), start
+    for some in [units.filter(F.pmod(F.xxhash64("token", "head"), F.lit(shares)) == 0), units] if shares > 1 else [units]:
+        fit = Fit(start, begin)
+        for _ in range(PASSES):
+            parts = [some.filter("n > n1" if fold == 0 else "n1 > 0").mapInArrow(tidied(sums(fit.next, fold)), "place long, value double") for fold in (0, 1)]
+            found = parts[0].unionByName(parts[1]).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+            k = start.shape[1]
+            total = np.zeros(start.shape[0] * (1 + k + k * k))
+            place = found.column(0).to_numpy()
+            total[place[place < len(total)]] = found.column(1).to_numpy()[place < len(total)]
+            if not fit.take(total.reshape(start.shape[0], -1)):
+                break
+        begin = fit.begin()
     return fit.best.astype(np.float32)
 
 

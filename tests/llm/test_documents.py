@@ -695,3 +695,47 @@ def test_weights_are_fitted_on_every_document(spark, monkeypatch):
             break
     assert np.abs(fit.best - 0.25).max() > 0.1
     assert np.allclose(kept["model"].weights, fit.best, atol=1e-3)
+
+
+def test_counts_of_a_task_are_added_up_before_they_travel(monkeypatch):
+    """Each token and each head of a task's batches comes out once, with sums of all batches; where few rows may be held, parts add up to the same."""
+    import pyarrow as pa
+
+    texts = [prose(i % 9, 30).replace("\n", " ") for i in range(60)] + ["", "a", "é ab"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i::3]), pa.array([j % 2 for j in range(len(texts[i::3]))], pa.int32())], ["text", "fold"]) for i in range(3)]
+    want = Counter(w for t in texts for w in [*words_of(t), b"\n"])
+    for held in (scoring.HELD, 1):
+        monkeypatch.setattr(scoring, "HELD", held)
+        rows = [r for b in scoring._counted(iter(batches)) for r in b.to_pylist()]
+        got = Counter()
+        for r in rows:
+            if r["token"] is not None:
+                got[r["token"]] += r["n"]
+        assert got == want
+        assert held == 1 or len(rows) == len({(r["token"], r["head"]) for r in rows})
+
+
+def test_a_rare_gate_takes_no_long_step():
+    """A gate that saw few decisions, all of them sure, moves by a bounded step, also by the last one, which no pass checks."""
+    from lectern.llm.mixing_model import Fit
+
+    fit = Fit(np.full((1, 2), 0.5))
+    sums = np.r_[5.0, -40.0, 30.0, [1e-3, 0, 0, 1e-3]][None]
+    fit.take(sums)
+    assert np.linalg.norm(fit.next - 0.5) <= 1 + 1e-9 and np.abs(fit.next - 0.5).max() > 0.1
+
+
+def test_heads_and_rests_are_the_contexts_of_whole_texts():
+    """Units by their numbers and rolling sums against the contexts of the texts that they come from."""
+    from lectern.llm import mixing_model as mm
+
+    texts = [b" ".join(words_of(t)) for t in [prose(3, 40), "", "a", "abcd abc abcde", "\x00 é日本 x"]]
+    data, begins = mm.laid_out(texts)
+    one, hashes = mm.contexts(data, begins)
+    want = Counter(zip((one * 256 + data).tolist(), *(h.tolist() for h in hashes)))
+    words = mm.Words(texts)
+    kinds = [words.kinds[k] for k in words.kind]
+    got = Counter()
+    for units in (mm.head_units(words.heads), mm.word_units([w if len(w) <= 4 else w[:-3] if w.endswith(mm.MARKS) else w for w in kinds])):
+        got.update(zip(units.pair.tolist(), *(h.tolist() for h in units.hashes)))
+    assert got == want
