@@ -42,6 +42,16 @@ ENOUGH = 1000.0
 UNITS, RUN = 8192, 16
 
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The values of a binary column, much faster than by ``to_pylist``; what stands for null ones isn't said."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return [b""] * len(column)
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    body, at = data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes(), (at - at[0]).tolist()
+    return [body[a:b] for a, b in zip(at, at[1:])]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
@@ -203,7 +213,7 @@ class Words:
         self.heads = around[starts - REACH] & _KEPT[np.minimum(lengths, REACH)]
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
         coded = words.dictionary_encode()
-        self.kind, self.kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.kind, self.kinds = coded.indices.to_numpy(), bytes_of(coded.dictionary)
 
     def tokens(self) -> tuple[list[bytes], np.ndarray]:
         """The kinds without their ends, and whether each ends a text."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import give_back, materialise, slices, tidied
-from .mixing_model import CONTEXTS, LEAST, PASSES, REACH, Code, Distinct, Fit, Model, Units, Words, head_units, joined, packed_logits, slot_bits, slots, word_counts, word_units, words_of
+from .mixing_model import CONTEXTS, LEAST, PASSES, REACH, Code, Distinct, Fit, Model, Units, Words, bytes_of, head_units, joined, packed_logits, slot_bits, slots, word_counts, word_units, words_of
 
 END_TOKEN = b"\n"
 #: Bytes of texts whose distinct units are worked out together, and units of the corpus that are taken at once.
@@ -89,7 +89,7 @@ def _units(batches: Iterator[pa.RecordBatch], fold: int | None = None) -> Iterat
         token = np.asarray(batch.column(0).is_valid())
         if not token.all():
             yield head_units(batch.column(1).filter(pa.array(~token)).to_numpy()), n[~token]
-        words, at = batch.column(0).to_pylist(), np.flatnonzero(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False) >= REACH)
+        words, at = bytes_of(batch.column(0)), np.flatnonzero(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False) >= REACH)
         for mark, times in ((b" ", n - last), (b"\n", last)):
             some = at[times[at].any(axis=1) if fold is None else times[at, fold] > 0]
             if len(some):
@@ -152,7 +152,7 @@ def _slotted(code: Code, bits: list[int]):
             some = pc.and_(batch.column(0).is_valid(), pc.not_equal(batch.column(0), pa.scalar(END_TOKEN, pa.binary()))).fill_null(False)
             words = batch.filter(some)
             n, last, n1, last1 = (c.to_numpy() for c in words.columns[2:])
-            for index, weight in word_counts(words.column(0).to_pylist(), np.c_[n - n1, n1], np.c_[last - last1, last1], code, bits[-1]):
+            for index, weight in word_counts(bytes_of(words.column(0)), np.c_[n - n1, n1], np.c_[last - last1, last1], code, bits[-1]):
                 held[len(bits)].append((index, weight))
             yield from full(GATHERED)
         yield from full(0)

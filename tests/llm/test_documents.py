@@ -739,3 +739,15 @@ def test_heads_and_rests_are_the_contexts_of_whole_texts():
     for units in (mm.head_units(words.heads), mm.word_units([w if len(w) <= 4 else w[:-3] if w.endswith(mm.MARKS) else w for w in kinds])):
         got.update(zip(units.pair.tolist(), *(h.tolist() for h in units.hashes)))
     assert got == want
+
+
+def test_values_of_binary_columns():
+    """Whole columns, slices, empty and null values, and no values at all."""
+    import pyarrow as pa
+
+    from lectern.llm.mixing_model import bytes_of
+
+    column = pa.array([b"a", b"", None, b"bcd", b"\x00\n", b"e"], pa.binary())
+    for some in (column, column[1:], column[3:5], column[:0], column.filter(column.is_valid())):
+        assert bytes_of(some) == [x or b"" for x in some.to_pylist()]
+    assert bytes_of(pa.array([], pa.binary())) == [] and bytes_of(pa.array([None], pa.binary())) == [b""]
