@@ -666,6 +666,27 @@ def test_members_of_heavy_lists_travel_without_their_prefixes(spark, monkeypatch
     assert set(written["postings"]) == {"id", "n", "rare", "token"} and not {"light", "dense"} & set(written["tiles"])
 
 
+def test_shingles_travel_as_three_bytes_to_be_counted_and_what_is_done_is_deleted(spark, monkeypatch, tmp_path):
+    """Counts by heads of tokens equal those by whole ones; the sets that were compared don't lie on the disk until the end."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["one two three four five six " + " ".join(f"w{(i * k) % 97}" for k in range(60)) for i in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(texts)], ["id", "text"])
+    shift = 48 - jaccard.COUNTED_BITS - 10
+    packed = pa.Table.from_batches(list(jaccard._packed(10, shift)(iter([batch])))).sort_by("bucket")
+    tokens = Counter(int(t >> np.uint64(16 + shift)) for x in texts for t in jaccard.shingles(x))
+    assert sum(len(x) for c in ("once", "again") for x in packed.column(c).to_pylist()) == 3 * len(tokens)
+    got = pa.Table.from_batches(jaccard._counted(10, shift=shift)(iter(packed.to_batches()))).to_pydict()
+    assert dict(zip(got["token"], got["df"])) == {t: k for t, k in tokens.items() if k > jaccard.HEAVY} != {}
+    folder, freed = f"file://{tmp_path}", []
+    monkeypatch.setattr("lectern.llm.common.shared_folder", lambda spark: folder)
+    monkeypatch.setattr(jaccard, "released", lambda spark: freed.append([p.name for p in tmp_path.iterdir()]))
+    docs = spark.createDataFrame([(i, f"w{i} " + " ".join(f"x{j}" for j in range(60))) for i in range(10)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_classes(docs).collect()} == {0}
+    assert len(freed) >= 4 and not [n for n in map(lambda p: p.name, tmp_path.iterdir()) if "-sets-" in n or "-needed-" in n]
+
+
 def test_weights_are_fitted_on_every_document(spark, monkeypatch):
     """The mixer's weights against plain sums over all texts, also one of over 20,000 characters, each met by the other fold's slots."""
     from lectern.llm.mixing_model import PASSES, Fit
