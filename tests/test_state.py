@@ -245,3 +245,47 @@ def test_a_shard_of_the_cache_wakes_once_however_many_entries_it_has():
     (due,) = handle.timers
     list(cache.handleExpiredTimer((0,), At(start + 750_000), At(due)))
     assert len(cache.entries.of) == 150 and handle.registered == 2 and cache.expiry.of[0] > start + 750_000
+
+
+def test_rows_that_are_due_are_merged_from_blocks_and_few_are_held_at_once(spark, monkeypatch):
+    """A key's rows come in order whatever blocks they are in; only blocks that overlap are in memory, and those left keep a timer."""
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    for name, rows in (("RUN_ROWS", 500), ("BLOCK_ROWS", 50), ("HANDED_ROWS", 60)):
+        monkeypatch.setattr(S, name, rows)
+    most, got = [0], []
+
+    class Kept(S.Ordered):
+        def fold(self, key, rows):
+            for row in rows:
+                yield row
+
+        def _sorted(self, rows):
+            most[0] = max(most[0], sum(map(len, rows)))
+            return super()._sorted(rows)
+
+        def frame(self, answers):
+            got.extend(answers)
+            return pd.DataFrame(answers)
+
+    r, handle, kept = random.Random(5), Handle(), Kept("ts", ["name", "i"], "ts timestamp, name string, i long")
+    kept.init(handle)
+    rows = [(T0 + dt.timedelta(seconds=r.randint(0, 4000)), r.choice(["a", "b", None]), i) for i in range(6000)]
+    frames = [pd.DataFrame(rows[i : i + 100], columns=["ts", "name", "i"]) for i in range(0, 6000, 100)]
+    list(kept.handleInputRows((1,), iter(frames), None))
+    start, order = pd.Timestamp(T0).value // 1_000_000, lambda x: (x[0], x[1] is not None, x[1] or "", x[2])
+    assert handle.timers == {int(start + min((t - T0).total_seconds() for t, _, _ in rows) * 1000)} and len(kept.blocks.of) == 120
+    list(kept.handleExpiredTimer((1,), At(start + 1_000_000), None))
+    early = [x for x in rows if x[0] <= T0 + dt.timedelta(seconds=1000)]
+    assert got == sorted(early, key=order) and len(kept.blocks.of) < 120
+    list(kept.handleExpiredTimer((1,), At(start + 9_000_000), None))
+    assert got == sorted(rows, key=order) and kept.blocks.of == {} and not kept.places.exists()
+    # Of 6,000 rows, 12 runs overlap by a block or two each.
+    assert most[0] <= 2000
